@@ -1028,9 +1028,9 @@ def sequence_state_stream(spark, d):
     rows = I.delivered(spark, d).select("key", "arrival", "sequence")
 
     def start(s, ckpt):
-        # A restart counts its batches on from the checkpoint, so folders do not collide.
-        return jobs._start(
-            stateful.sequence_state_stream(s, "1 day"), lambda b, i: jobs.put_batch(b, out, i), ckpt, None, "update"
+        # One batch per start: with a time-out, "available now" goes on with empty batches.
+        return jobs.update_stream(
+            stateful.sequence_state_stream(s, "1 day"), out, ckpt, {"once": True}
         )
 
     _in_slices(rows, "arrival", (200, 450), start)

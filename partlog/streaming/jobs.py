@@ -43,6 +43,12 @@ def _start(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: st
     )
 
 
+def update_stream(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """Write what each micro-batch of an update-mode stream changed."""
+    each = lambda batch, batch_id: put_batch(batch, out, batch_id)
+    return _start(df, each, checkpoint, trigger, "update")
+
+
 def route_stream(
     df: DataFrame,
     load_config: Callable[[SparkSession], DataFrame],
@@ -91,9 +97,7 @@ def status_stream(df: DataFrame, out: str, checkpoint: str, trigger: dict | None
         F.count(F.lit(1)).alias("messages"),
         F.sum(F.octet_length("data").cast("bigint")).alias("bytes"),
     )
-    return _start(
-        totals, lambda batch, batch_id: put_batch(batch, out, batch_id), checkpoint, trigger, "update"
-    )
+    return update_stream(totals, out, checkpoint, trigger)
 
 
 def latest_status(spark: SparkSession, out: str) -> DataFrame:

@@ -59,7 +59,11 @@ def audit_stream(
 def sequence_state_stream(
     df: DataFrame, ttl: str = S.STATE_TTL, key: str = "key", order: str = "arrival"
 ) -> DataFrame:
-    """Latest sequence per key; a key without messages for ``ttl`` is reported expired and forgotten."""
+    """Latest sequence per key; a key without messages for ``ttl`` is reported expired and forgotten.
+
+    Run it with a processing-time trigger: waiting time-outs keep asking for batches, so
+    an ``availableNow`` run would not end.
+    """
     out = T.StructType(
         [
             T.StructField(key, T.StringType()),
