@@ -15,44 +15,65 @@ NOT_JSON = "not a JSON value"
 NOT_A_MESSAGE = "JSON value is not a message"
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+_FIELDS = "struct<key:variant,sequence:variant,payload:variant,partition:variant,ts:variant>"
 
 
-def _field(variant: Column, name: str, type_name: str, default) -> Column:
-    got = F.try_variant_get(variant, f"$.m.{name}", type_name)
-    return F.coalesce(got, F.lit(default)).alias(name)
+def _absent(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
 
 
-def _with_message(df: DataFrame, raw: str) -> DataFrame:
-    """Add ``_parsed`` (variant or NULL) and ``_valid``.
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a generator, below which no filter is pushed.
 
-    ``try_parse_json`` ignores text after the value, so the text is wrapped twice:
-    as the only element of an array and as the only field of an object.  Trailing
-    text breaks one or the other.
+    A filter on a parsed column would otherwise be rewritten into one that parses the
+    text again for every reference.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _parsed(df: DataFrame, raw: str) -> DataFrame:
+    """Add ``_sound`` (one JSON value and nothing else), ``_void`` and ``_fields``.
+
+    ``try_parse_json`` ignores text after the value.  Inside brackets, trailing text is
+    an error or a second element, unless it closes the bracket; text with a closing
+    bracket must therefore also parse inside an object.
     """
     text = _col(raw).cast("string")
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.coalesce(F.size(listed.cast("array<variant>")) == 1, F.lit(False))
     boxed = F.try_parse_json(F.concat(F.lit('{"m":'), text, F.lit("}")))
-    df = df.withColumn("_parsed", F.when(single, boxed))
-    parsed = F.col("_parsed")
+    closed = ~F.contains(text, F.lit("]")) | boxed.isNotNull()
+    df = _once(df, _list=listed, _closed=F.coalesce(closed, F.lit(False)))
+    first = F.try_variant_get("_list", "$[0]", "variant")
+    alone = F.try_variant_get("_list", "$[1]", "variant").isNull()
+    return _once(
+        df,
+        _sound=first.isNotNull() & alone & F.col("_closed"),
+        _void=F.coalesce(F.is_variant_null(first), F.lit(False)),
+        _fields=F.try_variant_get("_list", "$[0]", _FIELDS),
+    )
+
+
+def _is_message() -> Column:
+    """Top level is an object or null, and every field is absent, null or of its type."""
+    fields = F.col("_fields")
 
     def typed(name: str, wanted: str) -> Column:
-        value = F.try_variant_get(parsed, f"$.m.{name}", "variant")
-        return F.coalesce(_kind(value).isin(wanted, "VOID"), F.lit(True))
+        return _absent(fields[name]) | (F.schema_of_variant(fields[name]) == wanted)
 
-    top = _kind(F.try_variant_get(parsed, "$.m", "variant"))
-    valid = F.startswith(top, F.lit("OBJECT")) | (top == "VOID")
+    ok = fields.isNotNull()
     for name in _TEXT_FIELDS:
-        valid = valid & typed(name, "STRING")
+        ok = ok & typed(name, "STRING")
     for name in _INT_FIELDS:
-        valid = valid & typed(name, "BIGINT")
+        ok = ok & typed(name, "BIGINT")
     # A partition beyond 32 bits does not fit the column.
-    wide = F.try_variant_get(parsed, "$.m.partition", "bigint")
-    narrow = F.try_variant_get(parsed, "$.m.partition", "int")
-    valid = valid & (wide.isNull() | narrow.isNotNull())
-    return df.withColumn("_valid", F.coalesce(parsed.isNotNull() & valid, F.lit(False)))
+    partition = fields["partition"]
+    ok = ok & (_absent(partition) | F.try_variant_get(partition, "$", "int").isNotNull())
+    return F.col("_sound") & (F.col("_void") | ok)
+
+
+def _field(name: str, type_name: str, default) -> Column:
+    got = F.try_variant_get(F.col("_fields")[name], "$", type_name)
+    return F.coalesce(got, F.lit(default).cast(type_name)).alias(name)
 
 
 def decode_messages(df: DataFrame, raw: str = "data") -> tuple[DataFrame, DataFrame]:
@@ -61,19 +82,18 @@ def decode_messages(df: DataFrame, raw: str = "data") -> tuple[DataFrame, DataFr
     Decoded rows get the message columns in place of ``raw``; absent or null fields
     are '' or 0.  Rejected rows keep every column and get ``error``.
     """
-    marked = _with_message(df, raw)
-    parsed = F.col("_parsed")
+    parsed = _parsed(df, raw)
     others = [c for c in df.columns if c != raw and c not in S.MESSAGE.names]
-    good = marked.where("_valid").select(
+    good = parsed.where(_is_message()).select(
         *others,
-        _field(parsed, "key", "string", ""),
-        _field(parsed, "sequence", "bigint", 0),
-        _field(parsed, "payload", "string", ""),
-        _field(parsed, "partition", "int", 0),
-        _field(parsed, "ts", "bigint", 0),
+        _field("key", "string", ""),
+        _field("sequence", "bigint", 0),
+        _field("payload", "string", ""),
+        _field("partition", "int", 0),
+        _field("ts", "bigint", 0),
     )
-    error = F.when(parsed.isNull(), F.lit(NOT_JSON)).otherwise(F.lit(NOT_A_MESSAGE))
-    bad = marked.where("NOT _valid").select(*df.columns, error.alias("error"))
+    error = F.when(F.col("_sound"), F.lit(NOT_A_MESSAGE)).otherwise(F.lit(NOT_JSON))
+    bad = parsed.where(~_is_message()).select(*df.columns, error.alias("error"))
     return good, bad
 
 

@@ -101,7 +101,8 @@ def idempotent_append(
 ) -> DataFrame:
     """Rows of ``new`` whose id is not in ``target``, the earliest one of each id."""
     ids = list(id_cols)
-    first = new.groupBy(*ids).agg(F.min(position).alias(position))
+    rest = [c for c in new.columns if c not in ids]
+    # Copies of an id are combined before the shuffle, and the join reuses its placement.
+    first = new.groupBy(*ids).agg(F.min_by(F.struct(*rest), position).alias("_row"))
     known = target.select(*ids).distinct()
-    fresh = first.join(known, ids, "left_anti")
-    return new.join(fresh.select(position), position, "left_semi")
+    return first.join(known, ids, "left_anti").select(*ids, "_row.*").select(*new.columns)

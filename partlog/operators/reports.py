@@ -134,7 +134,7 @@ def latency_percentiles(
     pcts: Sequence[int] = (50, 95, 99),
     baseline: str | None = None,
     approximate: bool = False,
-    span: int | None = None,
+    span: int | Column | None = None,
 ) -> DataFrame:
     """Floor-rank percentiles per group: the element at ``floor(n * pct / 100)``, clamped.
 
@@ -148,6 +148,10 @@ def latency_percentiles(
             *[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in pcts]
         )
     else:
+        if span is None:
+            # A thousand slices over the range that occurs.
+            width = F.ceil((F.max(value) - F.min(value)) / 1000).cast("bigint")
+            span = df.agg(F.coalesce(F.greatest(F.lit(1), width), F.lit(1)).alias("w")).scalar()
         counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
         upto = ordered.running_sum(counted, "_upto", F.col("_n"), by, (value,), span=span)
         totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))

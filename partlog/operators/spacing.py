@@ -4,34 +4,34 @@ This is the duplicate window of a message id and the cooldown of a scaling rule.
 What is kept depends on what was kept before, so it is not a ``lag``.  Two facts make
 it parallel: a row that follows its predecessor by the window or more is always kept,
 which cuts a group into independent sessions; and inside a session the kept rows are
-a chain of "first row at least a window later" pointers.  Short sessions are folded as
-arrays; for long ones the chain is found by doubling the pointers.
+a chain of "first row at least a window later" pointers.  Groups and sessions of few
+rows are folded as arrays; for long sessions the chain is found by doubling the pointers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlog import schema as S
 from partlog.plans import ordered
-from partlog.plans.bounds import at_most
+from partlog.plans.bounds import at_most, join_small
 from partlog.plans.intervals import micros
 from partlog.plans.scratch import cut_lineage
 
-FOLD_ROWS = 4_096  # distinct times of one session folded as an array
+FOLD_ROWS = 1_024  # distinct times of one group or session folded as an array
 
 
-def _fold(times: Column, window: Column) -> Column:
-    """Kept elements of an ascending array."""
-    start = F.array().cast("array<bigint>")
-    last = lambda kept: F.get(kept, F.size(kept) - 1)
-    far = lambda kept, t: F.coalesce(t - last(kept) >= window, F.lit(True))
-    return F.aggregate(
-        times, start, lambda kept, t: F.when(far(kept, t), F.concat(kept, F.array(t))).otherwise(kept)
-    )
+def _fold(points: DataFrame, group: Sequence[str], spacing: int) -> DataFrame:
+    """Kept points of groups that are known to be small; adds (_t, _tie) to the group."""
+    start = F.array().cast("array<struct<_t:bigint,_tie:bigint>>")
+    last = lambda kept: F.get(kept, F.size(kept) - 1)["_t"]
+    far = lambda kept, p: F.coalesce(p["_t"] - last(kept) >= spacing, F.lit(True))
+    step = lambda kept, p: F.when(far(kept, p), F.concat(kept, F.array(p))).otherwise(kept)
+    listed = points.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_t", "_tie"))).alias("_all"))
+    return listed.select(*group, F.inline(F.aggregate("_all", start, step)))
 
 
 def _chain(points: DataFrame, group: list[str], spacing: int) -> DataFrame:
@@ -70,38 +70,31 @@ def _chain(points: DataFrame, group: list[str], spacing: int) -> DataFrame:
         )
 
 
-def spaced_times(
-    df: DataFrame, scope: Sequence[str], spacing: int, fold_rows: int = FOLD_ROWS
+def _long_groups(
+    points: DataFrame, scope: list[str], spacing: int, fold_rows: int
 ) -> DataFrame:
-    """Kept (scope, _t) of distinct (scope, _t) points, ``_t`` in microseconds."""
-    scope = list(scope)
+    """Kept (scope, _t, _tie) of groups too large to fold, session by session."""
     order = ("_t",)
     span = min(spacing, ordered.TIME_SPAN)
-    seen = ordered.previous(df.select(*scope, "_t"), {"_before": "_t"}, scope, order, span=span)
+    seen = ordered.previous(points, {"_before": "_t"}, scope, order, span=span)
     opens = F.col("_before").isNull() | (F.col("_t") - F.col("_before") >= spacing)
     seen = seen.withColumn("_opens", F.when(opens, F.col("_t"))).drop("_before")
     points = cut_lineage(
         ordered.carry_forward(seen, {"_head": "_opens"}, scope, order, span=span).drop("_opens")
     )
     group = [*scope, "_head"]
-    sizes = points.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_t").alias("_end")
-    )
+    sizes = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max("_t").alias("_end"))
     # A session shorter than the window keeps its first row only.
-    brief = sizes.where(F.col("_end") - F.col("_head") < spacing).select(*scope, F.col("_head").alias("_t"))
-    spread = sizes.where(F.col("_end") - F.col("_head") >= spacing)
-    short = points.join(spread.where(F.col("_n") <= fold_rows).select(*group), group)
-    folded = (
-        short.groupBy(*group)
-        .agg(F.array_sort(F.collect_list("_t")).alias("_all"))
-        .select(*scope, F.explode(_fold(F.col("_all"), F.lit(spacing))).alias("_t"))
-    )
-    kept = brief.unionByName(folded)
-    long = spread.where(F.col("_n") > fold_rows).select(*group)
+    lasting = sizes.where(F.col("_end") - F.col("_head") >= spacing)
+    brief = sizes.where(F.col("_end") - F.col("_head") < spacing).select(*group)
+    heads = points.where("_t = _head").join(brief, group).select(*scope, "_t", "_tie")
+    small = points.join(lasting.where(F.col("_n") <= fold_rows).select(*group), group)
+    kept = heads.unionByName(_fold(small, group, spacing).select(*scope, "_t", "_tie"))
+    long = lasting.where(F.col("_n") > fold_rows).select(*group)
     if at_most(long, 0):
         return kept
     chained = _chain(points.join(long, group), group, spacing)
-    return kept.unionByName(chained.select(*scope, "_t"))
+    return kept.unionByName(points.join(chained, [*group, "_t"]).select(*scope, "_t", "_tie"))
 
 
 def thin_by_spacing(
@@ -119,10 +112,18 @@ def thin_by_spacing(
     scope = list(scope)
     spacing = micros(window)
     timed = df.withColumn("_t", ordered.as_long(df, ts))
-    points = timed.groupBy(*scope, "_t").agg(F.min(tie).alias(tie))
-    times = spaced_times(points, scope, spacing, fold_rows)
-    kept = points.join(times, [*scope, "_t"]).select(tie)
-    return df.join(kept, tie, "left_semi")
+    points = cut_lineage(
+        timed.groupBy(*scope, "_t").agg(F.min(F.col(tie).cast("bigint")).alias("_tie"))
+    )
+    sizes = points.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > fold_rows).select(*scope)
+    if at_most(large, 0):
+        kept = _fold(points, scope, spacing)
+    else:
+        few = join_small(points, large, scope, "left_anti")
+        many = cut_lineage(join_small(points, large, scope, "left_semi"))
+        kept = _fold(few, scope, spacing).unionByName(_long_groups(many, scope, spacing, fold_rows))
+    return df.join(kept.select(F.col("_tie").alias(tie)), tie, "left_semi")
 
 
 def dedup_window(

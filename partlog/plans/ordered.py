@@ -42,7 +42,8 @@ class _Sliced:
 
     def __init__(self, df, scope, order, bucket, span, descending=False):
         bucket = bucket or order[0]
-        span = span or (TIME_SPAN if is_time(df, bucket) else ROW_SPAN)
+        if span is None:
+            span = TIME_SPAN if is_time(df, bucket) else ROW_SPAN
         position = as_long(df, bucket)
         self.columns = df.columns
         self.df = df.withColumn(_SLICE, position - F.pmod(position, F.lit(span)))
@@ -77,7 +78,7 @@ def previous(
     scope: Sequence[str],
     order: Sequence[str],
     bucket: str | None = None,
-    span: int | None = None,
+    span: int | Column | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Add, per ``{new: source}``, the source value of the row before (``lag``).
@@ -97,7 +98,7 @@ def carry_forward(
     scope: Sequence[str],
     order: Sequence[str],
     bucket: str | None = None,
-    span: int | None = None,
+    span: int | Column | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Add, per ``{new: source}``, the last non-NULL source value up to this row."""
@@ -125,7 +126,7 @@ def running_sum(
     scope: Sequence[str],
     order: Sequence[str],
     bucket: str | None = None,
-    span: int | None = None,
+    span: int | Column | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows up to and including this one."""
     s = _Sliced(df.withColumn("_v", value), scope, order, bucket, span)
@@ -143,7 +144,7 @@ def number_rows(
     scope: Sequence[str],
     order: Sequence[str],
     bucket: str | None = None,
-    span: int | None = None,
+    span: int | Column | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per scope (``row_number``)."""
     s = _Sliced(df, scope, order, bucket, span)

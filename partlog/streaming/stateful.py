@@ -39,17 +39,22 @@ def audit_stream(
     def audit(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order, ignore_index=True)
-        sequence = rows["sequence"]
-        previous = sequence.shift().astype("Int64")
+        rows = pd.concat(list(batches))
+        rows = rows.iloc[np.argsort(rows[order].to_numpy(), kind="stable")]
+        sequence = rows["sequence"].to_numpy()
+        previous = np.roll(sequence, 1)
+        first = np.zeros(len(rows), dtype=bool)
         if state.exists:
-            previous.iloc[0] = state.get[0]
-        step = (sequence.astype("Int64") - previous).fillna(1)
-        rows["prev_sequence"] = previous
-        rows["status"] = np.select([step <= 0, step > 1], ["violation", "gap"], "ok")
-        rows["missing"] = (step - 1).clip(lower=0).astype("int64")
-        state.update((int(sequence.iloc[-1]),))
-        yield rows
+            previous[0] = state.get[0]
+        else:
+            first[0] = True
+        step = np.where(first, 1, sequence - previous)
+        state.update((int(sequence[-1]),))
+        yield rows.assign(
+            prev_sequence=pd.arrays.IntegerArray(previous, first),
+            status=np.select([step <= 0, step > 1], ["violation", "gap"], "ok"),
+            missing=np.maximum(step - 1, 0),
+        )
 
     return df.groupBy(*scope).applyInPandasWithState(
         audit, out, "last_sequence bigint", "append", GroupStateTimeout.NoTimeout
