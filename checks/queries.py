@@ -438,17 +438,15 @@ def pending_messages(spark, d):
 
 
 @query(
-    """SELECT min(stream_seq) AS stream_seq, key, sequence FROM delivered
-    WHERE arrival % 2 = 0 AND (key, sequence) NOT IN (SELECT (key, sequence) FROM published WHERE user_id % 4 = 0)
+    """SELECT key, sequence, min(arrival) AS arrival, arg_min(payload, arrival) AS payload FROM delivered
+    WHERE (key, sequence) NOT IN (SELECT (key, sequence) FROM published WHERE user_id % 4 = 0)
     GROUP BY key, sequence"""
 )
 def idempotent_append(spark, d):
     """Deliveries, some twice, into a target that has every fourth user already."""
-    new = I.delivered(spark, d).where("arrival % 2 = 0").select("arrival", "stream_seq", "key", "sequence")
-    new = new.withColumn("position", F.col("stream_seq") * 2 + F.col("arrival") % 10 % 2)
+    new = I.delivered(spark, d).select("key", "sequence", "arrival", "payload")
     target = I.published(spark, d).where("user_id % 4 = 0")
-    first = new.groupBy("key", "sequence", "stream_seq").agg(F.min("arrival").alias("position"))
-    return delivery.idempotent_append(first, target, ["key", "sequence"]).select("stream_seq", "key", "sequence")
+    return delivery.idempotent_append(new, target, ["key", "sequence"], position="arrival")
 
 
 @query("SELECT stream, partition, pending = 0 AND ack_pending = 0 AS drained FROM consumer_counts WHERE partition < 2")
@@ -503,12 +501,14 @@ def consumer_results(spark, d):
 @query(
     """SELECT run, partition, (n - 1) // 500 AS piece, count(*) AS received,
       string_agg(concat(key, ':', sequence, ':', payload), ' ' ORDER BY n) AS messages
-    FROM (SELECT *, row_number() OVER (PARTITION BY run, partition ORDER BY arrival, key) AS n FROM delivered)
+    FROM (SELECT *, row_number() OVER (PARTITION BY run, partition ORDER BY stream_seq, arrival) AS n FROM delivered)
     GROUP BY ALL"""
 )
 def consumer_messages(spark, d):
     """With the message lists, in pieces of 500."""
-    listed = audit.consumer_results(I.delivered(spark, d), with_messages=True, piece_rows=500)
+    listed = audit.consumer_results(
+        I.delivered(spark, d), with_messages=True, order=("stream_seq", "arrival"), piece_rows=500
+    )
     text = F.transform(
         "messages", lambda m: F.concat_ws(":", m["key"], m["sequence"].cast("string"), m["payload"])
     )

@@ -79,18 +79,20 @@ def account_sequences(
 def consumer_results(
     df: DataFrame,
     with_messages: bool = False,
-    order: str = "arrival",
+    order: Sequence[str] = ("arrival",),
     piece_rows: int = PIECE_ROWS,
+    span: int | None = None,
 ) -> DataFrame:
     """Messages received per consumer run and partition.
 
     With messages, the list comes in pieces of at most ``piece_rows`` messages in
-    arrival order, one row per piece; ``received`` is then the size of the piece.
+    ``order``, one row per piece; ``received`` is then the size of the piece.  The first
+    order column should be (nearly) unique within the partition, as a log position is.
     """
     if not with_messages:
         return df.groupBy("run", "partition").agg(F.count(F.lit(1)).alias("received"))
     fields = ("key", "sequence", "payload")
-    numbered = ordered.number_rows(df, "_pos", ("run", "partition"), (order, "key"))
+    numbered = ordered.number_rows(df, "_pos", ("run", "partition"), order, span=span)
     piece = F.floor((F.col("_pos") - 1) / piece_rows).alias("piece")
     in_order = F.array_sort(F.collect_list(F.struct("_pos", *fields)))
     return (

@@ -38,10 +38,12 @@ def expected_messages(expected: DataFrame, piece_rows: int = EXPAND_ROWS) -> Dat
     many messages is not expanded by one task.
     """
     n = F.col("expected").cast("bigint")
+    # A given number, because adaptive execution would merge these short rows again.
+    tasks = int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = (
         expected.where(n > 0)
         .select("key", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / piece_rows))).alias("_p"))
-        .repartition("key", "_p")
+        .repartition(tasks, "key", "_p")
     )
     low = F.col("_p") * piece_rows + 1
     high = F.least(F.col("_n"), (F.col("_p") + 1) * piece_rows)

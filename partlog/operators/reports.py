@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from partlog import schema as S
 from partlog.functions.state import parse_state_key, sequence_state_value
 from partlog.plans import ordered
+from partlog.plans.bounds import join_small
+from partlog.plans.scratch import cut_lineage
 
 
 def stream_info(df: DataFrame, data: str = "data") -> DataFrame:
@@ -156,7 +158,7 @@ def latency_percentiles(
         upto = ordered.running_sum(counted, "_upto", F.col("_n"), by, (value,), span=span)
         totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
         if by:
-            upto = upto.join(totals, by)
+            upto = join_small(upto, totals, by, "inner")
         else:
             upto = upto.withColumn("_total", totals.scalar())
         whole = F.col("_total")
@@ -169,6 +171,7 @@ def latency_percentiles(
     if baseline is None:
         return result
     (group,) = by
+    result = cut_lineage(result)
     for p in pcts:
         base = result.where(F.col(group) == baseline).select(f"p{p}").scalar()
         result = result.withColumn(f"p{p}_ratio", F.try_divide(F.col(f"p{p}"), base))

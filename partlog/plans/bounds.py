@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partlog.plans.scratch import cut_lineage
+
 BROADCAST_ROWS = 100_000  # narrow rows: a few MB
 
 
@@ -22,12 +24,14 @@ def join_small(
     how: str,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Equi-join with a side that is usually small.
+    """Equi-join with a side that is usually small, such as one row per stream.
 
-    Broadcast only if its counted rows are within the bound; otherwise a shuffle
-    join, where adaptive execution splits skewed partitions.
+    That side is written once, since it is mostly an aggregate of the whole log, and
+    counted.  It is broadcast only within the bound; otherwise a shuffle join is left to
+    adaptive execution, which splits skewed partitions.
     """
     on = list(on)
+    right = cut_lineage(right)
     if at_most(right, max_rows):
         right = F.broadcast(right)
     return left.join(right, on, how)

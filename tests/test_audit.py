@@ -66,7 +66,7 @@ def test_lists_in_pieces(spark):
 
 def test_messages_in_pieces(spark, small):
     df = I.delivered(spark, small)
-    pieces = audit.consumer_results(df, with_messages=True, piece_rows=50)
+    pieces = audit.consumer_results(df, with_messages=True, order=("stream_seq", "arrival"), piece_rows=50)
     assert pieces.agg(F.max("received")).head()[0] == 50
     assert pieces.agg(F.sum(F.size("messages"))).head()[0] == df.count()
 
