@@ -948,12 +948,13 @@ def dedup_window_hot(spark, d):
 
 @query()
 def dedup_stream(spark, d):
+    """Three slices of time, so that the watermark moves on between them."""
     rows = I.published(spark, d).select("stream_seq", F.col("key").alias("id"), F.col("ts").cast("timestamp"))
-    source = I.stored(rows, "ids")
-    out, ckpt = scratch_path(spark, "deduped"), scratch_path(spark, "ckpt")
-    stream = log.read_log_stream(spark, source, schema=rows.schema)
-    run(_to_files(stateful.dedup_stream(stream, window="12 hours"), out, ckpt))
-    return spark.read.schema(rows.schema).parquet(out)
+    rows = rows.withColumn("day", F.datediff(F.col("ts"), F.lit("2024-01-01")))
+    out = scratch_path(spark, "deduped")
+    start = lambda s, ckpt: _to_files(stateful.dedup_stream(s.drop("day"), window="12 hours"), out, ckpt)
+    _in_slices(rows, "day", (10, 20), start)
+    return spark.read.schema(rows.drop("day").schema).parquet(out)
 
 
 @query("SELECT * FROM windows")
@@ -961,14 +962,16 @@ def lag_windows(spark, d):
     return reports.lag_windows(I.lag_samples(spark, d))
 
 
-@query()
+@query("SELECT * FROM windows WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL '10' SECOND")
 def lag_windows_stream(spark, d):
+    """Windows that the watermark, ten seconds behind the newest sample, has passed."""
     rows = I.lag_samples(spark, d)
     source = I.stored(rows, "samples")
     out, ckpt = scratch_path(spark, "windows"), scratch_path(spark, "ckpt")
     stream = log.read_log_stream(spark, source, schema=rows.schema)
     run(_to_files(stateful.lag_windows_stream(stream), out, ckpt))
-    return spark.read.parquet(out)
+    naive = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "ts")}
+    return spark.read.parquet(out).withColumns(naive)
 
 
 SCALE_CHAIN = """asked AS (

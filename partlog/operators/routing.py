@@ -12,7 +12,8 @@ from partlog.plans.bounds import at_most
 
 MICROS_PER_SECOND = 1_000_000
 NANOS_PER_SECOND = 1_000_000_000
-CONFIG_ROWS = 2_000  # config rows matched by a broadcast range join; more use a sort
+CONFIG_ROWS = 20_000  # largest config log that is broadcast; a longer one is merged by time
+CONFIG_SLICES = 20_000  # slices of time over a broadcast config log
 
 
 def valid_config(
@@ -63,6 +64,47 @@ def with_next_direct(config_log: DataFrame) -> DataFrame:
     ).drop("_epoch", "_epoch_count")
 
 
+def _config_by_slice(
+    df: DataFrame, config_log: DataFrame, columns: dict[str, str], ts: str
+) -> DataFrame:
+    """As-of lookup by a hash join on slices of time.
+
+    Each config row is listed under every slice in which it is in force, so a message
+    meets only the few rows of its own slice.  Slices are as wide as keeps their number
+    within ``CONFIG_SLICES``.
+    """
+    at = ordered.as_long(config_log, "effective_ts")
+    low, high = config_log.agg(F.min(at), F.max(at)).head()
+    if low is None:
+        types = {f.name: f.dataType for f in config_log.schema.fields}
+        return df.select("*", *[F.lit(None).cast(types[c]).alias(n) for n, c in columns.items()])
+    span = F.lit((high - low) // CONFIG_SLICES + 1)
+    sliced = lambda t: t - F.pmod(t, span)
+    # Everything after the last change shares one slice.
+    last = sliced(F.lit(high)) + span
+    by_time = Window.orderBy("_from", "revision")
+    spans = (
+        config_log.withColumn("_from", at)
+        .withColumn("_to", F.lead("_from").over(by_time))
+        .where(F.col("_to").isNull() | (F.col("_to") > F.col("_from")))
+        .withColumn("_end", F.coalesce(sliced(F.col("_to") - 1), last))
+        .select(
+            F.explode(F.sequence(sliced(F.col("_from")), "_end", span)).alias("_slice"),
+            "_from",
+            "_to",
+            *[F.col(c).alias(n) for n, c in columns.items()],
+        )
+    )
+    t = ordered.as_long(df, ts)
+    timed = df.withColumns({"_at": t, "_slice": F.least(sliced(t), last)})
+    within = (
+        (timed["_slice"] == spans["_slice"])
+        & (F.col("_at") >= F.col("_from"))
+        & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
+    )
+    return timed.join(F.broadcast(spans), within, "left").select(*df.columns, *columns)
+
+
 def config_at(
     df: DataFrame,
     config_log: DataFrame,
@@ -73,19 +115,12 @@ def config_at(
 ) -> DataFrame:
     """As-of lookup: add config columns in force at ``ts``; NULL before the first.
 
-    The config log is written by operators and normally tiny.  Its size is checked: a
-    small one is turned into intervals and broadcast; a large one is merged into the
+    The config log is written by operators and normally tiny.  Its size is checked: one
+    within the bound is broadcast as slices of time; a larger one is merged into the
     stream by time and carried forward.
     """
     if at_most(config_log, max_broadcast_rows):
-        by_time = Window.orderBy("effective_ts", "revision")
-        spans = config_log.select(
-            F.col("effective_ts").alias("_from"),
-            F.lead("effective_ts").over(by_time).alias("_to"),
-            *[F.col(c).alias(n) for n, c in columns.items()],
-        )
-        within = (F.col(ts) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(ts) < F.col("_to")))
-        return df.join(F.broadcast(spans), within, "left").drop("_from", "_to")
+        return _config_by_slice(df, config_log, columns, ts)
 
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     none = F.lit(None).cast("bigint")

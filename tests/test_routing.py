@@ -69,6 +69,41 @@ def test_route(spark, config, bound):
     assert [r.t for r in routing.rejected_messages(df, config).collect()] == [50]
 
 
+@pytest.mark.parametrize("n", [1, 2, 150])
+def test_many_changes(spark, n):
+    """Slices of time, merge by time, and a plain range join agree."""
+    changes = spark.range(n).select(
+        F.col("id").alias("revision"),
+        # Bursts, pauses and several changes at one time.
+        F.timestamp_seconds(F.floor(F.col("id") * F.col("id") / 3)).alias("effective_ts"),
+        F.lit("direct").alias("mode"),
+        (F.col("id") % 20 + 1).cast("int").alias("partition_count"),
+    )
+    df = spark.range(1200).select(
+        "id", F.timestamp_seconds((F.col("id") - 10) * 7.3).alias("ts"), F.lit("acct-7").alias("key")
+    )
+    latest = df.join(changes, F.col("effective_ts") <= F.col("ts")).groupBy("id").agg(
+        F.max_by("partition_count", F.struct("effective_ts", "revision")).alias("partition_count")
+    )
+    want = {r.id: r.partition_count for r in latest.collect()}
+    for bound in (0, 1000):
+        got = routing.route_messages(df, changes, "S", max_broadcast_rows=bound).collect()
+        assert {r.id: r.partition_count for r in got} == want
+
+
+def test_empty_config_rejects_all(spark, config):
+    df = spark.range(3).select(F.timestamp_seconds("id").alias("ts"), F.lit("acct-7").alias("key"))
+    assert routing.route_messages(df, config.limit(0), "S").count() == 0
+    assert routing.rejected_messages(df, config.limit(0)).count() == 3
+
+
+def test_route_does_not_shuffle_messages(spark, small, config):
+    df = I.events(spark, small).select("ts", F.col("event_type").alias("key"))
+    plan = routing.route_messages(df, config, "S")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("bound", [0, 1000])
 def test_replay_plan_without_next_epoch(spark, config, bound):
     rows = [(150, "acct-4"), (250, "acct-4"), (350, "acct-4"), (450, "acct-4")]
