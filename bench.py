@@ -19,7 +19,7 @@ from partlog.functions import codec
 from partlog.operators import audit, completeness, delivery, replay, reports, retention, routing, spacing
 from partlog.plans.scratch import scratch_path
 from partlog.sources import log
-from partlog.streaming import stateful
+from partlog.streaming import jobs, stateful
 
 
 def consume(df) -> None:
@@ -52,22 +52,25 @@ def main() -> None:
     )
     by_key = published.select("stream_seq", F.col("key").alias("id"), "ts")
 
+    audited = delivered.select("key", "run", "partition", "arrival", "sequence")
+    folder = delivered.inputFiles()[0].rsplit("/", 1)[0]
+    path = lambda name: scratch_path(spark, name)
+
     def audit_stream():
-        rows = delivered.select("key", "run", "partition", "arrival", "sequence")
-        source = rows.inputFiles()
-        schema = delivered.schema
-        folder = source[0].rsplit("/", 1)[0]
-        out, ckpt = scratch_path(spark, "audit"), scratch_path(spark, "ckpt")
-        stream = log.read_log_stream(spark, folder, schema=schema).select(rows.columns)
+        stream = log.read_log_stream(spark, folder, schema=audited.schema)
         (
             stateful.audit_stream(stream)
             .writeStream.format("parquet")
-            .option("checkpointLocation", ckpt)
+            .option("checkpointLocation", path("ckpt"))
             .trigger(availableNow=True)
-            .start(out)
+            .start(path("audit"))
             .awaitTermination()
         )
 
+    def audit_batches():
+        stream = log.read_log_stream(spark, folder, schema=audited.schema)
+        jobs.audit_batches(stream, path("audit"), path("state"), path("ckpt")).awaitTermination()
+
     queries = {
         "read_log": lambda: consume(log.read_log(spark, log3, partitions=[1])),
         "decode_messages": lambda: consume(codec.decode_messages(raw)[0]),
@@ -93,6 +96,7 @@ def main() -> None:
             spark, log3, scratch_path(spark, "rewritten"), 5, old_count=3
         ),
         "audit_stream": audit_stream,
+        "audit_batches": audit_batches,
     }
     seconds = {}
     for name, run in queries.items():

@@ -863,8 +863,9 @@ def _in_slices(df: DataFrame, position: str, bounds: tuple[int, ...], start) ->
     for b in bounds:
         number = number + (F.col(position) >= b).cast("int")
     df.withColumn("_slice", number).write.partitionBy("_slice").parquet(table)
+    slices = spark.read.parquet(table)
     for i in range(len(bounds) + 1):
-        part = spark.read.schema(df.schema).parquet(f"{table}/_slice={i}")
+        part = slices.where(F.col("_slice") == i).select(*df.columns)
         part.write.mode("append").parquet(source)
         run(start(log.read_log_stream(spark, source, schema=df.schema), ckpt))
 
@@ -887,6 +888,16 @@ def audit_stream(spark, d):
     return spark.read.parquet(out).select(*AUDIT_COLUMNS)
 
 
+@query(AUDIT_SQL)
+def audit_batches(spark, d):
+    """The same with micro-batches audited as batches."""
+    out, state = scratch_path(spark, "audit"), scratch_path(spark, "state")
+    rows = I.delivered(spark, d).select("key", "run", "partition", "arrival", "sequence")
+    start = lambda s, ckpt: jobs.audit_batches(s, out, state, ckpt, span=100)
+    _in_slices(rows, "arrival", (200, 450), start)
+    return jobs.read_batches(spark, out).select(*AUDIT_COLUMNS)
+
+
 @query(ROUTED_SQL)
 def route_stream(spark, d):
     source = I.stored(I.published(spark, d), "published")

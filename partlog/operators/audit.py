@@ -14,7 +14,9 @@ RUN_SCOPE = ("run", "partition", "key")
 PIECE_ROWS = 10_000  # elements of one emitted list; longer ones continue in the next piece
 
 
-def _verdict(previous: Column, sequence: Column) -> tuple[Column, Column]:
+def judge(df: DataFrame) -> DataFrame:
+    """Add ``status`` and ``missing`` from ``prev_sequence`` and ``sequence``."""
+    previous, sequence = F.col("prev_sequence"), F.col("sequence")
     status = (
         F.when(previous.isNull(), F.lit("ok"))
         .when(sequence <= previous, F.lit("violation"))
@@ -22,7 +24,7 @@ def _verdict(previous: Column, sequence: Column) -> tuple[Column, Column]:
         .otherwise(F.lit("ok"))
     )
     missing = F.when(sequence > previous + 1, sequence - previous - 1)
-    return status, F.coalesce(missing, F.lit(0).cast("bigint"))
+    return df.withColumns({"status": status, "missing": F.coalesce(missing, F.lit(0).cast("bigint"))})
 
 
 def ordering_audit(
@@ -36,9 +38,7 @@ def ordering_audit(
     Adds ``prev_sequence``, ``status`` (violation, gap, ok) and ``missing``.  The
     comparison is with the previous arrival, not with the highest sequence so far.
     """
-    audited = ordered.previous(df, {"prev_sequence": "sequence"}, scope, order, span=span)
-    status, missing = _verdict(F.col("prev_sequence"), F.col("sequence"))
-    return audited.withColumns({"status": status, "missing": missing})
+    return judge(ordered.previous(df, {"prev_sequence": "sequence"}, scope, order, span=span))
 
 
 def _counters() -> list[Column]:

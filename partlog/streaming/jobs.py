@@ -6,15 +6,18 @@ after a failure, it replaces what the failed attempt left.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partlog import schema as S
 from partlog.functions.codec import decode_messages
+from partlog.operators.audit import RUN_SCOPE, judge
 from partlog.operators.replay import check_count, replay_buffer
 from partlog.operators.routing import route_messages
+from partlog.plans import ordered
 from partlog.sources.dead_letter import dead_letter
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -88,6 +91,50 @@ def decode_stream(
     return _start(df, each, checkpoint, trigger)
 
 
+def audit_batches(
+    df: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    scope: Sequence[str] = RUN_SCOPE,
+    order: str = "arrival",
+    span: int = ordered.ROW_SPAN,
+    trigger: dict | None = None,
+):
+    """``ordering_audit`` on a stream, for large micro-batches and hot keys.
+
+    A micro-batch is audited as a batch, so a hot key is cut into slices.  The last
+    sequence of every scope is a narrow table that each micro-batch writes anew; the
+    folders of earlier ones may be removed.
+    """
+    scope = list(scope)
+    last = T.StructType(
+        [*[df.schema[c] for c in scope], T.StructField("sequence", T.LongType()), T.StructField(order, T.LongType())]
+    )
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            before = spark.read.schema(last).parquet(f"{state}/batch_id={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], last)
+        # What was known before sorts before everything in this batch.
+        rows = batch.withColumn("_new", F.lit(1)).unionByName(
+            before.withColumn("_new", F.lit(0)), allowMissingColumns=True
+        )
+        linked = ordered.previous(
+            rows, {"prev_sequence": "sequence"}, scope, ("_new", order), bucket=order, span=span
+        )
+        put_batch(judge(linked.where("_new = 1").drop("_new")), out, batch_id)
+        newest = lambda c, new: F.max_by(c, F.when(F.col("_new") == new, F.col(order)))
+        known = rows.groupBy(*scope).agg(
+            *[F.coalesce(newest(c, 1), newest(c, 0)).alias(c) for c in ("sequence", order)]
+        )
+        put_batch(known, state, batch_id)
+
+    return _start(df, each, checkpoint, trigger)
+
+
 def status_stream(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
     """Messages and bytes per stream, kept up to date.
 
@@ -127,7 +174,8 @@ def replay_stream(
     """Drain a buffer of (stream_seq, data) into ``out`` under ``n`` partitions.
 
     It resumes where it stopped.  A message is written once: repeated batches replace
-    themselves, and ids of other batches are left out.
+    themselves, and ids of other batches are left out.  As every micro-batch reads the
+    ids written so far, few large ones are better than many small ones.
     """
     check_count(n)
     spark = buffer.sparkSession

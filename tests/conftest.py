@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     spark = local_session("8")
-    # One JVM for the whole run; leave it to the interpreter's exit.
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     return spark
 
 
