@@ -1082,30 +1082,28 @@ def redelivery_report(spark, d):
 # ---- user functions -----------------------------------------------------------------------------
 
 
-def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows[["stream_seq", "partition"]].assign(size=rows["payload"].str.len())
-
-
 @query(
     "SELECT event_id AS stream_seq, CAST(user_id % 3 AS INTEGER) AS partition,"
     " CAST(length(event_type) AS BIGINT) AS size FROM events"
 )
 def process_by_partition(spark, d):
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[["stream_seq", "partition"]].assign(size=rows["payload"].str.len())
+
     return handlers.process_by_partition(
-        I.messages(spark, d), _sizes, "stream_seq bigint, partition int, size bigint", 3
+        I.messages(spark, d), sizes, "stream_seq bigint, partition int, size bigint", 3
     )
 
 
-def _running(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows[["key", "piece", "stream_seq"]].assign(so_far=rows["payload"].str.len().cumsum())
-
-
 @query(
     """SELECT key, piece, stream_seq, CAST(sum(length(payload)) OVER (PARTITION BY key, piece ORDER BY stream_seq) AS BIGINT) AS so_far
     FROM (SELECT *, (sequence - 1) // 25 AS piece FROM published)"""
 )
 def process_by_key(spark, d):
+    def running(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["key", "piece", "stream_seq"]].assign(so_far=rows["payload"].str.len().cumsum())
+
     return handlers.process_by_key(
-        I.messages(spark, d), _running, "key string, piece bigint, stream_seq bigint, so_far bigint", piece_rows=25
+        I.messages(spark, d), running, "key string, piece bigint, stream_seq bigint, so_far bigint", piece_rows=25
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partlog import schema as S
 from partlog.functions.keys import _col
@@ -27,11 +28,16 @@ def parse_state_key(kv_key: Column | str) -> Column:
 
 
 def sequence_state_value(value_json: Column | str) -> Column:
-    """Stored value as a struct; counters that were not written are 0."""
-    v = F.from_json(_col(value_json), S.SEQUENCE_STATE)
+    """Stored value as a struct; counters that were not written are 0.
+
+    NULL for text that is not such a value.
+    """
+    broken = "_broken"
+    schema = T.StructType([*S.SEQUENCE_STATE.fields, T.StructField(broken, T.StringType())])
+    v = F.from_json(_col(value_json), schema, {"columnNameOfCorruptRecord": broken})
     zero = lambda name: F.coalesce(v[name], F.lit(0).cast("bigint")).alias(name)
     return F.when(
-        v.isNotNull(),
+        v.isNotNull() & v[broken].isNull(),
         F.struct(
             zero("sequence"),
             zero("partition"),

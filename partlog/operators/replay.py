@@ -124,5 +124,5 @@ def repartition_log(spark, path_in: str, path_out: str, n: int, old_count: int |
     check_count(n)
     if n == old_count:
         return False
-    write_log(rekey(read_log(spark, path_in), n), path_out)
+    write_log(rekey(read_log(spark, path_in), n), path_out, mode="error")
     return True

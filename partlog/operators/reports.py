@@ -38,7 +38,7 @@ def sequence_state(kv: DataFrame) -> DataFrame:
     )
     return parsed.where(F.col("k.source").isNotNull() & F.col("v").isNotNull()).select(
         "k.source",
-        F.coalesce("k.partition", "v.partition").alias("partition"),
+        "v.partition",
         "k.key",
         "v.sequence",
         "v.gaps",

@@ -103,3 +103,8 @@ def test_state_value(spark):
     assert (r.sequence, r.partition, r.source, r.gaps, r.gap_total, r.violations) == (7, 1, "consumer", 2, 5, 3)
     r = spark.range(1).select(state.sequence_state_value(F.lit('{"sequence":1}')).alias("v")).head().v
     assert (r.sequence, r.gaps, r.source) == (1, 0, "")
+
+
+@pytest.mark.parametrize("text", ["", "junk", '{"sequence":"x"}', '{"sequence":1'])
+def test_broken_state_value(spark, text):
+    assert spark.range(1).select(state.sequence_state_value(F.lit(text)).alias("v")).head().v is None
