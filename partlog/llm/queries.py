@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlog.llm import chat, html_text, mixing, quality, sharding
+from partlog.llm import chat, decontamination, html_text, mixing, quality, sharding
 from partlog.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether it holds an item of the benchmark, and which one best."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.judged(docs, benchmark)
+    return found.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40; numbers of documents at most one apart."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
@@ -58,6 +65,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
