@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlog.llm import chat, decontamination, html_text, mixing, quality, sharding
+from partlog.llm import (
+    chat,
+    decontamination,
+    html_text,
+    licenses,
+    mixing,
+    near_vectors,
+    quality,
+    sharding,
+)
 from partlog.llm.common import table
 
 
@@ -48,6 +57,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and license notice that it holds."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that tries to forge turns, read back from the windows."""
     forged = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +73,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_windows(chat.format_conversations(given.unionByName(extra)))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of its near copies and its component."""
+    return near_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
@@ -69,7 +88,9 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
 
