@@ -14,10 +14,16 @@ from partlog.llm import (
     near_vectors,
     quality,
     sharding,
+    substrings,
 )
 from partlog.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: how many words repeated passages took, and what is left."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: whether it holds an item of the benchmark, and which one best."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -84,6 +90,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
