@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,3 +244,17 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     features = written(document_features(docs, keep), "quality-features")
     scored = score(features, fit(features, labels))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects; texts do not move."""
+    trees = fit(written(document_features(docs), "quality-features"), labels)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column("text").to_pylist()
+                good = trees.scores(np.array([text_features(t) for t in texts])) >= THRESHOLD
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -9,6 +9,7 @@ from partlog.llm import (
     chat,
     decontamination,
     html_text,
+    jaccard,
     licenses,
     mixing,
     near_vectors,
@@ -63,6 +64,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and the group it belongs to."""
+    return jaccard.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and license notice that it holds."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_license_scan": op7_license_scan,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_embedding_dedup": op9_embedding_dedup,
