@@ -80,6 +80,10 @@ LONG = (
     " says a thing or two about the matter, and does not end before its line is full.</p>"
     "+<p>The next one does the same, with other words, and adds a number, 42, and a name or two,"
     " so that nobody can say that there was nothing in it that was worth to be read.</p>"
+    "+<p>It <a>links</a> to <a>another page</a>, to <em>a book</em> and, with <strong>some</strong>"
+    " weight, to <code>code</code>, as people do who want to be <i>understood</i>.</p>"
+    "<ul>+<li>One point of a list, in some words</li>+<li>Two</li>+<li>Three words only</li></ul>"
+    "+<p>See <a>here</a>.</p>+<p><a>A link that is a line of its own</a></p>"
 )
 BODIES = (
     "+<h1>A title of the article</h1>+<p>A first paragraph of some length that says what all of"

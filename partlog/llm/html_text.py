@@ -337,7 +337,7 @@ def _marked(page: str) -> tuple[Tree, list[int]]:
             bad[tree.parent[n]] += bad[n]
     labels = []
     for n in range(size):
-        main = own[n] if own[n] is not None else good[n] > 4 * bad[n]
+        main = own[n] if own[n] is not None else good[n] > 0 == bad[n]
         other = own[n] is False or (own[n] is None and not good[n])
         labels.append(MAIN if main else OTHER if other else MIXED)
     # Pieces that held only a mark are no text.

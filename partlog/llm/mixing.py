@@ -65,9 +65,9 @@ def _targets(cells: DataFrame, margin: str, given: Mapping | None, temper: float
     if given is not None:
         spark = cells.sparkSession
         kind = cells.schema[margin].dataType.simpleString()
-        wanted = spark.createDataFrame(list(given.items()), f"{margin} {kind}, want double")
-        shares = shares.join(F.broadcast(wanted), shares[margin].eqNullSafe(wanted[margin]))
-        shares = shares.select(shares[margin], "want")
+        wanted = spark.createDataFrame(list(given.items()), f"_key {kind}, want double")
+        shares = shares.join(F.broadcast(wanted), F.col(margin).eqNullSafe(F.col("_key")))
+        shares = shares.select(margin, "want")
     else:
         shares = shares.select(margin, F.pow("t", F.lit(temper)).alias("want"))
     total = shares.agg(F.sum("want")).head()[0] or 1.0
