@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 
 from partlog.llm.common import batch_bytes, written
 from partlog.llm.words import Words, chunks, mix, runs
+from partlog.plans.bounds import BROADCAST_ROWS, at_most
 
 WINDOW = 20
 RUN = 3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 HOT = 8  # times the mean
 LEVEL = 3
@@ -110,12 +111,23 @@ def _rows(batches: Iterator[pd.DataFrame], most: int) -> Iterator[list[tuple]]:
         yield from chunks(texts, lambda r: len(r[2]), most)
 
 
-def _given(docs: DataFrame) -> DataFrame:
-    return docs.select(
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with their id as ``doc`` and a hash of the text, 0 if the id names one text."""
+    given = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"),
-        F.xxhash64("text").alias("text_key"),
+        F.xxhash64("text").alias("_hash"),
+        F.col("doc_id").cast("string").alias("doc_id"),
         "text",
-    ).where("text is not null")
+    )
+    texts = given.groupBy("doc").agg(F.min("_hash").alias("low"), F.max("_hash").alias("high"))
+    shared = written(texts.where("low <> high").select("doc"), "kmer-shared-ids")
+    if shared.isEmpty():
+        return given.withColumn("text_key", F.lit(0).cast("bigint")).drop("_hash")
+    shared = shared.withColumn("_shared", F.lit(True))
+    if at_most(shared, BROADCAST_ROWS):
+        shared = F.broadcast(shared)
+    key = F.when(F.col("_shared"), F.col("_hash")).otherwise(F.lit(0))
+    return given.join(shared, "doc", "left").select("doc", key.alias("text_key"), "doc_id", "text")
 
 
 def _sizes(given: DataFrame, buckets: int, window: int, run: int) -> DataFrame:
@@ -166,16 +178,16 @@ def _pack(
                         kept.append(s)
                     elif (doc[s], key[s], place[s]) != (doc[lead], key[lead], place[lead]):
                         again.append(s)
-                places = np.stack([doc[kept], key[kept], place[kept], n[kept]]).astype("<i8")
+                places = _steps(np.stack([doc[kept], key[kept], place[kept], n[kept]]))
                 body = b"\n".join(seen)
                 out_bucket.append(int(bucket[part[0]]))
                 out_packed.append(
-                    press.compress(len(kept).to_bytes(8, "little") + places.tobytes() + body)
+                    press.compress(len(kept).to_bytes(8, "little") + places + body)
                 )
             if again:
-                ranges = np.stack([doc[again], key[again], place[again], n[again]]).astype("<i8")
+                ranges = _steps(np.stack([doc[again], key[again], place[again], n[again]]))
                 out_bucket.append(-1)
-                out_packed.append(press.compress(ranges.tobytes()))
+                out_packed.append(press.compress(ranges))
             yield pd.DataFrame({"bucket": out_bucket, "packed": out_packed})
 
     return given.mapInPandas(pack, PACKED)
@@ -211,7 +223,7 @@ def _repeats(packed: list[bytes], window: int) -> np.ndarray:
         raw = open_.decompress(one)
         count = int.from_bytes(raw[:8], "little")
         end = 8 + 32 * count
-        places.append(np.frombuffer(raw[8:end], dtype="<i8").reshape(4, count))
+        places.append(_places(raw[8:end]))
         bodies.append(raw[end:])
     doc, key, place, n = np.concatenate(places, axis=1)
     words = Words(bodies)
@@ -246,6 +258,17 @@ def _repeats(packed: list[bytes], window: int) -> np.ndarray:
     return np.stack([d[rest], k[rest], where[rest], where[rest] + 1])
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Rows of numbers as steps, byte by byte, which compress well."""
+    step = np.diff(places, axis=1, prepend=0).astype("<i8")
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _places(raw: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T)
+    return np.cumsum(step.reshape(-1).view("<i8").reshape(4, -1), axis=1)
+
+
 def _merged(ranges: np.ndarray) -> pd.DataFrame:
     """Ranges of windows, those that touch made one."""
     doc, key, low, high = ranges
@@ -274,9 +297,13 @@ def _merged(ranges: np.ndarray) -> pd.DataFrame:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Ranges [low, high) of window starts, per document, that stand earlier elsewhere."""
-    spark = docs.sparkSession
+    return _ranges(_keyed(docs), window, run)
+
+
+def _ranges(keyed: DataFrame, window: int, run: int) -> DataFrame:
+    spark = keyed.sparkSession
     batch_bytes(spark)
-    given = _given(docs)
+    given = keyed.select("doc", "text_key", "text").where("text is not null")
     size = given.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(1, 3 * size // BUCKET_BYTES)
     sizes = written(
@@ -296,7 +323,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
         for batch in batches:
             for bucket, one in zip(batch["bucket"].tolist(), batch["packed"]):
                 if bucket == -1:
-                    doc, key, place, n = np.frombuffer(open_.decompress(one), "<i8").reshape(4, -1)
+                    doc, key, place, n = _places(open_.decompress(one))
                     yield _merged(np.stack([doc, key, place, place + n]))
                     continue
                 if bucket != now:
@@ -307,7 +334,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
         if held:
             yield _merged(_repeats(held, window))
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 8, 20_000))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets // 2, 20_000))
     # Repeats found at once need no bucket: they are dealt out by their chunk.
     dealt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-F.abs(F.hash("packed")))
     return (
@@ -325,19 +352,14 @@ def remove_repeats(
 
     Rows of ``docs`` in, rows out; a word goes if a repeated window covers it.
     """
-    ranges = repeated_ranges(docs, window, run)
+    given = _keyed(docs)
+    ranges = _ranges(given, window, run)
     per_doc = written(
         ranges.groupBy("doc", "text_key").agg(
             F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")
         ),
         "kmer-ranges",
     )
-    given = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"),
-        F.xxhash64("text").alias("text_key"),
-        F.col("doc_id").cast("string").alias("doc_id"),
-        "text",
-    )
     joined = given.join(per_doc, ["doc", "text_key"], "left").select("doc_id", "text", "lows", "highs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
