@@ -54,7 +54,7 @@ SHINGLE = 5
 SIMILAR, OF = 75, 100
 HOT = 64
 MOST_HOT = 1_000_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 PIVOT_ROUNDS = 3
 DELETION_SIZE = 6  # up to here sets differ in at most one shingle from smaller ones
@@ -121,10 +121,14 @@ def deletions(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.array([total], dtype=np.uint64)), mix(total - each)
 
 
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def _texts(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
     for batch in batches:
         rows = zip(*(batch[c].tolist() for c in columns), batch["text"])
-        coded = ((*r[:-1], (r[-1] or "").encode("utf-8", "surrogatepass")) for r in rows)
+        coded = ((*r[:-1], _encoded(r[-1])) for r in rows)
         yield from chunks(coded, lambda r: len(r[-1]), CHUNK_BYTES)
 
 
@@ -393,13 +397,22 @@ def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
     """Groups of short sets by single shingles, the rarest of each set."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch["text"]]):
-                yield pd.DataFrame({"class": set_name(s), "n": len(s), "grp": s.view(np.int64)})
-
+        for part in _texts(batches, []):
+            sets = shingle_sets([r[-1] for r in part])
+            n = [len(s) for s in sets]
+            names = [set_name(s) for s in sets]
+            yield pd.DataFrame(
+                {
+                    "class": np.repeat(np.array(names, dtype=np.int64), n),
+                    "n": np.repeat(np.array(n, dtype=np.int64), n),
+                    "grp": np.concatenate(sets).view(np.int64),
+                }
+            )
+
+    # Written first: two Python steps in one task would hold twice the memory.
+    held = written(_texts_of(texts, short), "jaccard-short-texts").select("text")
     each = written(
-        _texts_of(texts, short).mapInPandas(explode, "class bigint, n bigint, grp bigint").distinct(),
-        "jaccard-shingles",
+        held.mapInPandas(explode, "class bigint, n bigint, grp bigint").distinct(), "jaccard-shingles"
     )
     counts = each.groupBy("grp").agg(F.count("*").alias("sets"))
     rarest = Window.partitionBy("class").orderBy("sets", "grp")
@@ -430,19 +443,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            sides = [
-                shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch[c]])
-                for c in ("text_a", "text_b")
-            ]
-            ok = []
-            for x, y in zip(*sides):
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(OF * common >= SIMILAR * (len(x) + len(y) - common))
-            yield batch.loc[np.array(ok), ["a", "b"]]
+            rows = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])
+            coded = ((a, b, _encoded(x), _encoded(y)) for a, b, x, y in rows)
+            for part in chunks(coded, lambda r: len(r[2]) + len(r[3]), CHUNK_BYTES):
+                sets = shingle_sets([t for r in part for t in r[2:]])
+                found = []
+                for (a, b, _, _), x, y in zip(part, sets[0::2], sets[1::2]):
+                    both = np.concatenate((x, y))
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if OF * common >= SIMILAR * (len(x) + len(y) - common):
+                        found.append((a, b))
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "a bigint, b bigint")
