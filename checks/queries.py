@@ -355,6 +355,26 @@ def route_messages(spark, d):
     return _routed(spark, d)
 
 
+def _patchy_config(spark) -> DataFrame:
+    """Starts late, and holds counts that cannot be used."""
+    rows = [("2024-01-05", 3), ("2024-01-10", 0), ("2024-01-12", 21), ("2024-01-15", None), ("2024-01-20", 2)]
+    df = spark.createDataFrame(
+        [(k, t, "direct", n) for k, (t, n) in enumerate(rows, 1)],
+        "revision int, effective_ts string, mode string, partition_count int",
+    )
+    return df.withColumn("effective_ts", F.col("effective_ts").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT stream_seq, key, CASE WHEN ts < TIMESTAMP '2024-01-05' THEN 'no configuration'
+      ELSE 'unusable partition count' END AS reject_reason FROM published
+    WHERE ts < TIMESTAMP '2024-01-05' OR (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')"""
+)
+def rejected_messages(spark, d):
+    bad = routing.rejected_messages(I.published(spark, d), _patchy_config(spark))
+    return bad.select("stream_seq", "key", "reject_reason")
+
+
 @query(ROUTED_SQL)
 def route_messages_merge(spark, d):
     """The way taken when the config log is too large to broadcast."""
@@ -449,9 +469,40 @@ def idempotent_append(spark, d):
     return delivery.idempotent_append(new, target, ["key", "sequence"], position="arrival")
 
 
-@query("SELECT stream, partition, pending = 0 AND ack_pending = 0 AS drained FROM consumer_counts WHERE partition < 2")
+@query("SELECT stream, partition, pending = 0 AND ack_pending = 0 AS drained FROM consumer_counts WHERE partition < 3")
 def drained(spark, d):
-    return delivery.drained(_consumer_info(spark, d), 2)
+    return delivery.drained(_consumer_info(spark, d), 3)
+
+
+STALLED = """(SELECT p.stream, p.partition,
+      count(*) FILTER (p.partition = 2 OR s.state = 'pending') AS pending,
+      count(*) FILTER (p.partition <> 2 AND s.state = 'ack_pending') AS ack_pending,
+      CAST(coalesce(sum(s.attempts) FILTER (p.partition <> 2), 0) AS BIGINT) AS delivered
+    FROM delivery_state p JOIN delivery_state s USING (stream, partition, stream_seq)
+    GROUP BY p.stream, p.partition)"""
+
+
+def _stalled_info(spark, d):
+    """Partition 2 of every stream has a consumer that has delivered nothing."""
+    sent, tried = I.stream_log(spark, d), I.deliveries(spark, d).where("partition <> 2")
+    return delivery.consumer_info(sent, tried, consumers=sent.select("stream", "partition"))
+
+
+@query(
+    f"SELECT stream, partition, delivered, pending, ack_pending, concat('consumer-p', partition) AS name FROM {STALLED}"
+)
+def consumer_info_stalled(spark, d):
+    return _stalled_info(spark, d)
+
+
+@query(f"SELECT stream, CAST(sum(pending + ack_pending) AS BIGINT) AS total_pending FROM {STALLED} GROUP BY stream")
+def total_pending_stalled(spark, d):
+    return delivery.total_pending(_stalled_info(spark, d))
+
+
+@query(f"SELECT stream, bool_and(pending = 0 AND ack_pending = 0) AS drained FROM {STALLED} GROUP BY stream")
+def stream_drained_stalled(spark, d):
+    return delivery.stream_drained(_stalled_info(spark, d))
 
 
 @query("SELECT stream, bool_and(pending = 0 AND ack_pending = 0) AS drained FROM consumer_counts GROUP BY stream")
@@ -499,9 +550,10 @@ def consumer_results(spark, d):
 
 
 @query(
-    """SELECT run, partition, (n - 1) // 500 AS piece, count(*) AS received,
+    """SELECT run, partition, (n - 1) // 500 AS piece, received,
       string_agg(concat(key, ':', sequence, ':', payload), ' ' ORDER BY n) AS messages
-    FROM (SELECT *, row_number() OVER (PARTITION BY run, partition ORDER BY stream_seq, arrival) AS n FROM delivered)
+    FROM (SELECT *, row_number() OVER (PARTITION BY run, partition ORDER BY stream_seq, arrival) AS n,
+      count(*) OVER (PARTITION BY run, partition) AS received FROM delivered)
     GROUP BY ALL"""
 )
 def consumer_messages(spark, d):
@@ -786,9 +838,7 @@ def union_logs(spark, d):
 
 @query(
     """SELECT key, sequence, 'missing' AS side FROM published
-    WHERE (key, sequence) NOT IN (SELECT (key, sequence) FROM delivered)
-    UNION ALL SELECT DISTINCT key, sequence, 'unexpected' FROM delivered JOIN (SELECT key, count(*) - 5 AS n
-      FROM published GROUP BY key) USING (key) WHERE false"""
+    WHERE (key, sequence) NOT IN (SELECT (key, sequence) FROM delivered)"""
 )
 def missing_messages(spark, d):
     return completeness.missing_messages(I.expected(spark, d), I.delivered(spark, d))
@@ -902,10 +952,10 @@ def audit_batches(spark, d):
 def route_stream(spark, d):
     source = I.stored(I.published(spark, d), "published")
     config = I.stored(I.config_log(spark), "config")
-    out, ckpt = scratch_path(spark, "routed"), scratch_path(spark, "ckpt")
+    out, bad, ckpt = (scratch_path(spark, n) for n in ("routed", "unrouted", "ckpt"))
     schema = spark.read.parquet(source).schema
     stream = log.read_log_stream(spark, source, schema=schema)
-    run(jobs.route_stream(stream, lambda s: s.read.parquet(config), I.PREFIX, out, ckpt))
+    run(jobs.route_stream(stream, lambda s: s.read.parquet(config), I.PREFIX, out, bad, ckpt))
     return jobs.read_batches(spark, out).drop("batch_id")
 
 
@@ -926,16 +976,19 @@ def decode_stream(spark, d):
     return kept.unionByName(lost)
 
 
-@query(
+SQL_DEDUP = (
     "SELECT p.stream_seq, p.id, p.ts FROM (SELECT id, t FROM chain) c JOIN"
     " (SELECT key AS id, ts, min(stream_seq) AS stream_seq FROM published GROUP BY key, ts) p"
-    " ON p.id = c.id AND p.ts = c.t",
-    recursive="""chain AS (
+    " ON p.id = c.id AND p.ts = c.t"
+)
+SQL_DEDUP_CHAIN = """chain AS (
       SELECT key AS id, min(ts) AS t FROM published GROUP BY key
       UNION ALL
       SELECT c.id, (SELECT min(p.ts) FROM published p WHERE p.key = c.id AND p.ts >= c.t + INTERVAL '12' HOUR)
-      FROM chain c WHERE EXISTS (SELECT 1 FROM published p WHERE p.key = c.id AND p.ts >= c.t + INTERVAL '12' HOUR))""",
-)
+      FROM chain c WHERE EXISTS (SELECT 1 FROM published p WHERE p.key = c.id AND p.ts >= c.t + INTERVAL '12' HOUR))"""
+
+
+@query(SQL_DEDUP, recursive=SQL_DEDUP_CHAIN)
 def dedup_window(spark, d):
     rows = I.published(spark, d).select("stream_seq", F.col("key").alias("id"), "ts")
     return spacing.dedup_window(rows, window="12 hours")
@@ -957,15 +1010,35 @@ def dedup_window_hot(spark, d):
     return spacing.dedup_window(rows, window="6 hours", fold_rows=100)
 
 
-@query()
+@query(SQL_DEDUP, recursive=SQL_DEDUP_CHAIN)
 def dedup_stream(spark, d):
-    """Three slices of time, so that the watermark moves on between them."""
-    rows = I.published(spark, d).select("stream_seq", F.col("key").alias("id"), F.col("ts").cast("timestamp"))
+    """The same rows in three slices of time, with what was kept carried from one to the next."""
+    rows = I.published(spark, d).select("stream_seq", F.col("key").alias("id"), "ts")
     rows = rows.withColumn("day", F.datediff(F.col("ts"), F.lit("2024-01-01")))
-    out = scratch_path(spark, "deduped")
-    start = lambda s, ckpt: _to_files(stateful.dedup_stream(s.drop("day"), window="12 hours"), out, ckpt)
+    out, kept = scratch_path(spark, "deduped"), scratch_path(spark, "kept")
+    start = lambda s, ckpt: jobs.dedup_stream(s, out, kept, ckpt, window="12 hours")
     _in_slices(rows, "day", (10, 20), start)
-    return spark.read.schema(rows.drop("day").schema).parquet(out)
+    return jobs.read_batches(spark, out).select("stream_seq", "id", "ts")
+
+
+@query(
+    "SELECT p.stream, p.n AS stream_seq, p.ts FROM (SELECT stream, t FROM chain) c JOIN (SELECT stream, ts, min(n) AS n"
+    " FROM numbered GROUP BY stream, ts) p ON p.stream = c.stream AND p.ts = c.t",
+    recursive="""numbered AS (SELECT payload AS stream, ts, row_number() OVER (PARTITION BY payload ORDER BY stream_seq) AS n
+      FROM published),
+    chain AS (
+      SELECT stream, min(ts) AS t FROM numbered GROUP BY stream
+      UNION ALL
+      SELECT c.stream, (SELECT min(p.ts) FROM numbered p WHERE p.stream = c.stream AND p.ts >= c.t + INTERVAL '12' HOUR)
+      FROM chain c WHERE EXISTS (SELECT 1 FROM numbered p WHERE p.stream = c.stream AND p.ts >= c.t + INTERVAL '12' HOUR))""",
+)
+def dedup_window_per_stream(spark, d):
+    """Positions count from 1 in each stream."""
+    rows = audit.assign_sequence(
+        I.published(spark, d).select("stream_seq", F.col("payload").alias("key"), "ts"), ("stream_seq",)
+    )
+    rows = rows.select(F.col("key").alias("stream"), F.col("sequence").alias("stream_seq"), "ts")
+    return spacing.dedup_window(rows, id="stream", window="12 hours")
 
 
 @query("SELECT * FROM windows")
@@ -1084,26 +1157,48 @@ def redelivery_report(spark, d):
 
 @query(
     "SELECT event_id AS stream_seq, CAST(user_id % 3 AS INTEGER) AS partition,"
-    " CAST(length(event_type) AS BIGINT) AS size FROM events"
+    " CAST(sum(length(event_type)) OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS BIGINT) AS size FROM events"
 )
 def process_by_partition(spark, d):
+    """A running total over the whole partition."""
+
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
         for rows in batches:
-            yield rows[["stream_seq", "partition"]].assign(size=rows["payload"].str.len())
+            size = total + rows["payload"].str.len().cumsum()
+            total = int(size.iloc[-1])
+            yield rows[["stream_seq", "partition"]].assign(size=size)
 
     return handlers.process_by_partition(
         I.messages(spark, d), sizes, "stream_seq bigint, partition int, size bigint", 3
     )
 
 
+@query(
+    """SELECT key, stream_seq, CAST(sum(length(payload)) OVER (PARTITION BY key ORDER BY stream_seq) AS BIGINT) AS so_far
+    FROM published"""
+)
+def process_by_key(spark, d):
+    """A running total over the whole key."""
+
+    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for rows in batches:
+            so_far = total + rows["payload"].str.len().cumsum()
+            total = int(so_far.iloc[-1])
+            yield rows[["key", "stream_seq"]].assign(so_far=so_far)
+
+    return handlers.process_by_key(I.messages(spark, d), running, "key string, stream_seq bigint, so_far bigint")
+
+
 @query(
     """SELECT key, piece, stream_seq, CAST(sum(length(payload)) OVER (PARTITION BY key, piece ORDER BY stream_seq) AS BIGINT) AS so_far
     FROM (SELECT *, (sequence - 1) // 25 AS piece FROM published)"""
 )
-def process_by_key(spark, d):
+def process_by_piece(spark, d):
     def running(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["key", "piece", "stream_seq"]].assign(so_far=rows["payload"].str.len().cumsum())
 
-    return handlers.process_by_key(
+    return handlers.process_by_piece(
         I.messages(spark, d), running, "key string, piece bigint, stream_seq bigint, so_far bigint", piece_rows=25
     )

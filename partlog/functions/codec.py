@@ -15,9 +15,6 @@ NOT_JSON = "not a JSON value"
 NOT_A_MESSAGE = "JSON value is not a message"
 
 
-_FIELDS = "struct<key:variant,sequence:variant,payload:variant,partition:variant,ts:variant>"
-
-
 def _absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
@@ -49,8 +46,27 @@ def _parsed(df: DataFrame, raw: str) -> DataFrame:
         df,
         _sound=first.isNotNull() & alone & F.col("_closed"),
         _void=F.coalesce(F.is_variant_null(first), F.lit(False)),
-        _fields=F.try_variant_get("_list", "$[0]", _FIELDS),
-    )
+        _named=F.try_variant_get("_list", "$[0]", "map<string,variant>"),
+    ).transform(_by_name)
+
+
+def _by_name(df: DataFrame) -> DataFrame:
+    """Add ``_fields`` and ``_clash``: names count without case, as a decoder matches them.
+
+    Names that differ only in case give no order to choose by, so they are a clash.
+    """
+    names = [*_TEXT_FIELDS, *_INT_FIELDS]
+    entries = F.coalesce(F.map_entries("_named"), F.array().cast("array<struct<key:string,value:variant>>"))
+    same = {n: _named(entries, n) for n in names}
+    fields = F.struct(*[F.get(same[n], F.lit(0))["value"].alias(n) for n in names])
+    clash = F.lit(False)
+    for n in names:
+        clash = clash | (F.size(same[n]) > 1)
+    return _once(df, _fields=F.when(F.col("_named").isNotNull(), fields), _clash=clash)
+
+
+def _named(entries: Column, name: str) -> Column:
+    return F.filter(entries, lambda e: F.lower(e["key"]) == name)
 
 
 def _is_message() -> Column:
@@ -60,7 +76,7 @@ def _is_message() -> Column:
     def typed(name: str, wanted: str) -> Column:
         return _absent(fields[name]) | (F.schema_of_variant(fields[name]) == wanted)
 
-    ok = fields.isNotNull()
+    ok = fields.isNotNull() & ~F.col("_clash")
     for name in _TEXT_FIELDS:
         ok = ok & typed(name, "STRING")
     for name in _INT_FIELDS:

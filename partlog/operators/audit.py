@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlog.functions.keys import _col
@@ -85,21 +85,30 @@ def consumer_results(
 ) -> DataFrame:
     """Messages received per consumer run and partition.
 
-    With messages, the list comes in pieces of at most ``piece_rows`` messages in
-    ``order``, one row per piece; ``received`` is then the size of the piece.  The first
-    order column should be (nearly) unique within the partition, as a log position is.
+    ``received`` is always the total.  With messages, the list comes in pieces of at most
+    ``piece_rows`` messages in ``order``, one row per piece.  The first order column
+    should be (nearly) unique within the partition, as a log position is.
     """
+    totals = df.groupBy("run", "partition").agg(F.count(F.lit(1)).alias("received"))
     if not with_messages:
-        return df.groupBy("run", "partition").agg(F.count(F.lit(1)).alias("received"))
+        return totals
+    totals = totals.select(F.struct("run", "partition").alias("_of"), "received")
     fields = ("key", "sequence", "payload")
     numbered = ordered.number_rows(df, "_pos", ("run", "partition"), order, span=span)
     piece = F.floor((F.col("_pos") - 1) / piece_rows).alias("piece")
     in_order = F.array_sort(F.collect_list(F.struct("_pos", *fields)))
     return (
         numbered.groupBy("run", "partition", piece)
-        .agg(F.count(F.lit(1)).alias("received"), in_order.alias("_m"))
-        .withColumn("messages", F.transform("_m", lambda m: F.struct(*[m[f].alias(f) for f in fields])))
-        .drop("_m")
+        .agg(in_order.alias("_m"))
+        .withColumn("_of", F.struct("run", "partition"))
+        .join(totals, "_of")
+        .select(
+            "run",
+            "partition",
+            "piece",
+            "received",
+            F.transform("_m", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("messages"),
+        )
     )
 
 
@@ -150,9 +159,16 @@ def sequence_runs(
     span: int | None = None,
 ) -> DataFrame:
     """Maximal runs of consecutive sequences in arrival order, one row per run."""
-    seen = ordered.previous(df, {"_prev": "sequence"}, scope, order, span=span)
     starts = F.when(F.col("sequence") == F.col("_prev") + 1, 0).otherwise(1)
-    numbered = ordered.running_sum(seen, "run_no", starts, scope, order, span=span)
+    if span is None and scope and ordered.all_cold(df, scope):
+        # Groups that fit into a task: previous row and run number in one pass.
+        by = Window.partitionBy(*scope).orderBy(*order)
+        seen = df.withColumn("_prev", F.lag("sequence").over(by))
+        upto = by.rowsBetween(Window.unboundedPreceding, 0)
+        numbered = seen.withColumn("_starts", starts).withColumn("run_no", F.sum("_starts").over(upto))
+    else:
+        seen = ordered.previous(df, {"_prev": "sequence"}, scope, order, span=span)
+        numbered = ordered.running_sum(seen, "run_no", starts, scope, order, span=span)
     # Inside a run the sequence rises by one, so its ends are its extremes.
     return numbered.groupBy(*scope, "run_no").agg(
         F.min("sequence").alias("first_sequence"),

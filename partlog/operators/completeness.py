@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlog.operators.audit import position_check
+from partlog.plans import ordered
 
 EXPAND_ROWS = 100_000  # sequences generated per row when expected counts are expanded
 
@@ -31,32 +32,53 @@ def completeness_report(expected: DataFrame, received: DataFrame, span: int | No
     )
 
 
-def expected_messages(expected: DataFrame, piece_rows: int = EXPAND_ROWS) -> DataFrame:
-    """(key, sequence) for 1..expected per key.
+def _expand(ranges: DataFrame, piece_rows: int) -> DataFrame:
+    """(key, sequence) for each number of the ranges (key, low, high).
 
-    A key is first cut into pieces and the pieces are spread, so that a key with very
-    many messages is not expanded by one task.
+    A range is first cut into pieces and the pieces are spread, so that a long one is not
+    expanded by one task.
     """
-    n = F.col("expected").cast("bigint")
-    # A given number, because adaptive execution would merge these short rows again.
-    tasks = int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = (
-        expected.where(n > 0)
-        .select("key", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / piece_rows))).alias("_p"))
-        .repartition(tasks, "key", "_p")
+    pieces = ranges.where("low <= high").select(
+        "key",
+        "high",
+        F.explode(F.sequence("low", "high", F.lit(piece_rows).cast("bigint"))).alias("_from"),
     )
-    low = F.col("_p") * piece_rows + 1
-    high = F.least(F.col("_n"), (F.col("_p") + 1) * piece_rows)
-    return pieces.select("key", F.explode(F.sequence(low, high)).alias("sequence"))
+    # A given number, because adaptive execution would merge these short rows again.
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.least(F.col("high"), F.col("_from") + (piece_rows - 1))
+    spread = pieces.repartition(tasks, "key", "_from")
+    return spread.select("key", F.explode(F.sequence("_from", to)).alias("sequence"))
+
 
+def expected_messages(expected: DataFrame, piece_rows: int = EXPAND_ROWS) -> DataFrame:
+    """(key, sequence) for 1..expected per key."""
+    one = F.lit(1).cast("bigint")
+    ranges = expected.select("key", one.alias("low"), F.col("expected").cast("bigint").alias("high"))
+    return _expand(ranges, piece_rows)
+
+
+def missing_messages(
+    expected: DataFrame, received: DataFrame, piece_rows: int = EXPAND_ROWS, span: int | None = None
+) -> DataFrame:
+    """(key, sequence, side): ``missing`` were expected only, ``unexpected`` received only.
 
-def missing_messages(expected: DataFrame, received: DataFrame) -> DataFrame:
-    """(key, sequence, side): ``missing`` were expected only, ``unexpected`` received only."""
-    want = expected_messages(expected).select("key", "sequence", F.lit(1).alias("_w"))
-    have = received.select("key", "sequence").distinct().withColumn("_h", F.lit(1))
-    side = F.when(F.col("_h").isNull(), F.lit("missing")).otherwise(F.lit("unexpected"))
+    Only the holes between received sequences, and what is left after the last, are
+    expanded, so the work follows what arrived and what is missing.
+    """
+    have = received.select("key", F.col("sequence").cast("bigint").alias("sequence")).distinct()
+    wanted = expected.select("key", F.col("expected").cast("bigint").alias("_n"))
+    # The number that was expected stands behind all that arrived, and closes the last hole.
+    ends = wanted.where("_n > 0").select("key", (F.col("_n") + 1).alias("sequence"))
+    beyond = have.join(wanted, "key", "left").where(
+        F.col("_n").isNull() | (F.col("sequence") > F.col("_n")) | (F.col("sequence") < 1)
+    )
+    known = have.join(wanted, "key").where((F.col("sequence") >= 1) & (F.col("sequence") <= F.col("_n")))
+    points = known.select("key", "sequence").unionByName(ends)
+    linked = ordered.previous(points, {"_before": "sequence"}, ("key",), ("sequence",), span=span)
+    low = F.coalesce("_before", F.lit(0).cast("bigint")) + 1
+    holes = linked.select("key", low.alias("low"), (F.col("sequence") - 1).alias("high"))
     return (
-        want.join(have, ["key", "sequence"], "full_outer")
-        .where(F.col("_w").isNull() | F.col("_h").isNull())
-        .select("key", "sequence", side.alias("side"))
+        _expand(holes, piece_rows)
+        .withColumn("side", F.lit("missing"))
+        .unionByName(beyond.select("key", "sequence", F.lit("unexpected").alias("side")))
     )

@@ -43,11 +43,17 @@ def pending_messages(
 
 
 def consumer_info(
-    published: DataFrame, deliveries: DataFrame, ids: Sequence[str] = MESSAGE_KEY
+    published: DataFrame,
+    deliveries: DataFrame,
+    ids: Sequence[str] = MESSAGE_KEY,
+    consumers: DataFrame | None = None,
 ) -> DataFrame:
     """Per stream and partition: deliveries made, pending and ack_pending messages.
 
-    Partitions without any delivery have no consumer and are left out.
+    ``consumers`` (stream, partition) lists those that exist.  Each gets a row, also one
+    that has delivered nothing yet, whose whole backlog is pending, and one without
+    messages; partitions without a consumer are left out.  If it is not given, those with
+    a delivery are taken to be all.
     """
     state = _with_state(published, deliveries, ids)
     info = state.groupBy("stream", "partition").agg(
@@ -55,7 +61,15 @@ def consumer_info(
         F.count_if(F.col("state") == PENDING).alias("pending"),
         F.count_if(F.col("state") == ACK_PENDING).alias("ack_pending"),
     )
-    return info.where("delivered > 0").withColumn("name", consumer_name("partition"))
+    if consumers is None:
+        known = info.where("delivered > 0")
+    else:
+        zero = F.lit(0).cast("bigint")
+        listed = consumers.select("stream", F.col("partition").cast(info.schema["partition"].dataType)).distinct()
+        known = listed.join(info, ["stream", "partition"], "left").select(
+            "stream", "partition", *[F.coalesce(c, zero).alias(c) for c in ("delivered", "pending", "ack_pending")]
+        )
+    return known.withColumn("name", consumer_name("partition"))
 
 
 def total_pending(info: DataFrame) -> DataFrame:
@@ -100,9 +114,10 @@ def idempotent_append(
     new: DataFrame, target: DataFrame, id_cols: Sequence[str], position: str = "stream_seq"
 ) -> DataFrame:
     """Rows of ``new`` whose id is not in ``target``, the earliest one of each id."""
-    ids = list(id_cols)
-    rest = [c for c in new.columns if c not in ids]
-    # Copies of an id are combined before the shuffle, and the join reuses its placement.
-    first = new.groupBy(*ids).agg(F.min_by(F.struct(*rest), position).alias("_row"))
-    known = target.select(*ids).distinct()
-    return first.join(known, ids, "left_anti").select(*ids, "_row.*").select(*new.columns)
+    # A struct as join column finds NULL ids too.  Only ids and positions are aggregated;
+    # the rows themselves are shuffled once.
+    id_ = F.struct(*id_cols).alias("_id")
+    first = new.select(id_, F.col(position).alias("_first")).groupBy("_id").agg(F.min("_first").alias("_first"))
+    fresh = first.join(target.select(id_).distinct(), "_id", "left_anti")
+    rows = new.withColumns({"_id": F.struct(*id_cols), "_first": F.col(position)})
+    return rows.join(fresh, ["_id", "_first"], "left_semi").select(*new.columns)

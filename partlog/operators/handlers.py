@@ -3,52 +3,75 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partlog.operators.audit import PIECE_ROWS
 from partlog.operators.replay import rekey
 from partlog.plans import ordered
 
-_PIECE = "_piece"
+Handler = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def _by_group(fn: Handler, by: str) -> Handler:
+    """Calls ``fn`` once per value of ``by``, with all its batches; rows come sorted by it."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
+        for batch in batches:
+            codes = pd.factorize(batch[by], use_na_sentinel=False)[0]
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            for low, high in zip(starts, [*starts[1:], len(batch)]):
+                value = batch[by].iloc[low]
+                part = batch.iloc[low:high].reset_index(drop=True)
+                yield (None if pd.isna(value) else value), part
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in groupby(parts(batches), key=lambda p: p[0]):
+            yield from fn(part for _, part in rows)
+
+    return each
 
 
 def process_by_partition(
-    df: DataFrame,
-    fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
-    schema: T.StructType | str,
-    n: int,
-    order: str = "stream_seq",
-    piece_rows: int = ordered.ROW_SPAN,
+    df: DataFrame, fn: Handler, schema: T.StructType | str, n: int, order: str = "stream_seq"
 ) -> DataFrame:
-    """Run ``fn`` over the messages of ``n`` partitions in log order.
+    """Run ``fn`` over each of ``n`` partitions, one at a time, in log order.
 
-    ``fn`` gets an iterator of batches, as in ``mapInPandas``.  A task holds a
-    contiguous range of one or more (partition, log position) pieces, never a whole
-    large partition; ``fn`` must not carry state from one call to the next.
+    ``fn`` is called once per partition with an iterator of its batches and yields result
+    batches.  A task streams through a partition, so its memory does not grow with it.
     """
-    keyed = rekey(df, n)
-    position = F.col(order)
-    piece = (position - F.pmod(position, F.lit(piece_rows))).alias(_PIECE)
-    placed = keyed.select("*", piece).repartition("partition", _PIECE)
-    return placed.sortWithinPartitions("partition", order).drop(_PIECE).mapInPandas(fn, schema)
+    placed = rekey(df, n).repartition(n, "partition").sortWithinPartitions("partition", order)
+    return placed.mapInPandas(_by_group(fn, "partition"), schema)
 
 
 def process_by_key(
+    df: DataFrame, fn: Handler, schema: T.StructType | str, order: str = "stream_seq"
+) -> DataFrame:
+    """Run ``fn`` over all messages of each key, in order.
+
+    ``fn`` is called once per key with an iterator of its batches, so state such as a
+    running total covers the whole key.  A task streams through a key of any size.
+    """
+    placed = df.repartition("key").sortWithinPartitions("key", order)
+    return placed.mapInPandas(_by_group(fn, "key"), schema)
+
+
+def process_by_piece(
     df: DataFrame,
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
+    piece_rows: int,
     order: str = "stream_seq",
-    piece_rows: int = PIECE_ROWS,
     span: int | None = None,
 ) -> DataFrame:
-    """Run ``fn`` over the messages of each key in order.
+    """Run ``fn`` over pieces of ``piece_rows`` consecutive messages of each key.
 
-    A key with more than ``piece_rows`` messages is handed over in consecutive pieces of
-    that size, which other tasks may process; the column ``piece`` numbers them.
+    For functions that need no state across pieces: a large key is spread over many tasks.
+    The column ``piece`` numbers the pieces of a key from 0.
     """
     numbered = ordered.number_rows(df, "_pos", ("key",), (order,), span=span)
     pieces = numbered.withColumn("piece", F.floor((F.col("_pos") - 1) / piece_rows)).drop("_pos")

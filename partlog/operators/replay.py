@@ -24,6 +24,19 @@ def check_count(n: int) -> int:
     return n
 
 
+def _with_plan(df: DataFrame, config_log: DataFrame, ts: str, max_broadcast_rows: int) -> DataFrame:
+    columns = {"mode": "mode", "epoch": "epoch", "epoch_count": "epoch_count"}
+    return config_at(df, with_next_direct(config_log), columns, ts, max_broadcast_rows)
+
+
+def unplanned_messages(
+    df: DataFrame, config_log: DataFrame, ts: str = "ts", max_broadcast_rows: int = CONFIG_ROWS
+) -> DataFrame:
+    """Messages that ``replay_plan`` leaves out: published before the first config row."""
+    known = _with_plan(df, config_log, ts, max_broadcast_rows)
+    return known.where(F.col("mode").isNull()).select(*df.columns)
+
+
 def replay_plan(
     df: DataFrame,
     config_log: DataFrame,
@@ -37,11 +50,9 @@ def replay_plan(
     An epoch is named by the revision of the direct-mode config row that opens it.
     Messages published while buffering belong to the next epoch, before its direct
     messages and under its count.  While no next epoch exists, epoch, partition and
-    subject are NULL.
+    subject are NULL.  Messages before the first config row are in ``unplanned_messages``.
     """
-    plan = with_next_direct(config_log)
-    columns = {"mode": "mode", "epoch": "epoch", "epoch_count": "epoch_count"}
-    known = config_at(df, plan, columns, ts, max_broadcast_rows).where(F.col("mode").isNotNull())
+    known = _with_plan(df, config_log, ts, max_broadcast_rows).where(F.col("mode").isNotNull())
     phase = F.when(F.col("mode") == S.MODE_BUFFER, PHASE_REPLAY).otherwise(PHASE_DIRECT)
     has_epoch = F.col("epoch").isNotNull()
     partition = F.when(has_epoch, partition_for_key(key, "epoch_count"))

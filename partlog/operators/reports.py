@@ -140,11 +140,12 @@ def latency_percentiles(
 ) -> DataFrame:
     """Floor-rank percentiles per group: the element at ``floor(n * pct / 100)``, clamped.
 
-    Exact ones come from a histogram of the distinct values, so no group is sorted
+    NULL values do not count.  Exact ones come from a histogram of the distinct values, so no group is sorted
     whole.  With ``baseline`` (a value of the only ``by`` column) each percentile also
     gets its ratio to that group's.
     """
     by = list(by)
+    df = df.where(F.col(value).isNotNull())
     if approximate:
         result = df.groupBy(*by).agg(
             *[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in pcts]

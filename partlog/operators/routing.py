@@ -13,6 +13,8 @@ from partlog.plans.bounds import at_most
 MICROS_PER_SECOND = 1_000_000
 NANOS_PER_SECOND = 1_000_000_000
 CONFIG_ROWS = 20_000  # largest config log that is broadcast; a longer one is merged by time
+NO_CONFIG = "no configuration"
+BAD_COUNT = "unusable partition count"
 CONFIG_SLICES = 20_000  # slices of time over a broadcast config log
 
 
@@ -160,17 +162,37 @@ def route_messages(
 ) -> DataFrame:
     """Add mode, partition count, partition and subject in force at publish time.
 
-    Messages published before any count are rejected; see ``rejected_messages``.
+    Messages without a usable count are not among them; see ``split_routes``.
+    """
+    return split_routes(df, config_log, prefix, key, ts, max_broadcast_rows, span)[0]
+
+
+def split_routes(
+    df: DataFrame,
+    config_log: DataFrame,
+    prefix: str,
+    key: str = "key",
+    ts: str = "ts",
+    max_broadcast_rows: int = CONFIG_ROWS,
+    span: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(routed, rejected): every message is in one of them.
+
+    A count is usable from 1 to the maximum.  Messages published before any config row, or
+    under a count that is missing or out of range, are rejected with ``reject_reason``.
     """
     columns = {"mode": "mode", "partition_count": "partition_count"}
     known = config_at(df, config_log, columns, ts, max_broadcast_rows, span)
-    return _with_route(known.where(F.col("partition_count") >= 1), prefix, key)
+    n = F.col("partition_count")
+    usable = F.coalesce(n.between(S.MIN_PARTITIONS, S.MAX_PARTITIONS), F.lit(False))
+    why = F.when(n.isNull() & F.col("mode").isNull(), F.lit(NO_CONFIG)).otherwise(F.lit(BAD_COUNT))
+    rejected = known.where(~usable).select(*df.columns, why.alias("reject_reason"))
+    return _with_route(known.where(usable), prefix, key), rejected
 
 
 def rejected_messages(df: DataFrame, config_log: DataFrame, ts: str = "ts") -> DataFrame:
-    """Messages published before the first config row."""
-    first = config_log.agg(F.min("effective_ts").alias("t")).scalar()
-    return df.where(F.coalesce(F.col(ts) < first, F.lit(True)))
+    """Messages that ``route_messages`` leaves out, with ``reject_reason``."""
+    return split_routes(df, config_log, "", ts=ts)[1]
 
 
 def config_changes(snapshots: DataFrame, span: int | None = None) -> DataFrame:

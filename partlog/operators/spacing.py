@@ -105,13 +105,14 @@ def thin_by_spacing(
     window: str,
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Rows kept under the rule above.  ``tie`` is a unique integer row position.
+    """Rows kept under the rule above.  ``tie`` is an integer, unique within the scope.
 
     Of rows of one group at the same time the one with the lowest ``tie`` counts.
     """
-    scope = list(scope)
     spacing = micros(window)
-    timed = df.withColumn("_t", ordered.as_long(df, ts))
+    # One struct column for the scope: joins on it find NULL values too.
+    timed = df.withColumns({"_scope": F.struct(*scope), "_t": ordered.as_long(df, ts)})
+    scope = ["_scope"]
     points = cut_lineage(
         timed.groupBy(*scope, "_t").agg(F.min(F.col(tie).cast("bigint")).alias("_tie"))
     )
@@ -123,7 +124,8 @@ def thin_by_spacing(
         few = join_small(points, large, scope, "left_anti")
         many = cut_lineage(join_small(points, large, scope, "left_semi"))
         kept = _fold(few, scope, spacing).unionByName(_long_groups(many, scope, spacing, fold_rows))
-    return df.join(kept.select(F.col("_tie").alias(tie)), tie, "left_semi")
+    rows = timed.withColumn("_tie", F.col(tie).cast("bigint"))
+    return rows.join(kept.select(*scope, "_tie"), [*scope, "_tie"], "left_semi").select(*df.columns)
 
 
 def dedup_window(

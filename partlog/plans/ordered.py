@@ -1,20 +1,26 @@
 """Ordered (window-style) computations that survive a hot group.
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key into one
-task.  Here a group is cut into slices of its order column, so that the shuffle is
-on (scope, slice); what a slice needs from the slices before it is one summary row
-per slice, computed with map-side aggregation, chained over the few slices of a
-scope, and joined back on (scope, slice), which reuses the big side's partitioning.
+task.  That is fine for groups of at most ``HOT_ROWS`` rows, which are counted first
+(map-side combined) and take the plain window: one read, one shuffle.  A larger group is
+cut into slices of its order column, so that the shuffle is on (scope, slice); what a
+slice needs from the slices before it is one summary row per slice, computed with
+map-side aggregation, chained over the few slices of a scope, and joined back on (scope,
+slice), which reuses the big side's partitioning.  Both ways give the same rows.
+
+A given ``span`` cuts every group, and an empty scope is always cut.  Without one, slices
+are as wide as gives about four for each ``HOT_ROWS`` rows of the hot groups, whatever
+the unit of the order column.  Counting is a job of its own, run when an operator is called.
 
 ``bucket`` names the order column that is cut (default: the first).  Order columns
 before it become part of the slice key as they are; columns after it only break
 ties.  If the bucket column is a unique integer, a slice holds at most ``span``
-rows.  Scope columns must not be NULL.
+rows.  Scope columns may be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +29,10 @@ from pyspark.sql import types as T
 ROW_SPAN = 1 << 20  # positions per slice of an integer order column
 TIME_SPAN = 3_600_000_000  # microseconds per slice of a timestamp order column
 
+HOT_ROWS = 1 << 20  # larger groups are sliced
+
 _SLICE = "_slice"
+_GROUP = "_group"  # scope and slice as one column, so that joins find NULL values too
 
 
 def is_time(df: DataFrame, name: str) -> bool:
@@ -46,10 +55,12 @@ class _Sliced:
             span = TIME_SPAN if is_time(df, bucket) else ROW_SPAN
         position = as_long(df, bucket)
         self.columns = df.columns
-        self.df = df.withColumn(_SLICE, position - F.pmod(position, F.lit(span)))
         self.scope = list(scope)
         self.slices = [*order[: order.index(bucket)], _SLICE]
-        self.group = list(dict.fromkeys([*self.scope, *self.slices]))
+        names = list(dict.fromkeys([*self.scope, *self.slices]))
+        self.df = df.withColumn(_SLICE, position - F.pmod(position, F.lit(span)))
+        self.df = self.df.withColumn(_GROUP, F.struct(*names))
+        self.group = [_GROUP]
         self.descending = descending
         self.window = Window.partitionBy(*self.group).orderBy(*map(self._sorted, order))
         # A single long keeps max_by/min_by in a hash aggregate.
@@ -63,7 +74,8 @@ class _Sliced:
 
     def attach(self, local: DataFrame, carries: dict[str, Column], summary: DataFrame) -> DataFrame:
         """Join per-slice carry-ins, computed over the slices of each scope."""
-        chain = Window.partitionBy(*self.scope).orderBy(*map(self._sorted, self.slices))
+        inner = lambda name: f"{_GROUP}.{name}"
+        chain = Window.partitionBy(*map(inner, self.scope)).orderBy(*[self._sorted(inner(n)) for n in self.slices])
         chain = chain.rowsBetween(Window.unboundedPreceding, -1)
         carry = summary.select(*self.group, *[c.over(chain).alias(n) for n, c in carries.items()])
         known = F.coalesce(*[F.col(n).isNotNull() for n in carries])
@@ -72,6 +84,44 @@ class _Sliced:
         return local.join(carry.where(known), self.group, "left")
 
 
+def all_cold(df: DataFrame, scope: Sequence[str]) -> bool:
+    """Whether no group has more than ``HOT_ROWS`` rows."""
+    return _sizes(df, scope).where(F.col("_n") > HOT_ROWS).isEmpty()
+
+
+def _sizes(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return df.select(F.struct(*scope).alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _by_heat(
+    df: DataFrame,
+    scope: Sequence[str],
+    bucket: str,
+    plain: Callable[[DataFrame], DataFrame],
+    sliced: Callable[[DataFrame, Column | int], DataFrame],
+) -> DataFrame:
+    """``plain`` for groups that fit into a task, ``sliced`` for the others."""
+    from partlog.plans.bounds import BROADCAST_ROWS, at_most
+    from partlog.plans.scratch import cut_lineage
+
+    if all_cold(df, scope):
+        return plain(df)
+    hot = cut_lineage(_sizes(df, scope).where(F.col("_n") > HOT_ROWS).withColumnRenamed("_n", "_rows"))
+    few = F.broadcast(hot) if at_most(hot, BROADCAST_ROWS) else hot
+    marked = df.withColumn("_of", F.struct(*scope)).join(few, "_of", "left")
+    large = marked.where(F.col("_rows").isNotNull()).select(*df.columns)
+    at = as_long(large, bucket)
+    low, high, n = large.agg(F.min(at), F.max(at), F.count(F.lit(1))).head()
+    span = max(1, (high - low) // max(1, 4 * n // HOT_ROWS))
+    small = marked.where(F.col("_rows").isNull()).select(*df.columns)
+    return plain(small).unionByName(sliced(large, span))
+
+
+def _window(df: DataFrame, scope: Sequence[str], order: Sequence[str], descending: bool = False):
+    direction = F.desc if descending else F.asc
+    return Window.partitionBy(*scope).orderBy(*map(direction, order))
+
+
 def previous(
     df: DataFrame,
     values: dict[str, str],
@@ -85,6 +135,15 @@ def previous(
 
     Sources must not be NULL.
     """
+    if span is None and scope:
+        w = _window(df, scope, order, descending)
+        return _by_heat(
+            df,
+            scope,
+            bucket or order[0],
+            lambda part: part.select("*", *[F.lag(c).over(w).alias(n) for n, c in values.items()]),
+            lambda part, width: previous(part, values, scope, order, bucket, width, descending),
+        )
     s = _Sliced(df, scope, order, bucket, span, descending)
     local = s.df.select("*", *[F.lag(c).over(s.window).alias(n) for n, c in values.items()])
     summary = s.df.groupBy(*s.group).agg(*[s.last(F.col(c)).alias(f"_t_{n}") for n, c in values.items()])
@@ -102,6 +161,16 @@ def carry_forward(
     descending: bool = False,
 ) -> DataFrame:
     """Add, per ``{new: source}``, the last non-NULL source value up to this row."""
+    if span is None and scope:
+        w = _window(df, scope, order, descending).rowsBetween(Window.unboundedPreceding, 0)
+        newest = lambda c: F.last(c, ignorenulls=True).over(w)
+        return _by_heat(
+            df,
+            scope,
+            bucket or order[0],
+            lambda part: part.select("*", *[newest(c).alias(n) for n, c in values.items()]),
+            lambda part, width: carry_forward(part, values, scope, order, bucket, width, descending),
+        )
     s = _Sliced(df, scope, order, bucket, span, descending)
     upto = s.window.rowsBetween(Window.unboundedPreceding, 0)
     local = s.df.select(
@@ -129,6 +198,15 @@ def running_sum(
     span: int | Column | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows up to and including this one."""
+    if span is None and scope:
+        w = _window(df, scope, order).rowsBetween(Window.unboundedPreceding, 0)
+        return _by_heat(
+            df,
+            scope,
+            bucket or order[0],
+            lambda part: part.withColumn("_v", value).withColumn(out, F.sum("_v").over(w)).drop("_v"),
+            lambda part, width: running_sum(part, out, value, scope, order, bucket, width),
+        )
     s = _Sliced(df.withColumn("_v", value), scope, order, bucket, span)
     upto = s.window.rowsBetween(Window.unboundedPreceding, 0)
     local = s.df.withColumn("_local", F.sum("_v").over(upto))
@@ -147,6 +225,15 @@ def number_rows(
     span: int | Column | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per scope (``row_number``)."""
+    if span is None and scope:
+        number = F.row_number().over(_window(df, scope, order)).cast("bigint")
+        return _by_heat(
+            df,
+            scope,
+            bucket or order[0],
+            lambda part: part.withColumn(out, number),
+            lambda part, width: number_rows(part, out, scope, order, bucket, width),
+        )
     s = _Sliced(df, scope, order, bucket, span)
     local = s.df.withColumn("_local", F.row_number().over(s.window))
     summary = s.df.groupBy(*s.group).agg(F.count(F.lit(1)).alias("_t"))
@@ -173,7 +260,7 @@ def mark_first(
 
     s = _Sliced(df, scope, [position], None, span, descending)
     chain = Window.partitionBy(*s.scope).orderBy(s._sorted(_SLICE))
-    sizes = s.df.groupBy(*s.group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = s.df.groupBy(*s.scope, _SLICE).agg(F.count(F.lit(1)).alias("_n"))
     upto = sizes.withColumn("_upto", F.sum("_n").over(chain))
     # First slice at which the running count passes the limit, and the room left in it.
     over = F.col("_upto") > limit

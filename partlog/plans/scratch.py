@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{SETTING} must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="partlog-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(SETTING, made)
     return made
 

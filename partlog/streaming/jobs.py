@@ -16,8 +16,10 @@ from partlog import schema as S
 from partlog.functions.codec import decode_messages
 from partlog.operators.audit import RUN_SCOPE, judge
 from partlog.operators.replay import check_count, replay_buffer
-from partlog.operators.routing import route_messages
+from partlog.operators.routing import split_routes
+from partlog.operators.spacing import thin_by_spacing
 from partlog.plans import ordered
+from partlog.plans.intervals import micros
 from partlog.sources.dead_letter import dead_letter
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -36,6 +38,19 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "false").parquet(path)
 
 
+def held(each: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Read the source once for a micro-batch that is used more than once."""
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            each(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return once
+
+
 def _start(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger, mode="append"):
     return (
         df.writeStream.foreachBatch(each)
@@ -57,16 +72,22 @@ def route_stream(
     load_config: Callable[[SparkSession], DataFrame],
     prefix: str,
     out: str,
+    rejected: str,
     checkpoint: str,
     trigger: dict | None = None,
 ):
-    """``route_messages`` on a stream; the config log is read again for every micro-batch."""
+    """``split_routes`` on a stream: routed and rejected messages into a table each.
+
+    The config log is read again for every micro-batch.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         config = load_config(batch.sparkSession)
-        put_batch(route_messages(batch, config, prefix), out, batch_id)
+        good, bad = split_routes(batch, config, prefix)
+        put_batch(good, out, batch_id)
+        put_batch(bad, rejected, batch_id)
 
-    return _start(df, each, checkpoint, trigger)
+    return _start(df, held(each), checkpoint, trigger)
 
 
 def decode_stream(
@@ -81,14 +102,12 @@ def decode_stream(
     """Decoded messages into one table, rejected rows into the dead-letter table."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
         good, bad = decode_messages(batch)
         now = F.lit(now_ns) if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
         put_batch(good, good_path, batch_id)
         put_batch(dead_letter(bad, S.REASON_UNMARSHAL, subject, now), dead_path, batch_id)
-        batch.unpersist()
 
-    return _start(df, each, checkpoint, trigger)
+    return _start(df, held(each), checkpoint, trigger)
 
 
 def audit_batches(
@@ -132,7 +151,51 @@ def audit_batches(
         )
         put_batch(known, state, batch_id)
 
-    return _start(df, each, checkpoint, trigger)
+    return _start(df, held(each), checkpoint, trigger)
+
+
+def dedup_stream(
+    df: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    id: str = "id",
+    window: str = S.DEDUP_WINDOW,
+    delay: str = "0 seconds",
+    ts: str = "ts",
+    position: str = "stream_seq",
+    trigger: dict | None = None,
+):
+    """``dedup_window`` on a stream, with the same result however the input is cut.
+
+    The time of the last kept row of each id is carried from batch to batch, for as long as
+    it can still matter: the window, and ``delay`` for rows that come late.  Nothing is
+    dropped for being late: a row that lies the window or more before the last kept one of
+    its id is kept too.  A repeated batch starts from the table of the batch before it.
+    """
+    spacing, patience = micros(window), micros(window) + micros(delay)
+    last = T.StructType([df.schema[id], T.StructField("_last", T.LongType())])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            before = spark.read.schema(last).parquet(f"{state}/batch_id={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], last)
+        before = before.select(F.struct(id).alias("_id"), "_last")
+        timed = batch.withColumns({"_id": F.struct(id), "_at": ordered.as_long(batch, ts)})
+        far = F.col("_last").isNull() | (F.abs(F.col("_at") - F.col("_last")) >= spacing)
+        open_ = timed.join(before, "_id", "left").where(far).select(*batch.columns)
+        kept = thin_by_spacing(open_, [id], ts, position, window)
+        put_batch(kept, out, batch_id)
+        kept = spark.read.schema(batch.schema).parquet(f"{out}/batch_id={batch_id}")
+        newest = kept.select(F.struct(id).alias("_id"), ordered.as_long(kept, ts).alias("_last"))
+        known = newest.unionByName(before).groupBy("_id").agg(F.max("_last").alias("_last"))
+        now = known.agg(F.max("_last")).head()[0]
+        alive = known.where(F.col("_last") > F.lit(now if now is not None else 0) - patience)
+        put_batch(alive.select(f"_id.{id}", "_last"), state, batch_id)
+
+    return _start(df, held(each), checkpoint, trigger)
 
 
 def status_stream(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
@@ -183,15 +246,15 @@ def replay_stream(
     spark.createDataFrame([], REPLAYED).write.mode("ignore").parquet(out)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
         done = batch.sparkSession.read.schema(REPLAYED).parquet(out)
         # This batch's own folder, left by a failed attempt, does not count as done.
         done = done.where(F.col("batch_id") != batch_id)
         good, bad = replay_buffer(batch, n, prefix, done)
         now = F.lit(now_ns) if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
         put_batch(dead_letter(bad, S.REASON_UNMARSHAL, prefix + S.BUFFER_SUFFIX, now), dead_path, batch_id)
-        placed = good.sortWithinPartitions("partition", "stream_seq")
+        # Ranges of (partition, position), so that files follow each other in log order.
+        order = ("partition", "stream_seq")
+        placed = good.repartitionByRange(*order).sortWithinPartitions(*order)
         put_batch(placed, out, batch_id, "partition")
-        batch.unpersist()
 
-    return _start(buffer, each, checkpoint, trigger)
+    return _start(buffer, held(each), checkpoint, trigger)

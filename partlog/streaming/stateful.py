@@ -1,4 +1,4 @@
-"""Streaming forms of the audit, state, lag, cooldown and duplicate operators.
+"""Streaming forms of the audit, state, lag and cooldown operators.
 
 Stateful functions see one group's rows of one micro-batch, so the micro-batch limit of
 the source (``max_files`` in ``read_log_stream``) bounds what a task holds.
@@ -104,18 +104,6 @@ def sequence_state_stream(
     )
 
 
-def dedup_stream(
-    df: DataFrame, id: str = "id", window: str = S.DEDUP_WINDOW, ts: str = "ts"
-) -> DataFrame:
-    """Duplicate window on a stream.
-
-    Spark keeps an id for at least the window after its first row, so a copy may be
-    dropped for somewhat longer than ``dedup_window`` does.
-    """
-    timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, window).dropDuplicatesWithinWatermark([id])
-
-
 def lag_windows_stream(
     samples: DataFrame, every: str = S.LAG_INTERVAL, delay: str = S.LAG_INTERVAL, ts: str = "ts"
 ) -> DataFrame:

@@ -72,7 +72,9 @@ def test_lists_in_pieces(spark):
 def test_messages_in_pieces(stored):
     df = stored
     pieces = audit.consumer_results(df, with_messages=True, order=("stream_seq", "arrival"), piece_rows=50)
-    assert pieces.agg(F.max("received")).head()[0] == 50
+    assert pieces.agg(F.max(F.size("messages"))).head()[0] == 50
+    totals = {(r.run, r.partition): r.received for r in audit.consumer_results(df).collect()}
+    assert {(r.run, r.partition): r.received for r in pieces.collect()} == totals
     assert pieces.agg(F.sum(F.size("messages"))).head()[0] == df.count()
 
 

@@ -108,3 +108,10 @@ def test_state_value(spark):
 @pytest.mark.parametrize("text", ["", "junk", '{"sequence":"x"}', '{"sequence":1'])
 def test_broken_state_value(spark, text):
     assert spark.range(1).select(state.sequence_state_value(F.lit(text)).alias("v")).head().v is None
+
+
+def test_names_count_without_case(spark):
+    rows = [('{"Key":"a","SEQUENCE":5}',), ('{"key":"b","KEY":"c"}',), ('{"Key":1}',), ('{"kEy":null,"other":1}',)]
+    good, bad = codec.decode_messages(spark.createDataFrame(rows, "data string"))
+    assert sorted((r.key, r.sequence) for r in good.collect()) == [("", 0), ("a", 5)]
+    assert sorted(r.data for r in bad.collect()) == ['{"Key":1}', '{"key":"b","KEY":"c"}']

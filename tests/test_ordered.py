@@ -114,3 +114,47 @@ def test_join_small_falls_back(spark):
         assert joined.where("x = 1").count() == 50
     plan = lambda b: join_small(left, right, ["id"], "left", b)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(1000) and "broadcast" not in plan(10)
+
+
+def test_hot_groups_are_cut_and_others_are_not(rows, monkeypatch):
+    """The same rows when only the hot key is sliced, also by a sparse order column."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", 200)
+    df = rows.withColumn("nanos", F.col("pos") * 1_000_000_007).withColumn("one", F.lit(1))
+    df = df.withColumn("key", F.when(F.col("key") != "k7", F.col("key")))
+    for order in ("pos", "nanos", "ts"):
+        w = Window.partitionBy("key").orderBy(order)
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        same(ordered.previous(df, {"p": "v"}, ["key"], [order]), df.withColumn("p", F.lag("v").over(w)))
+        same(
+            ordered.carry_forward(df, {"c": "sparse"}, ["key"], [order]),
+            df.withColumn("c", F.last("sparse", ignorenulls=True).over(upto)),
+        )
+        same(
+            ordered.running_sum(df, "t", F.col("v"), ["key"], [order]),
+            df.withColumn("t", F.sum("v").over(upto)),
+        )
+        same(
+            ordered.number_rows(df, "n", ["key"], [order]),
+            df.withColumn("n", F.row_number().over(w).cast("bigint")),
+        )
+
+
+@pytest.mark.parametrize("span", [None, 4])
+def test_null_scope(spark, span):
+    df = spark.createDataFrame([(None, k, 10 * k) for k in range(1, 40)], "key string, pos bigint, v bigint")
+    got = ordered.previous(df, {"p": "v"}, ["key"], ["pos"], span=span).orderBy("pos").collect()
+    assert [r.p for r in got] == [None, *range(10, 390, 10)]
+
+
+def test_cold_keys_take_one_read_and_one_shuffle(rows, spark):
+    from partlog.operators import audit
+    from partlog.plans.scratch import scratch_path
+
+    path = scratch_path(spark, "rows")
+    rows.select("key", F.col("v").alias("sequence"), F.col("pos").alias("arrival")).write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    audited = plan(audit.ordering_audit(df, scope=("key",)))
+    assert audited.count("FileScan") == 1 and audited.count("Exchange hashpartitioning") == 1
+    summed = plan(audit.summarize_sequences(df))
+    assert summed.count("FileScan") == 1 and summed.count("Exchange hashpartitioning") <= 2

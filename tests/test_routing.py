@@ -187,3 +187,20 @@ def test_retention_by_now(spark):
     kept, rejected = retention.retain_oldest(df, "24 hours", 10, now=now, span=7)
     assert sorted(r.stream_seq for r in kept.collect()) == list(range(75, 85))
     assert sorted(r.stream_seq for r in rejected.collect()) == list(range(85, 100))
+
+
+def test_every_message_is_routed_or_rejected(spark):
+    config = spark.createDataFrame(
+        [(1, 10, "direct", 3), (2, 20, "direct", 0), (3, 30, "direct", None), (4, 40, "direct", 21), (5, 50, "direct", 20)],
+        "revision int, t bigint, mode string, partition_count int",
+    ).withColumn("effective_ts", F.timestamp_seconds("t"))
+    rows = [(t, "acct-4") for t in range(5, 60, 5)]
+    df = spark.createDataFrame(rows, "t bigint, key string").withColumn("ts", F.timestamp_seconds("t"))
+    for bound in (1000, 0):
+        good, bad = routing.split_routes(df, config, "S", max_broadcast_rows=bound)
+        assert sorted(r.t for r in good.collect()) == [10, 15, 50, 55]
+        reasons = {r.t: r.reject_reason for r in bad.collect()}
+        assert sorted(reasons) == [5, 20, 25, 30, 35, 40, 45]
+        assert reasons[5] == routing.NO_CONFIG and reasons[20] == routing.BAD_COUNT
+    planned = replay.replay_plan(df, config, "S").count()
+    assert planned + replay.unplanned_messages(df, config).count() == len(rows)

@@ -58,3 +58,12 @@ def test_scale_rule(spark):
     df = spark.createDataFrame(rows, "stream string, t bigint, sample_seq bigint, partition_count bigint, lag bigint")
     got = spacing.scale_recommendations(df.withColumn("ts", F.timestamp_seconds("t")))
     assert sorted((r.sample_seq, r.step, r.desired) for r in got.collect()) == [(0, 1, 4), (3, -1, 2), (6, 1, 10)]
+
+
+def test_positions_per_stream(spark):
+    """Equal positions in two streams do not stand for each other; a NULL id is an id."""
+    points = [("a", 0, 1), ("a", 5, 2), ("b", 0, 1), ("b", 500, 2), (None, 0, 1), (None, 9, 2)]
+    for fold_rows in (1024, 0):
+        got = spacing.dedup_window(frame(spark, points), window="2 minutes", fold_rows=fold_rows)
+        kept = {(r.id, r.stream_seq) for r in got.collect()}
+        assert kept == {("a", 1), ("b", 1), ("b", 2), (None, 1)}

@@ -1,12 +1,13 @@
 """Restarts, repeated batches, time-outs."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from partlog.operators import audit, replay
+from partlog.operators import audit, replay, spacing
 from partlog.plans.scratch import scratch_path
 from partlog.sources import log
 from partlog.streaming import jobs, stateful
@@ -75,7 +76,7 @@ def test_audit_of_a_repeated_batch(spark, monkeypatch):
 
 
 def test_config_change_without_restart(spark):
-    source, config, out, ckpt = (scratch_path(spark, n) for n in ("src", "config", "out", "ckpt"))
+    source, config, out, bad, ckpt = (scratch_path(spark, n) for n in ("src", "config", "out", "bad", "ckpt"))
     schema = "key string, ts timestamp"
     rows = lambda t: spark.createDataFrame([("acct-4", t)], "key string, t bigint").select(
         "key", F.timestamp_seconds("t").alias("ts")
@@ -83,13 +84,14 @@ def test_config_change_without_restart(spark):
     setting = lambda rev, t, mode, n: spark.createDataFrame(
         [(rev, t, mode, n)], "revision int, t bigint, mode string, partition_count int"
     ).withColumn("effective_ts", F.timestamp_seconds("t"))
-    setting(1, 0, "direct", 3).write.mode("append").parquet(config)
-    rows(10).write.mode("append").parquet(source)
+    setting(1, 5, "direct", 3).write.mode("append").parquet(config)
+    rows(10).unionByName(rows(2)).write.mode("append").parquet(source)
     q = jobs.route_stream(
         log.read_log_stream(spark, source, schema=schema),
         lambda s: s.read.parquet(config),
         "S",
         out,
+        bad,
         ckpt,
         {"processingTime": "0 seconds"},
     )
@@ -102,6 +104,25 @@ def test_config_change_without_restart(spark):
         q.stop()
     got = jobs.read_batches(spark, out).orderBy("ts").collect()
     assert [r.subject for r in got] == ["S.01", "S_BUFFER"]
+    assert [r.reject_reason for r in jobs.read_batches(spark, bad).collect()] == ["no configuration"]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 10])
+def test_dedup_stream_does_not_depend_on_batches(spark, batches):
+    rnd = random.Random(4)
+    rows = sorted((rnd.randrange(4_000), f"k{rnd.randrange(4)}") for _ in range(300))
+    rows = [(id if n % 50 else None, t, n) for n, (t, id) in enumerate(rows)]
+    schema = "id string, t bigint, stream_seq bigint"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t"))
+    source, out, state, ckpt = (scratch_path(spark, n) for n in ("src", "out", "state", "ckpt"))
+    for k in range(batches):
+        part = df.where((F.col("stream_seq") * batches / len(rows)).cast("int") == k)
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = log.read_log_stream(spark, source, schema=df.schema)
+        jobs.dedup_stream(stream, out, state, ckpt, window="2 minutes").awaitTermination()
+    got = jobs.read_batches(spark, out)
+    want = spacing.dedup_window(df, window="2 minutes")
+    assert sorted(r.stream_seq for r in got.collect()) == sorted(r.stream_seq for r in want.collect())
 
 
 def test_state_expires(spark):
