@@ -20,10 +20,12 @@ sizes, where one shingle may differ, one segment with its one-deletion neighbour
 the whole set, and the set without any one shingle.
 
 Verification.  Sets that share a signature form a group.  Pairs of one pivot of each group
-with the others are verified on the texts, then components are formed, and only pairs whose
-ends are still apart go on: twice more with other pivots, then all that are left.  So no
-group of near copies is ever expanded into all its pairs, and no link between different
-components is missed.
+with the others are verified, then components are formed, and only pairs whose ends are
+still apart go on: once more with another pivot, then all that are left.  So no group of
+near copies is ever expanded into all its pairs, and no link between different components
+is missed.  A pair first compares bitmaps of hashed shingles, about two bits for each: bits
+that differ are a lower bound of the shingles that differ, so a pair with more of them than
+two linked sets may have is dropped for certain.  The others are verified on the texts.
 
 Shingles and sets are told apart by 64-bit hashes; among N of them the chance that any two
 clash is about N * N / 2**65.
@@ -56,7 +58,7 @@ HOT = 64
 MOST_HOT = 1_000_000
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 DELETION_SIZE = 6  # up to here sets differ in at most one shingle from smaller ones
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -121,6 +123,30 @@ def deletions(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.array([total], dtype=np.uint64)), mix(total - each)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A power of two of bits, at least two for each shingle; those of its hashes are set."""
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[s & np.uint64(size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of the two sets only."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while n > 8 * len(b):  # fold the longer one
+        n //= 2
+        x = (x >> n) | (x & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
+def most_difference(n: int, m: int) -> int:
+    """Linked sets of these sizes differ in at most so many shingles."""
+    return n + m - 2 * -(-SIMILAR * (n + m) // (SIMILAR + OF))
+
+
 def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -426,18 +452,41 @@ def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Texts of the given classes: class, text."""
+    """The given classes: class, n, bits, text."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
-            names = [set_name(s) if len(s) else 0 for s in shingle_sets([r[-1] for r in part])]
-            yield pd.DataFrame({"class": names, "text": [r[-1].decode("utf-8", "surrogatepass") for r in part]})
+            sets = shingle_sets([r[-1] for r in part])
+            yield pd.DataFrame(
+                {
+                    "class": [set_name(s) if len(s) else 0 for s in sets],
+                    "n": [len(s) for s in sets],
+                    "bits": [bitmap(s) for s in sets],
+                    "text": [r[-1].decode("utf-8", "surrogatepass") for r in part],
+                }
+            )
 
-    named = texts.mapInPandas(name, "class bigint, text string")
+    named = texts.mapInPandas(name, "class bigint, n bigint, bits binary, text string")
     wanted = F.broadcast(classes) if at_most(classes, BROADCAST_ROWS) else classes
     return named.join(wanted, "class", "left_semi")
 
 
+def _likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may link by their bitmaps."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch["n_a"].tolist(), batch["n_b"].tolist(), batch["bits_a"], batch["bits_b"])
+            ok = [least_difference(x, y) <= most_difference(n, m) for n, m, x, y in rows]
+            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    side = lambda c: held.select(
+        F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")
+    )
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInPandas(check, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link."""
 
@@ -515,7 +564,8 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(_verified(pairs, held), "jaccard-links")
+        likely = written(_likely(pairs, held), "jaccard-likely")
+        found = written(_verified(likely, held), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         names = components(links)
     return sets, names

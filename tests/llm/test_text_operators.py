@@ -262,3 +262,15 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan(documents(spark, rows).where("false")).collect() == []
     with pytest.raises(ValueError):
         licenses.scan(documents(spark, rows), {"a": "two words"})
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m, common in [(500, 480, 300), (40, 1000, 20), (6, 7, 6), (3000, 2600, 2500), (5, 5, 0)]:
+        hashes = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        x, y = np.sort(hashes[:n]), np.sort(hashes[n - common : n - common + m])
+        differ = len(np.setxor1d(x, y))
+        bound = jaccard.least_difference(jaccard.bitmap(x), jaccard.bitmap(y))
+        assert bound <= differ and (common == m - 1 or bound > differ / 3)
+        linked = 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+        assert linked == (differ <= jaccard.most_difference(len(x), len(y)))
