@@ -75,7 +75,7 @@ def main() -> None:
         "read_log": lambda: consume(log.read_log(spark, log3, partitions=[1])),
         "decode_messages": lambda: consume(codec.decode_messages(raw)[0]),
         "encode_messages": lambda: consume(codec.encode_messages(messages)),
-        "route_messages": lambda: consume(routing.route_messages(published, config, "MY_ORDERS")),
+        "route_messages": lambda: consume(routing.route_messages(published, config, "LEDGER")),
         "ordering_audit": lambda: consume(audit.ordering_audit(delivered)),
         "ordering_summary": lambda: consume(
             audit.ordering_summary(audit.ordering_audit(delivered), by=("partition",))
@@ -90,8 +90,8 @@ def main() -> None:
         "lag_windows": lambda: consume(reports.lag_windows(samples)),
         "retain_newest": lambda: consume(retention.retain_newest(stream_log, "20 days", 5000)),
         "dedup_window": lambda: consume(spacing.dedup_window(by_key, window="12 hours")),
-        "replay_plan": lambda: consume(replay.replay_plan(published, config, "MY_ORDERS")),
-        "replay_buffer": lambda: consume(replay.replay_buffer(raw, 5, "MY_ORDERS")[0]),
+        "replay_plan": lambda: consume(replay.replay_plan(published, config, "LEDGER")),
+        "replay_buffer": lambda: consume(replay.replay_buffer(raw, 5, "LEDGER")[0]),
         "repartition_log": lambda: replay.repartition_log(
             spark, log3, scratch_path(spark, "rewritten"), 5, old_count=3
         ),

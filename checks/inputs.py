@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partlog.operators.audit import assign_sequence
 from partlog.plans.scratch import scratch_path
 
-PREFIX = "MY_ORDERS"
+PREFIX = "LEDGER"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,7 +175,7 @@ def lag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purges(spark: SparkSession) -> DataFrame:
-    rows = [("MY_ORDERS.00", 100), ("MY_ORDERS.01", 40), (None, 20)]
+    rows = [("LEDGER.00", 100), ("LEDGER.01", 40), (None, 20)]
     return spark.createDataFrame(rows, "subject string, purge_seq bigint")
 
 

@@ -123,10 +123,10 @@ def encode_messages(spark, d):
 
 
 @query(
-    f"""SELECT stream_seq, data, 'MY_ORDERS_BUFFER' AS original_subject, 'unmarshal_failure' AS reason,
+    f"""SELECT stream_seq, data, 'LEDGER_BUFFER' AS original_subject, 'unmarshal_failure' AS reason,
       {NOW_NS} AS ts_ns, error FROM bad
     UNION ALL
-    SELECT stream_seq, concat(key, '-', sequence), format('MY_ORDERS.{{:02d}}', partition),
+    SELECT stream_seq, concat(key, '-', sequence), format('LEDGER.{{:02d}}', partition),
       'max_delivery_exhausted', {NOW_NS}, NULL
     FROM stream_log JOIN attempts USING (stream, partition, stream_seq) WHERE attempts >= 5 AND NOT acked
     UNION ALL
@@ -221,7 +221,7 @@ def partition_for_key(spark, d):
     )
 
 
-@query("SELECT event_id, format('MY_ORDERS.{:02d}', user_id % 20) AS subject FROM events")
+@query("SELECT event_id, format('LEDGER.{:02d}', user_id % 20) AS subject FROM events")
 def subject_for_partition(spark, d):
     return I.events(spark, d).select(
         "event_id", keys.subject_for_partition(I.PREFIX, F.col("user_id") % 20).alias("subject")
@@ -383,8 +383,8 @@ def route_messages_merge(spark, d):
 
 @query(
     """SELECT p.*, c.mode, c.partition_count, CAST(p.user_id % c.partition_count AS INTEGER) AS partition,
-      CASE WHEN c.mode = 'buffer' THEN 'MY_ORDERS_BUFFER'
-      ELSE format('MY_ORDERS.{:02d}', p.user_id % c.partition_count) END AS subject
+      CASE WHEN c.mode = 'buffer' THEN 'LEDGER_BUFFER'
+      ELSE format('LEDGER.{:02d}', p.user_id % c.partition_count) END AS subject
     FROM published p ASOF JOIN (SELECT effective_ts, coalesce(mode, 'direct') AS mode, partition_count FROM (
       SELECT effective_ts, last_value(CASE WHEN key = 'mode' THEN value END IGNORE NULLS) OVER w AS mode,
         last_value(CASE WHEN key = 'partition_count' AND TRY_CAST(value AS INTEGER) BETWEEN 1 AND 20
@@ -866,7 +866,7 @@ def replay_plan(spark, d):
 
 REPLAY_SQL = """SELECT g.stream_seq, g.key, g.sequence, g.payload,
     CAST(CAST(substr(g.key, 6) AS BIGINT) % 5 AS INTEGER) AS partition, g.ts,
-    format('MY_ORDERS.{:02d}', CAST(substr(g.key, 6) AS BIGINT) % 5) AS subject,
+    format('LEDGER.{:02d}', CAST(substr(g.key, 6) AS BIGINT) % 5) AS subject,
     concat('replay-', g.key, '-', g.sequence) AS id FROM good g"""
 
 
@@ -1108,11 +1108,15 @@ def sequence_state(spark, d):
     return reports.ttl_state(written, now, F.lit(timedelta(hours=12)))
 
 
-@query("SELECT key, sequence, false AS expired FROM accounts")
+@query(
+    """SELECT key, sequence, CAST(partition AS BIGINT) AS partition, gaps, gap_total, violations, false AS expired
+    FROM accounts JOIN (SELECT key, count(*) FILTER (status = 'violation') AS violations FROM audit_key GROUP BY key)
+    USING (key)"""
+)
 def sequence_state_stream(spark, d):
-    """Latest update per key after three slices of arrivals."""
+    """Latest account per key after three slices of arrivals."""
     out = scratch_path(spark, "state")
-    rows = I.delivered(spark, d).select("key", "arrival", "sequence")
+    rows = I.delivered(spark, d).select("key", "arrival", "sequence", "partition")
 
     def start(s, ckpt):
         # One batch per start: with a time-out, "available now" goes on with empty batches.
@@ -1122,9 +1126,8 @@ def sequence_state_stream(spark, d):
 
     _in_slices(rows, "arrival", (200, 450), start)
     updates = jobs.read_batches(spark, out)
-    return updates.groupBy("key").agg(
-        F.max_by("sequence", "batch_id").alias("sequence"), F.max_by("expired", "batch_id").alias("expired")
-    )
+    last = [c for c in updates.columns if c not in ("key", "batch_id")]
+    return updates.groupBy("key").agg(*[F.max_by(c, "batch_id").alias(c) for c in last])
 
 
 @query(

@@ -83,7 +83,7 @@ SELECT event_type AS stream, user_id % 3 AS partition, event_id AS sample_seq, t
   CAST(floor(value * 50) AS BIGINT) AS pending, event_id % 100 AS ack_pending
 FROM events""",
     "purges": """
-SELECT * FROM (VALUES ('MY_ORDERS.00', 100), ('MY_ORDERS.01', 40), (NULL, 20)) AS t(subject, purge_seq)""",
+SELECT * FROM (VALUES ('LEDGER.00', 100), ('LEDGER.01', 40), (NULL, 20)) AS t(subject, purge_seq)""",
     "kv_state": """
 SELECT concat('pub.', key) AS kv_key,
   concat('{"sequence":', CAST(max(sequence) AS VARCHAR), ',"source":"producer"}') AS value_json
@@ -119,8 +119,8 @@ GROUP BY key""",
     "routed": """
 SELECT p.*, c.mode, c.partition_count, c.revision,
   CAST(p.user_id % c.partition_count AS INTEGER) AS partition,
-  CASE WHEN c.mode = 'buffer' THEN 'MY_ORDERS_BUFFER'
-       ELSE format('MY_ORDERS.{:02d}', p.user_id % c.partition_count) END AS subject
+  CASE WHEN c.mode = 'buffer' THEN 'LEDGER_BUFFER'
+       ELSE format('LEDGER.{:02d}', p.user_id % c.partition_count) END AS subject
 FROM published p ASOF JOIN config_log c ON p.ts >= c.effective_ts""",
     "epochs": """
 SELECT c.revision, c.mode, min(d.revision) AS epoch, min_by(d.partition_count, d.revision) AS epoch_count
@@ -130,7 +130,7 @@ GROUP BY c.revision, c.mode""",
 SELECT r.stream_seq, r.ts, r.key, r.user_id, r.sequence, r.payload, e.epoch,
   CASE WHEN e.mode = 'buffer' THEN 0 ELSE 1 END AS phase,
   CAST(r.user_id % e.epoch_count AS INTEGER) AS partition,
-  format('MY_ORDERS.{:02d}', r.user_id % e.epoch_count) AS subject
+  format('LEDGER.{:02d}', r.user_id % e.epoch_count) AS subject
 FROM routed r JOIN epochs e ON r.revision = e.revision""",
     "attempts": """
 SELECT stream, partition, stream_seq, count(*) AS attempts, max(attempt_ts) AS last_attempt_ts,

@@ -140,8 +140,8 @@ def latency_percentiles(
 ) -> DataFrame:
     """Floor-rank percentiles per group: the element at ``floor(n * pct / 100)``, clamped.
 
-    NULL values do not count.  Exact ones come from a histogram of the distinct values, so no group is sorted
-    whole.  With ``baseline`` (a value of the only ``by`` column) each percentile also
+    NULL values do not count.  Exact ones come from a histogram of the distinct values,
+    written once; a group with very many of them is cut into slices.  With ``baseline`` (a value of the only ``by`` column) each percentile also
     gets its ratio to that group's.
     """
     by = list(by)
@@ -151,17 +151,13 @@ def latency_percentiles(
             *[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in pcts]
         )
     else:
-        if span is None:
-            # A thousand slices over the range that occurs.
-            width = F.ceil((F.max(value) - F.min(value)) / 1000).cast("bigint")
-            span = df.agg(F.coalesce(F.greatest(F.lit(1), width), F.lit(1)).alias("w")).scalar()
+        scope = by or ["_all"]
         counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        upto = ordered.running_sum(counted, "_upto", F.col("_n"), by, (value,), span=span)
-        totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-        if by:
-            upto = join_small(upto, totals, by, "inner")
-        else:
-            upto = upto.withColumn("_total", totals.scalar())
+        counted = cut_lineage(counted.withColumn("_all", F.lit(1)))
+        upto = ordered.running_sum(counted, "_upto", F.col("_n"), scope, (value,), span=span)
+        group = F.struct(*scope).alias("_of")  # finds NULL groups too
+        totals = counted.groupBy(group).agg(F.sum("_n").alias("_total"))
+        upto = join_small(upto.select("*", group), totals, ["_of"], "inner")
         whole = F.col("_total")
         picked = []
         for p in pcts:

@@ -64,7 +64,11 @@ def audit_stream(
 def sequence_state_stream(
     df: DataFrame, ttl: str = S.STATE_TTL, key: str = "key", order: str = "arrival"
 ) -> DataFrame:
-    """Latest sequence per key; a key without messages for ``ttl`` is reported expired and forgotten.
+    """Account of each key: latest sequence and partition, gaps, gap total and violations.
+
+    Counts compare each arrival with the one before it, over all micro-batches, as
+    ``account_sequences`` does.  A key without messages for ``ttl`` is reported expired and
+    forgotten.  Without a column ``partition`` the partition is NULL.
 
     Run it with a processing-time trigger: waiting time-outs keep asking for batches, so
     an ``availableNow`` run would not end.
@@ -73,32 +77,46 @@ def sequence_state_stream(
         [
             T.StructField(key, T.StringType()),
             T.StructField("sequence", T.LongType()),
+            T.StructField("partition", T.LongType()),
+            T.StructField("gaps", T.LongType()),
+            T.StructField("gap_total", T.LongType()),
+            T.StructField("violations", T.LongType()),
             T.StructField("expired", T.BooleanType()),
         ]
     )
+    counted = [f.name for f in out.fields[1:-1]]
     ttl_ms = micros(ttl) // 1000
 
     def latest(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (_, sequence) = state.get
+            account = state.get
             state.remove()
-            yield pd.DataFrame({key: [group[0]], "sequence": [sequence], "expired": [True]})
+            yield pd.DataFrame([(group[0], *account, True)], columns=out.names)
             return
-        position, sequence = state.get if state.exists else (None, None)
-        for rows in batches:
-            top = rows.loc[rows[order].idxmax()]
-            if position is None or top[order] >= position:
-                position, sequence = int(top[order]), int(top["sequence"])
-        state.update((position, sequence))
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
+        sequence = rows["sequence"].to_numpy()
+        before = state.get if state.exists else (int(sequence[0]) - 1, None, 0, 0, 0)
+        step = np.diff(sequence, prepend=before[0])
+        partition = rows["partition"].iloc[-1]
+        account = (
+            int(sequence[-1]),
+            None if pd.isna(partition) else int(partition),
+            before[2] + int((step > 1).sum()),
+            before[3] + int((step[step > 1] - 1).sum()),
+            before[4] + int((step <= 0).sum()),
+        )
+        state.update(account)
         state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({key: [group[0]], "sequence": [sequence], "expired": [False]})
+        yield pd.DataFrame([(group[0], *account, False)], columns=out.names)
 
-    return df.select(key, order, "sequence").groupBy(key).applyInPandasWithState(
+    partition = F.col("partition") if "partition" in df.columns else F.lit(None)
+    given = df.select(key, order, "sequence", partition.cast("bigint").alias("partition"))
+    return given.groupBy(key).applyInPandasWithState(
         latest,
         out,
-        "position bigint, sequence bigint",
+        ", ".join(f"{name} bigint" for name in counted),
         "update",
         GroupStateTimeout.ProcessingTimeTimeout,
     )

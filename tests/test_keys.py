@@ -92,8 +92,8 @@ def test_ids(spark):
 
 def test_stream_names(spark):
     r = one(spark, n=keys.stream_names(F.lit("my_orders"))).n
-    assert r.subject_prefix == "MY_ORDERS"
-    assert (r.buffer_subject, r.dlq_stream, r.kv_bucket) == ("MY_ORDERS_BUFFER", "MY_ORDERS_DLQ", "MY_ORDERS_config")
+    assert r.subject_prefix == "LEDGER"
+    assert (r.buffer_subject, r.dlq_stream, r.kv_bucket) == ("LEDGER_BUFFER", "LEDGER_DLQ", "LEDGER_config")
 
 
 def test_moved_keys(spark):
