@@ -12,7 +12,8 @@ Targets default to tempered shares: a marginal's share of all tokens to the powe
 ``temper``, scaled to one; ``targets`` may name other shares for a column.  The budget is
 the share of all tokens to keep.
 
-The text is read once for each pass, counting and drawing; all else happens on the cells.
+``mix`` reads the texts twice, to count and to draw; a caller that needs no text can write
+what ``describe`` finds and go on with ``mix_described``.  All else happens on the cells.
 The sweeps use aggregates and joins, so there may be any number of sources.
 
 Defined results: a null text has no tokens; null source, language or topic is a value of
@@ -130,20 +131,22 @@ def _largest_error(cells: DataFrame, wanted: Mapping[str, DataFrame]) -> float:
     return errors.agg(F.max("off")).head()[0] or 0.0
 
 
-def mix(
+def describe(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` with n_tokens, topic (if there is none) and ``draw``, a number from 0 to 1."""
+    if "topic" not in docs.columns:
+        docs = docs.withColumn("topic", topic_of(F.col("text")))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 53)) / F.lit(1 << 53)
+    return docs.withColumns({"n_tokens": count_tokens(F.col("text")), "draw": draw})
+
+
+def mix_described(
     docs: DataFrame,
     budget: float = BUDGET,
     targets: Mapping[str, Mapping] | None = None,
     temper: float = TEMPER,
-    seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with n_tokens, topic, weight, probability and ``kept`` (the draw)."""
-    if "topic" not in docs.columns:
-        docs = docs.withColumn("topic", topic_of(F.col("text")))
-    docs = docs.withColumn("n_tokens", count_tokens(F.col("text")))
-    cells = written(
-        docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-count"
-    )
+    """Rows of ``describe`` with weight, probability and ``kept`` (the draw)."""
+    cells = written(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "mix-count")
     raked = rake(cells, budget, targets, temper)
     rates = raked.select(
         *[F.col(m).alias(f"_{m}") for m in MARGINS],
@@ -152,12 +155,24 @@ def mix(
     )
     if at_most(rates, BROADCAST_ROWS):
         rates = F.broadcast(rates)
-    same = [docs[m].eqNullSafe(rates[f"_{m}"]) for m in MARGINS]
     given = [c for c in docs.columns if c not in ("weight", "probability", "kept")]
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 53)) / F.lit(1 << 53)
-    return docs.select(*given).join(rates, same[0] & same[1] & same[2], "left").select(
+    docs = docs.select(*given)
+    same = [docs[m].eqNullSafe(rates[f"_{m}"]) for m in MARGINS]
+    chance = F.coalesce("probability", F.lit(1.0))
+    return docs.join(rates, same[0] & same[1] & same[2], "left").select(
         *given,
         F.coalesce("weight", F.lit(0.0)).alias("weight"),
-        F.coalesce("probability", F.lit(1.0)).alias("probability"),
-        (draw < F.coalesce("probability", F.lit(1.0))).alias("kept"),
+        chance.alias("probability"),
+        (F.col("draw") < chance).alias("kept"),
     )
+
+
+def mix(
+    docs: DataFrame,
+    budget: float = BUDGET,
+    targets: Mapping[str, Mapping] | None = None,
+    temper: float = TEMPER,
+    seed: int = SEED,
+) -> DataFrame:
+    """``docs`` with n_tokens, topic, draw, weight, probability and ``kept`` (the draw)."""
+    return mix_described(describe(docs, seed), budget, targets, temper)

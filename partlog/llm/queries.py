@@ -17,7 +17,7 @@ from partlog.llm import (
     sharding,
     substrings,
 )
-from partlog.llm.common import table
+from partlog.llm.common import table, written
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked cell, the probability to keep it, and the draw."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select(
+    found = mixing.describe(table(spark, sf_dir, "documents"))
+    narrow = written(found.drop("text", "n_chars"), "mix-documents")
+    return mixing.mix_described(narrow).select(
         "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept"
     )
 
