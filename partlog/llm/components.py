@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlog.llm.common import written
+from partlog.plans.bounds import BROADCAST_ROWS, at_most
 
 JUMPS = 3
 
@@ -17,16 +18,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     these choices follow, and links then connect what is left.  The smallest node of a
     component never joins another, so it gives the name.  The number of links falls from
     round to round, all steps are aggregates and joins, and each round is written to the
-    shared folder.  Nodes without a link to another do not appear.
+    shared folder.  Nodes without a link to another do not appear.  Links of a counted small
+    number are one partition from the start, which needs no exchange; the rows are the same.
     """
     ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     left = written(
         ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(),
         "links",
     )
+    few = at_most(left, BROADCAST_ROWS)
+    packed = lambda df: df.coalesce(1) if few else df
+    left = packed(left)
     names: DataFrame | None = None
     while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        both = packed(left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y"))))
         joined = both.groupBy("x").agg(F.min("y").alias("y"))
         joins = joined.select(
             F.col("x").alias("node"), F.least("x", "y").alias("component")
@@ -38,7 +43,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             joins = joins.join(next_, "component", "left").select(
                 "node", F.coalesce("_further", "component").alias("component")
             )
-        joins = written(joins, "joins")
+        joins = packed(written(joins, "joins"))
         of_x = joins.select(F.col("node").alias("x"), F.col("component").alias("cx"))
         of_y = joins.select(F.col("node").alias("y"), F.col("component").alias("cy"))
         met = left.join(of_x, "x").join(of_y, "y").where("cx <> cy")
@@ -46,6 +51,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             met.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).distinct(),
             "links",
         )
+        left = packed(left)
         if names is None:
             names = joins
         else:
@@ -55,7 +61,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             names = names.join(step, "component", "left").select(
                 "node", F.coalesce("_further", "component").alias("component")
             )
-            names = written(names, "names")
+            names = packed(written(names, "names"))
     if names is None:
         return left.select(F.col("x").alias("node"), F.col("y").alias("component"))
     return names

@@ -554,12 +554,13 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if wanted.isEmpty():
         return sets, None
     held = written(_texts_of(texts, wanted), "jaccard-candidates")
+    columns = ("grp", "class", "n", "home")
     names, links, tested = None, None, None
     for number in [*range(PIVOT_ROUNDS), None]:
-        members = written(_apart(members, names).select(*members.columns), "jaccard-apart")
+        members = written(_apart(members.select(*columns), names), "jaccard-apart")
         if members.isEmpty():
             break
-        pairs = _pairs(_apart(members, names), number)
+        pairs = _pairs(members, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
