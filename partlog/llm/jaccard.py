@@ -21,8 +21,8 @@ the whole set, and the set without any one shingle.
 
 Verification.  Sets that share a signature form a group.  Pairs of one pivot of each group
 with the others are verified, then components are formed, and only pairs whose ends are
-still apart go on: once more with another pivot, then all that are left.  So no group of
-near copies is ever expanded into all its pairs, and no link between different components
+still apart go on: once more with several other pivots, then all that are left.  So no group
+of near copies is ever expanded into all its pairs, and no link between different components
 is missed.  A pair first compares bitmaps of hashed shingles, about two bits for each: bits
 that differ are a lower bound of the shingles that differ, so a pair with more of them than
 two linked sets may have is dropped for certain.  The others are verified on the texts.
@@ -58,7 +58,7 @@ HOT = 64
 MOST_HOT = 1_000_000
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-PIVOT_ROUNDS = 2
+PIVOTS = (1, 16)  # of each group, in the rounds before the last
 DELETION_SIZE = 6  # up to here sets differ in at most one shingle from smaller ones
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -471,6 +471,14 @@ def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(wanted, "class", "left_semi")
 
 
+def _needed(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those classes that ``pairs`` name, so that the joins shuffle no others."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ends = written(ends, "jaccard-ends")
+    few = F.broadcast(ends) if at_most(ends, BROADCAST_ROWS) else ends
+    return held.join(few, "class", "left_semi")
+
+
 def _likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that may link by their bitmaps."""
 
@@ -509,25 +517,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "a bigint, b bigint")
 
 
-def _apart(members: DataFrame, names: DataFrame | None) -> DataFrame:
+def _apart(members: DataFrame, names: DataFrame) -> DataFrame:
     """Members with their component so far, of groups with more than one component."""
-    if names is None:
-        labelled = members.withColumn("component", F.col("class"))
-    else:
-        labelled = members.join(names.withColumnRenamed("node", "class"), "class", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "class"))
+    labelled = members.join(names.withColumnRenamed("node", "class"), "class", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "class"))
     ends = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return labelled.join(ends.where("low <> high").select("grp"), "grp", "left_semi")
 
 
-def _pairs(apart: DataFrame, number: int | None) -> DataFrame:
-    """Pairs (a, b) of members that are still apart: with one pivot per group, or all."""
-    if number is None:
+def _pairs(apart: DataFrame, pivots: int | None) -> DataFrame:
+    """Pairs (a, b) of members that are still apart: with some pivots per group, or all."""
+    if pivots is None:
         first = apart.select("grp", "class", "n", "home", "component")
     else:
-        order = F.xxhash64("class", F.lit(number))
-        best = F.min_by(F.struct("class", "n", "home", "component"), order)
-        first = apart.groupBy("grp").agg(best.alias("p")).select("grp", "p.*")
+        member = F.struct("class", "n", "home", "component")
+        best = [F.min_by(member, F.xxhash64("class", F.lit(pivots + k))) for k in range(pivots)]
+        chosen = apart.groupBy("grp").agg(F.array_distinct(F.array(*best)).alias("p"))
+        first = chosen.select("grp", F.explode("p").alias("p")).select("grp", "p.*")
     first = first.select("grp", *[F.col(c).alias(f"_{c}") for c in ("class", "n", "home", "component")])
     low, high = F.least("n", "_n"), F.greatest("n", "_n")
     fits = (
@@ -556,17 +562,20 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     held = written(_texts_of(texts, wanted), "jaccard-candidates")
     columns = ("grp", "class", "n", "home")
     names, links, tested = None, None, None
-    for number in [*range(PIVOT_ROUNDS), None]:
-        members = written(_apart(members.select(*columns), names), "jaccard-apart")
+    for pivots in [*PIVOTS, None]:
+        if names is None:
+            members = members.withColumn("component", F.col("class"))
+        else:
+            members = written(_apart(members.select(*columns), names), "jaccard-apart")
         if members.isEmpty():
             break
-        pairs = _pairs(members, number)
+        pairs = _pairs(members, pivots)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = written(_likely(pairs, held), "jaccard-likely")
-        found = written(_verified(likely, held), "jaccard-links")
+        likely = written(_likely(pairs, _needed(held, pairs)), "jaccard-likely")
+        found = written(_verified(likely, _needed(held, likely)), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         names = components(links)
     return sets, names
