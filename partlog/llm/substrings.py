@@ -277,10 +277,9 @@ def _merged(ranges: np.ndarray) -> pd.DataFrame:
     if not len(doc):
         return pd.DataFrame({"doc": doc, "text_key": key, "low": low, "high": high})
     turn = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
-    # Highest end so far, starting anew with each document.
-    group = np.cumsum(turn) - 1
-    wide = high.astype(np.float64) + group * 2.0**40
-    reach = np.maximum.accumulate(wide) - group * 2.0**40
+    # Highest end so far, starting anew with each document.  In integers: exact for any number.
+    base = (np.cumsum(turn) - 1) * (int(high.max()) + 1)
+    reach = np.maximum.accumulate(high + base) - base
     new = turn.copy()
     new[1:] |= low[1:] > reach[:-1]
     begin = np.flatnonzero(new)
@@ -290,7 +289,7 @@ def _merged(ranges: np.ndarray) -> pd.DataFrame:
             "doc": doc[begin],
             "text_key": key[begin],
             "low": low[begin],
-            "high": reach[end].astype(np.int64),
+            "high": reach[end],
         }
     )
 

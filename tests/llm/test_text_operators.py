@@ -83,6 +83,17 @@ def test_substrings_odd_rows(spark):
     assert substrings.remove_repeats(df.where("false")).collect() == []
 
 
+def test_merged_ranges_are_exact_for_many_documents():
+    n = 200_000
+    doc = np.repeat(np.arange(n), 4)
+    low, high = np.tile([10, 30, 44, 60], n), np.tile([33, 45, 51, 61], n)
+    ranges = np.stack([doc, np.zeros_like(doc), low, high])
+    found = substrings._merged(ranges[:, np.random.default_rng(3).permutation(4 * n)])
+    assert found["doc"].tolist() == np.repeat(np.arange(n), 2).tolist()
+    assert found["low"].tolist() == [10, 60] * n
+    assert found["high"].tolist() == [51, 61] * n
+
+
 def test_exact_words_do_not_trust_hashes(monkeypatch):
     monkeypatch.setattr(Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))
     ids = substrings._exact_words(Words([b"ab cd ab e", b"cd x"]))
