@@ -581,18 +581,21 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return sets, names
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc, text_key, n, class and component of each document."""
+    sets, names = link_sets(docs)
+    if names is None:
+        return sets.withColumn("component", F.col("class"))
+    given = sets.join(names.withColumnRenamed("node", "class"), "class", "left")
+    return given.withColumn("component", F.coalesce("component", "class"))
+
+
 def group_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    sets, names = link_sets(docs)
     kind = docs.schema["doc_id"].dataType
-    given = sets.select(
-        F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), "class", "n"
+    given = _labelled(docs).select(
+        F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), "n", "component"
     )
-    if names is None:
-        given = given.withColumn("component", F.col("class"))
-    else:
-        given = given.join(names.withColumnRenamed("node", "class"), "class", "left")
-        given = given.withColumn("component", F.coalesce("component", "class"))
     smallest = (
         given.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     )
@@ -605,27 +608,45 @@ def group_documents(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id.
 
-    Of repeated rows (same id, same text) one stays.  Documents without words all stay.
+    Documents are told apart by id and text: a text goes if it has a copy elsewhere, whatever
+    other texts its id names.  Null ids come last.  Of one id's texts in one group that with
+    the smallest hash stays, of repeated rows (same id, same text) the one with the smallest
+    other columns.  Documents without words all stay.
     """
-    found = written(group_documents(docs), "jaccard-found")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    gone = written(gone.distinct(), "jaccard-gone")
-    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    again = written(again.select("doc_id"), "jaccard-again")
-    few = at_most(gone, BROADCAST_ROWS)
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    kind = docs.schema["doc_id"].dataType
+    # One row for each id and text with words, so that no join meets a whole group.
+    found = written(
+        _labelled(docs)
+        .where("n > 0")
+        .groupBy("doc", "text_key")
+        .agg(F.min("component").alias("component"), F.count("*").alias("copies")),
+        "jaccard-found",
+    )
+    order = F.struct(F.col("doc").isNull(), F.col("doc").cast(kind), "text_key")
+    member = F.struct("doc", "text_key", "copies")
+    first = found.groupBy("component").agg(F.min_by(member, order).alias("f")).select("f.*")
+    first = written(first, "jaccard-first")
+    rest = F.col("doc").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    names = (F.col("doc").alias("_id"), F.col("text_key").alias("_key"))
+    gone = found.join(first.select(*names), rest, "left_anti").select(*names)
+    gone = written(gone, "jaccard-gone")
+    again = written(first.where("copies > 1").select(*names), "jaccard-again")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+
+    def of(given: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        """Rows of ``given`` with, or without, an id and text of ``named``."""
+        few = F.broadcast(named) if at_most(named, BROADCAST_ROWS) else named
+        return given.join(few, same, how)
+
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_doc", F.col("doc_id").cast("string")).withColumn("_text_key", text_key)
+    left = of(keyed, gone, "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
-    # Ids that several rows share: of those with words, the first text stays.
-    many = left.join(again, "doc_id", "left_semi")
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = (
-        many.where(F.trim(F.col("text")) != "")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("text", *names)).alias("r"))
-        .select("doc_id", "r.*")
+        of(left, again, "left_semi")
+        .groupBy("_doc", "_text_key")
+        .agg(F.min(F.struct(*docs.columns)).alias("r"))
+        .select("r.*")
     )
-    blank = many.where(F.coalesce(F.trim(F.col("text")), F.lit("")) == "")
-    rest = left.join(again, "doc_id", "left_anti")
-    parts = [d.select(*docs.columns) for d in (rest, one, blank)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return of(left, again, "left_anti").select(*docs.columns).unionByName(one)

@@ -190,6 +190,26 @@ def test_jaccard_odd_rows_and_dedup(spark):
     assert groups(df.where("false")) == {}
 
 
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    text = lambda k: " ".join(VOCABULARY[40 * k : 40 * k + 40])
+    rows = [
+        (10, text(0)), (10, text(1)), (10, text(0)),  # two texts of one id, one row repeated
+        (3, text(2)), (11, text(2)), (11, text(3)),  # a copy of a smaller id, and another text
+        (None, text(4)), (None, text(4) + " more"), (None, text(5)),  # near copies without an id
+        (None, text(3) + " more"), (None, text(6)), (None, text(6)),
+        (12, text(7)), (12, text(7) + " more"),  # near copies of one id
+        (9, text(8)), (100, text(8)), (13, None), (13, ""), (None, " "), (None, " "),
+    ]
+    df = documents(spark, rows).repartition(3)
+    df = df.withColumnsRenamed({"grp": "doc", "row": "text_key", "lang": "copies"})
+    found = jaccard.deduplicate(df)
+    assert found.columns == df.columns
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").removesuffix(" more")) for r in found.collect())
+    want = [(10, 0), (10, 1), (3, 2), (11, 3), (None, 4), (None, 5), (None, 6), (12, 7), (9, 8)]
+    blank = [("13", ""), ("13", ""), ("None", " "), ("None", " ")]
+    assert kept == sorted([(str(i), text(k)) for i, k in want] + blank)
+
+
 def test_tiles_find_moved_passages(spark):
     w = VOCABULARY
     item = " ".join(w[:40])
