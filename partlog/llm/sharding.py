@@ -1,18 +1,26 @@
 """Sharding by balanced label propagation.
 
 Documents with one text form a group; an edge joins any two of a group.  A shard is a
-label.  Each round, every group looks up in which shard it has most documents, counting
-only shards that can still take some, and its other documents ask to move there.  Each
-shard has a quota, its room plus what asks to leave it; small groups are served first, so
-that a group too large for one shard takes what is left.  Rounds lower the number of cut
-edges.  Then a levelling step moves documents without partners first, so that the
-numbers of documents in two shards differ by at most one.
+label, and each shard has an exact quota, so that the numbers of documents in two shards
+differ by at most one.  Labels start at random.  Documents without partners have no edges:
+they yield all their room and get labels last.
+
+1. Large groups, of more than a ``LARGE``-th of a shard, go first, since cut edges grow with
+   the square of a group.  There are at most about ``LARGE`` times as many as shards, so the
+   driver places them by their counts, the largest first: whole into the fullest shard that
+   can take it, or else filling shards one after the other.
+2. Every other group takes the label that most of its documents have, as far as that shard's
+   room goes.  Groups that find no room are laid along the room that is left in all shards.
+   Those across the border of two shards, fewer than shards, are placed as in step 1.
+3. Documents without partners are laid along the rest.
+
+A group has one label after its vote, so further rounds would change nothing; groups are cut
+only if no shard had room for what is left of them.  ``cut_edges`` counts.
 
 All steps are joins, aggregates and window functions over a narrow table (row, group,
-shard).  Ranks within a shard are taken in pieces: rows are dealt by hash into pieces, a
-small table holds the running totals of the pieces, and windows never cover more than one
-piece.  Groups are counted before they meet, so a group with a third of all rows is one
-row per shard.
+shard).  Ranks are taken in pieces: rows are dealt by hash into pieces, a small table holds
+the running totals of the pieces, and windows never cover more than one piece.  Groups are
+counted before they meet, so a group with a third of all rows is one row per shard.
 
 Defined results: a null text is an empty one; null or repeated ids are rows of their own;
 repeated rows are one group; an empty table gives no rows; further columns are kept out.
@@ -20,14 +28,15 @@ repeated rows are one group; an empty table gives no rows; further columns are k
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlog.llm.common import written
 
 SHARDS = 40
-ROUNDS = 3
-SLACK = 0.05
+LARGE = 8
 PIECE_ROWS = 20_000
 
 
@@ -61,120 +70,131 @@ def running_total(
     )
 
 
-def _quotas(shards: int, rows: int) -> Column:
-    """The exact number of rows of each shard."""
-    return F.when(F.col("shard") < rows % shards, rows // shards + 1).otherwise(rows // shards)
+def cut_edges(placed: DataFrame, group: str) -> DataFrame:
+    """One row: ``edges`` between rows with one value of ``group``, ``cut`` between shards."""
+    parts = placed.groupBy(group, "shard").agg(F.count("*").alias("n"))
+    whole = parts.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("near"))
+    edges, cut = F.col("n") * (F.col("n") - 1) / 2, (F.col("n") * F.col("n") - F.col("near")) / 2
+    total = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    return whole.agg(total(edges).alias("edges"), total(cut).alias("cut"))
+
 
+def _placed(
+    groups: list[tuple[str, int]], room: list[int], here: dict[tuple[str, int], int]
+) -> list[tuple[str, int, int, int]]:
+    """Portions (group, low, high, shard) of ``groups``, by ranks; takes them from ``room``.
 
-def _round(state: DataFrame, shards: int, rows: int, pieces: int, number: int) -> DataFrame:
+    ``here`` counts a group's documents in a shard, which decides between equal rooms.
+    """
+    queue = [(-members, group, 0) for group, members in groups]
+    heapq.heapify(queue)
+    portions = []
+    while queue:
+        left, group, low = heapq.heappop(queue)
+        left = -left
+        votes = lambda s: here.get((group, s), 0)
+        fits = [s for s, r in enumerate(room) if r >= left]
+        if fits:
+            shard = min(fits, key=lambda s: (room[s], -votes(s), s))
+        else:
+            shard = max(range(len(room)), key=lambda s: (room[s], votes(s), -s))
+        taken = min(left, room[shard])
+        room[shard] -= taken
+        portions.append((group, low, low + taken, shard))
+        if taken < left:
+            heapq.heappush(queue, (taken - left, group, low + taken))
+    return portions
+
+
+def _taken(room: list[int], sums: DataFrame) -> list[int]:
+    """``room`` less what ``sums`` (shard, taken) holds: one row for each shard."""
+    taken = {r["shard"]: r["taken"] for r in sums.collect()}
+    return [r - taken.get(s, 0) for s, r in enumerate(room)]
+
+
+def _along(queue: DataFrame, room: list[int], amount: str) -> DataFrame:
+    """``queue``, whose column ``ahead`` counts rows, with the ``shard`` that has room there.
+
+    It is null where ``amount`` rows from there on do not lie in one shard.
+    """
+    ranges, low = [], 0
+    for shard, r in enumerate(room):
+        ranges.append((shard, low, low + r))
+        low += r
+    ends = F.broadcast(queue.sparkSession.createDataFrame(ranges, "shard int, low bigint, high bigint"))
+    inside = (F.col("ahead") >= F.col("low")) & (F.col("ahead") < F.col("high"))
+    whole = F.col("ahead") + F.col(amount) <= F.col("high")
+    return queue.join(ends, inside).withColumn("shard", F.when(whole, F.col("shard"))).drop("low", "high")
+
+
+def _labelled(state: DataFrame, shards: int, rows: int, pieces: int) -> DataFrame:
+    """(row, members, shard) of ``state`` (row, grp, members, start)."""
     spark = state.sparkSession
-    cap = int(rows / shards * (1 + SLACK)) + 1
-    held = state.groupBy("shard").agg(F.count("*").alias("held"))
-    room = (
-        spark.range(shards)
-        .select(F.col("id").cast("int").alias("shard"))
-        .join(F.broadcast(held), "shard", "left")  # one row for each shard
-        .select("shard", (F.lit(cap) - F.coalesce("held", F.lit(0))).alias("room"))
-    )
-    linked = state.where("members > 1")
-    counts = linked.groupBy("grp", "members", "shard").agg(F.count("*").alias("here"))
-    votes = counts.join(F.broadcast(room), "shard").withColumn(
-        "score", F.when(F.col("room") > 0, F.col("here")).otherwise(F.lit(0))
-    )
-    best = votes.groupBy("grp").agg(
-        F.max(F.struct("score", "here", (-F.col("shard")).alias("minus"))).alias("b")
-    )
-    targets = votes.join(best, "grp").select(
-        "grp", "members", "shard", (-F.col("b.minus")).cast("int").alias("target"), "here"
-    )
-    moving = targets.where("shard <> target")
-    leaving = moving.groupBy("shard").agg(F.sum("here").alias("leaving"))
-    quota = room.join(F.broadcast(leaving), "shard", "left").select(
-        F.col("shard").alias("target"),
-        F.greatest(F.col("room") + F.coalesce("leaving", F.lit(0)), F.lit(0)).alias("quota"),
-    )
-    # Portions (group, from shard) queue at their target: small groups first.  The piece
-    # follows the size of the group, its scatter within a size comes from the group's hash.
-    size_class = F.least(F.floor(F.log2(F.col("members")) * 2), F.lit(63)).cast("int")
-    scatter = F.pmod(F.xxhash64("grp"), F.lit(pieces))
+    room = [rows // shards + (shard < rows % shards) for shard in range(shards)]
+    counts = written(
+        state.where("members > 1").groupBy("grp", "members", "start").agg(F.count("*").alias("here")),
+        "shard-counts",
+    )
+    large = F.col("members") * LARGE > max(1, rows // shards)
+    found = counts.where(large).collect()  # at most 2 * LARGE * shards groups
+    here = {(r["grp"], r["start"]): r["here"] for r in found}
+    portions = _placed(sorted({(r["grp"], r["members"]) for r in found}), room, here)
+
+    vote = F.max(F.struct("here", (-F.col("start")).alias("minus")))
+    votes = counts.where(~large).groupBy("grp", "members").agg(vote.alias("b"))
+    votes = votes.select("grp", "members", (-F.col("b.minus")).cast("int").alias("label"))
+    scatter = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     queue = running_total(
-        moving,
-        ["target"],
-        [size_class * pieces + scatter, F.col("members"), F.col("grp"), F.col("shard")],
-        F.col("here"),
-        64 * pieces,
+        votes, ["label"], [scatter("grp", pieces), F.col("grp")], F.col("members"), pieces, "ahead"
+    )
+    rooms = F.broadcast(spark.createDataFrame(list(enumerate(room)), "label int, room bigint"))
+    fits = F.col("ahead") + F.col("members") <= F.col("room")
+    asked = queue.join(rooms, "label").select(
+        "grp", "members", F.when(fits, F.col("label")).alias("shard")
+    )
+    asked = written(asked, "shard-asked")
+    first = asked.where("shard is not null")
+    room = _taken(room, first.groupBy("shard").agg(F.sum("members").alias("taken")))
+
+    spread = shards * pieces
+    rest = running_total(
+        asked.where("shard is null").drop("shard"),
+        [],
+        [scatter("grp", spread), F.col("grp")],
+        F.col("members"),
+        spread,
         "ahead",
     )
-    allowed = (
-        queue.join(F.broadcast(quota), "target")
-        .withColumn("grant", F.least(F.col("quota") - F.col("ahead"), F.col("here")))
-        .where("grant > 0")
-        .select("grp", "shard", "target", "grant", "here")
-    )
-    # All documents of a portion are alike.  Where only some may go, rank them in pieces.
-    whole = allowed.where("grant = here").select("grp", "shard", "target")
-    some = allowed.where("grant < here").select("grp", "shard", "target", "grant")
-    partly = running_total(
-        state.join(some, ["grp", "shard"]),
-        ["grp", "shard"],
-        [F.pmod(F.xxhash64("row", F.lit(number)), F.lit(pieces)), F.col("row")],
-        F.lit(1),
-        pieces,
-        "rank",
-    ).select("row", F.when(F.col("rank") < F.col("grant"), F.col("target")).alias("to_some"))
-    moved = state.join(whole, ["grp", "shard"], "left").join(partly, "row", "left")
-    return moved.select(
-        *[c for c in state.columns if c != "shard"],
-        F.coalesce("to_some", "target", "shard").alias("shard"),
-    )
+    rest = written(_along(rest, room, "members"), "shard-rest")
+    second = rest.where("shard is not null")
+    room = _taken(room, second.groupBy("shard").agg(F.sum("members").alias("taken")))
+    border = rest.where("shard is null").select("grp", "members").collect()  # fewer than shards
+    portions += _placed([(r["grp"], r["members"]) for r in border], room, {})
 
-
-def _levelled(state: DataFrame, shards: int, rows: int, pieces: int) -> DataFrame:
-    """Exactly even numbers: too full shards release rows, those without partners first."""
-    spark = state.sparkSession
-    held = state.groupBy("shard").agg(F.count("*").alias("held"))
-    over = (
-        spark.range(shards)
-        .select(F.col("id").cast("int").alias("shard"))
-        .join(F.broadcast(held), "shard", "left")
-        .select("shard", (F.coalesce("held", F.lit(0)) - _quotas(shards, rows)).alias("over"))
-    )
-    full = over.where("over > 0")
-    alone = F.when(F.col("members") == 1, 0).otherwise(1)
+    # Rows of placed groups are ranked; all others of a group go where it goes.
+    owned = spark.createDataFrame(portions, "grp string, low bigint, high bigint, shard int")
+    order = [F.col("start") * pieces + scatter("row", pieces), F.col("row")]
     ranked = running_total(
-        state.join(F.broadcast(full), "shard"),
-        ["shard"],
-        [alone * pieces + F.pmod(F.xxhash64("grp"), F.lit(pieces)), F.col("grp"), F.col("row")],
+        state.join(F.broadcast(owned.select("grp").distinct()), "grp"),
+        ["grp"],
+        order,
         F.lit(1),
-        2 * pieces,
+        spread,
         "rank",
     )
-    # Released rows of all shards in one order; shards with room own ranges of it.
-    base = Window.orderBy("shard")  # one row for each shard
-    starts = full.select(
-        F.col("shard"), (F.sum("over").over(base) - F.col("over")).alias("start")
-    )
-    released = (
-        ranked.where("rank < over")
-        .join(F.broadcast(starts), "shard")
-        .select("row", (F.col("start") + F.col("rank")).alias("at"))
-    )
-    gaps = over.where("over < 0").select(F.col("shard").alias("to"), (-F.col("over")).alias("gap"))
-    ends = Window.orderBy("to")  # one row for each shard
-    ranges = gaps.select(
-        "to",
-        (F.sum("gap").over(ends) - F.col("gap")).alias("low"),
-        F.sum("gap").over(ends).alias("high"),
-    )
-    inside = (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
-    placed = released.join(F.broadcast(ranges), inside).select("row", "to")
-    return state.join(placed, "row", "left").select(
-        *[c for c in state.columns if c != "shard"], F.coalesce("to", "shard").alias("shard")
+    at = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    cut = ranked.join(F.broadcast(owned.withColumnRenamed("grp", "_grp")), (F.col("grp") == F.col("_grp")) & at)
+    whole = state.where((F.col("members") > 1) & ~large).join(
+        first.unionByName(second.drop("ahead")).select("grp", "shard"), "grp"
     )
+    alone = running_total(state.where("members = 1"), [], order, F.lit(1), spread, "ahead")
+    alone = _along(alone, room, "members")
+    columns = ("row", "members", "shard")
+    return cut.select(*columns).unionByName(whole.select(*columns)).unionByName(alone.select(*columns))
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: tuple[str, ...] = ()
+    docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, members (documents with this text), and ``keep``.
 
@@ -198,12 +218,9 @@ def assign_shards(
     pieces = max(1, rows // PIECE_ROWS // 4)
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     state = written(
-        base.select("row", "grp").join(sizes, "grp").withColumn("shard", start), "shard-start"
+        base.select("row", "grp").join(sizes, "grp").withColumn("start", start), "shard-start"
     )
-    for number in range(rounds if rows else 0):
-        state = written(_round(state, shards, rows, pieces, number), "shard-round")
-    if rows:
-        state = written(_levelled(state, shards, rows, pieces), "shard-level")
+    state = written(_labelled(state, shards, rows, pieces), "shard-labels")
     ranked = running_total(
         base.join(state.select("row", "members", "shard"), "row"),
         ["shard"],

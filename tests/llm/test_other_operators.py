@@ -52,6 +52,32 @@ def test_shards_are_even_and_keep_groups_together(spark):
     assert sharding.assign_shards(documents(spark, []), shards=8).collect() == []
 
 
+def test_large_groups_are_cut_no_more_than_needed(spark):
+    # 40 shards of 100: a third of all rows, some just below a shard, many of a fifth, small ones.
+    sizes = [1333, 250] + [95] * 4 + [20] * 30 + [3] * 100
+    rows = [(10**4 * k + j, f"group {k}") for k, n in enumerate(sizes) for j in range(n)]
+    rows += [(10**7 + k, f"text {k}") for k in range(4000 - len(rows))]
+    df = documents(spark, rows).repartition(3).withColumn("copy", F.md5("text"))
+    placed = sharding.assign_shards(df, keep=("copy",)).cache()
+    assert placed.count() == 4000
+    assert {r["count"] for r in placed.groupBy("shard").count().collect()} == {100}
+    where = defaultdict(Counter)
+    for r in placed.collect():
+        if r["doc_id"] < 10**7:
+            where[r["doc_id"] // 10**4][r["shard"]] += 1
+    parts = [sorted(where[k].values(), reverse=True) for k in range(len(sizes))]
+    assert parts[:2] == [[100] * 13 + [33], [100, 100, 50]]
+    assert all(p == [n] for p, n in zip(parts[2:], sizes[2:]))
+    cut = sum(n * n - sum(x * x for x in p) for n, p in zip(sizes[:2], parts)) // 2
+    edges = sum(n * (n - 1) // 2 for n in sizes)
+    assert sharding.cut_edges(placed, "copy").collect() == [(edges, cut)]
+    # Without documents that yield room, each border cuts one group at most.
+    tight = documents(spark, [(3 * k + j, f"t {k}") for k in range(400) for j in range(3)])
+    placed = sharding.assign_shards(tight.withColumn("copy", F.md5("text")), keep=("copy",))
+    assert {r["count"] for r in placed.groupBy("shard").count().collect()} == {30}
+    assert sharding.cut_edges(placed, "copy").head()["cut"] <= 3 * 39
+
+
 def test_running_total_is_exact(spark):
     rows = [(k % 3, k % 5, k, k * k % 7) for k in range(200)]
     df = spark.createDataFrame(rows, "g int, p int, o int, a bigint")
