@@ -6,9 +6,10 @@ windows of ``WINDOW`` words that overlap so far that each run of ``PIECE`` words
 one whole.  A window and a piece share a band when one of ``BANDS`` hash functions takes its
 smallest value over the shingles of both at the same shingle.  A piece of n words inside of
 a window has a Jaccard similarity of at least j = (n - 2) / (WINDOW - 2), so all bands miss
-it with probability (1 - j) ** BANDS; for the shortest template here, five words, that is
-below 1e-7.  Windows without any shingle of a template cannot share a band, so they are
-left out before anything is hashed; this loses nothing.
+it with probability (1 - j) ** BANDS, below 1e-7 from five words.  Shorter pieces, such as a
+notice of three words, would be missed more often: they need no bands, since any of their
+shingles retrieves them exactly.  Windows without any shingle of a template cannot share a
+band, so they are left out before anything is hashed; this loses nothing.
 
 Templates found this way are verified exactly: the share of the template's distinct
 shingles that stand anywhere in the document, since a template may run over many windows.
@@ -36,10 +37,13 @@ PIECE = 12
 WINDOW = 16
 STEP = WINDOW - PIECE + 1
 BANDS = 72
+MISS = 1e-7  # pieces that all bands miss more often are retrieved exactly
 THRESHOLD = 0.75
 MAX_TEMPLATE_WORDS = 50_000
 
 # Short notices as they stand in files, and first sentences of public texts.
+# The headers of the GNU licenses share most words: a text that holds one may hold more than
+# the threshold of another; the containment tells which one stands there whole.
 TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -62,6 +66,26 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License."
     ),
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright.",
+    "all-rights-reserved": "All rights reserved.",
+    "GPL-header": (
+        "This program is free software: you can redistribute it and/or modify it under the"
+        " terms of the GNU General Public License as published by the Free Software Foundation,"
+        " either version"
+    ),
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the"
+        " terms of the GNU Lesser General Public License as published by the Free Software"
+        " Foundation; either version"
+    ),
+    "AGPL-header": (
+        "This program is free software: you can redistribute it and/or modify it under the"
+        " terms of the GNU Affero General Public License as published by the Free Software"
+        " Foundation, either version"
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+        " If a copy of the MPL was not distributed with this file, You can obtain one at"
+    ),
 }
 
 
@@ -117,6 +141,14 @@ def _pieces(templates: DataFrame) -> DataFrame:
     )
 
 
+def missed(shingles: int) -> float:
+    """The most probable that all bands miss a piece of so many shingles in a window."""
+    return (1 - shingles / (WINDOW - SHINGLE + 1)) ** BANDS
+
+
+EXACT = max(n for n in range(WINDOW - SHINGLE + 1) if missed(n) > MISS)  # shingles, at most
+
+
 def scan(
     docs: DataFrame,
     templates: Mapping[str, str] | None = None,
@@ -165,9 +197,23 @@ def scan(
     signed = windows.where(F.size("s") > 0).select(
         "row", "start", F.posexplode(let(F.col("s"), bands_of)).alias("band", "value")
     )
-    asked = pieces.select("template", F.posexplode(let(F.col("s"), bands_of)).alias("band", "value"))
+    asked = pieces.where(F.size("s") > EXACT).select(
+        "template", F.posexplode(let(F.col("s"), bands_of)).alias("band", "value")
+    )
+    by_band = signed.join(F.broadcast(asked.distinct()), ["band", "value"])  # BANDS a piece
+    # Short pieces: by any of their shingles, at the first window that holds it.
+    short = pieces.where(F.size("s") <= EXACT).select("template", F.explode("s").alias("value")).distinct()
+    listed = sorted({r["value"] for r in short.collect()})  # a part of the known ones
+    exact = F.filter("at", lambda i: F.get("s", i).isin(listed))
+    at_once = (
+        hit.select("row", "s", F.explode(exact).alias("i"))
+        .select("row", (first(F.col("i")) * STEP).alias("start"), F.get("s", F.col("i")).alias("value"))
+        .join(F.broadcast(short), "value")
+    )
+    found = ("row", "start", "template")
     retrieved = (
-        signed.join(F.broadcast(asked.distinct()), ["band", "value"])  # at most BANDS a piece
+        by_band.select(*found)
+        .unionByName(at_once.select(*found))
         .groupBy("row", "template")
         .agg(F.min("start").alias("first_word"))
     )

@@ -295,6 +295,32 @@ def test_licenses_match_brute_force(spark):
         licenses.scan(documents(spark, rows), {"a": "two words"})
 
 
+def test_short_and_common_notices_are_found(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    # By bands alone, about one in 200 of these would be missed.
+    rows = [(i, f"{some(rng.randint(12, 30))}. All rights reserved. {some(20)}") for i in range(3000)]
+    rows += [(10_000 + i, "all rights are reserved") for i in range(5)]
+    found = licenses.scan(documents(spark, rows), {"short": "All rights reserved.", "four": "a b c d"})
+    assert {(r["doc_id"], r["template"], r["containment"]) for r in found.collect()} == {
+        (i, "short", 1.0) for i in range(3000)
+    }
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms"
+        " of the GNU General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version."
+    )
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a"
+    mpl += " copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org"
+    rows = [(1, f"{some(9)} {gpl} {some(9)}"), (2, mpl), (3, "(c) X. ALL RIGHTS RESERVED!")]
+    rows += [(4, gpl.replace("General", "Lesser General")), (5, some(50))]
+    found = licenses.scan(documents(spark, rows)).where("containment > 0.95").collect()
+    names = {(r["doc_id"], r["template"]) for r in found}
+    assert {(1, "GPL-header"), (2, "MPL-2.0"), (3, "all-rights-reserved")} <= names
+    assert max(licenses.missed(n) for n in range(licenses.EXACT + 1, 15)) <= 1e-7
+    assert licenses.EXACT == 2  # pieces of three and four words
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(9)
     for n, m, common in [(500, 480, 300), (40, 1000, 20), (6, 7, 6), (3000, 2600, 2500), (5, 5, 0)]:
