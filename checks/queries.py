@@ -1058,6 +1058,17 @@ def lag_windows_stream(spark, d):
     return spark.read.parquet(out).withColumns(naive)
 
 
+@query("SELECT * FROM windows")
+def lag_windows_batches(spark, d):
+    """All windows, from micro-batches of one file, also those that are late or still open."""
+    rows = I.lag_samples(spark, d)
+    source, out, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "ckpt"))
+    rows.repartition(3, "sample_seq").write.parquet(source)
+    stream = log.read_log_stream(spark, source, max_files=1, schema=rows.schema)
+    run(jobs.lag_stream(stream, out, ckpt))
+    return jobs.latest_lag_windows(spark, out)
+
+
 SCALE_CHAIN = """asked AS (
       SELECT *, CASE WHEN lag > 5000 AND partition_count < 10 THEN 1
         WHEN lag < 500 AND partition_count > 1 THEN -1 END AS step FROM windows),

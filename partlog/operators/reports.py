@@ -189,11 +189,35 @@ def lag_windows(samples: DataFrame, every: str = S.LAG_INTERVAL, ts: str = "ts")
     Each partition counts with its last sample in the window; the observed partition
     count is the one of the stream's last sample.
     """
-    last = samples.groupBy("stream", "partition", F.window(ts, every).alias("_w")).agg(
-        F.max_by(F.col("pending") + F.col("ack_pending"), "sample_seq").alias("_lag"),
-        F.max_by("partition_count", "sample_seq").alias("_count"),
+    return lag_of_streams(last_samples(samples, every, ts))
+
+
+def last_samples(samples: DataFrame, every: str = S.LAG_INTERVAL, ts: str = "ts") -> DataFrame:
+    """The last sample of each partition and window: stream, partition, _w, _lag, _count, sample_seq."""
+    lag = F.col("pending") + F.col("ack_pending")
+    return newest_samples(
+        samples.select(
+            "stream",
+            "partition",
+            F.window(ts, every).alias("_w"),
+            lag.alias("_lag"),
+            F.col("partition_count").alias("_count"),
+            "sample_seq",
+        )
+    )
+
+
+def newest_samples(parts: DataFrame) -> DataFrame:
+    """One row for each partition and window of ``last_samples`` of any parts of the samples."""
+    return parts.groupBy("stream", "partition", "_w").agg(
+        F.max_by("_lag", "sample_seq").alias("_lag"),
+        F.max_by("_count", "sample_seq").alias("_count"),
         F.max("sample_seq").alias("sample_seq"),
     )
+
+
+def lag_of_streams(last: DataFrame) -> DataFrame:
+    """``lag_windows`` from the rows of ``last_samples``."""
     return (
         last.groupBy("stream", "_w")
         .agg(

@@ -16,6 +16,7 @@ from partlog import schema as S
 from partlog.functions.codec import decode_messages
 from partlog.operators.audit import RUN_SCOPE, judge
 from partlog.operators.replay import check_count, replay_buffer
+from partlog.operators.reports import lag_of_streams, last_samples, newest_samples
 from partlog.operators.routing import split_routes
 from partlog.operators.spacing import thin_by_spacing
 from partlog.plans import ordered
@@ -221,6 +222,28 @@ def latest_status(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def lag_stream(
+    df: DataFrame,
+    out: str,
+    checkpoint: str,
+    every: str = S.LAG_INTERVAL,
+    ts: str = "ts",
+    trigger: dict | None = None,
+):
+    """``lag_windows`` on a stream: nothing is late, and open windows count as they are.
+
+    A micro-batch writes the last samples of its partitions and windows; see
+    ``latest_lag_windows``.
+    """
+    each = lambda batch, batch_id: put_batch(last_samples(batch, every, ts), out, batch_id)
+    return _start(df, each, checkpoint, trigger)
+
+
+def latest_lag_windows(spark: SparkSession, out: str) -> DataFrame:
+    """``lag_windows`` of all samples so far."""
+    return lag_of_streams(newest_samples(read_batches(spark, out)))
+
+
 REPLAYED = "stream_seq bigint, key string, sequence bigint, payload string, ts bigint, subject string, id string, batch_id int, partition int"
 
 

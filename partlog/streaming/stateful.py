@@ -125,7 +125,10 @@ def sequence_state_stream(
 def lag_windows_stream(
     samples: DataFrame, every: str = S.LAG_INTERVAL, delay: str = S.LAG_INTERVAL, ts: str = "ts"
 ) -> DataFrame:
-    """``lag_windows`` on a stream; a window is emitted once the watermark passes it."""
+    """``lag_windows`` on a stream; a window is emitted once the watermark passes it.
+
+    Later samples are dropped and the last windows stay open; ``jobs.lag_stream`` has them all.
+    """
     timed = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     last = timed.groupBy("stream", "partition", F.window(ts, every).alias("_w")).agg(
         F.max_by(F.col("pending") + F.col("ack_pending"), "sample_seq").alias("_lag"),

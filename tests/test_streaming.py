@@ -2,12 +2,13 @@
 
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from partlog.operators import audit, replay, spacing
+from partlog.operators import audit, replay, reports, spacing
 from partlog.plans.scratch import scratch_path
 from partlog.sources import log
 from partlog.streaming import jobs, stateful
@@ -141,3 +142,20 @@ def test_state_expires(spark):
     once()
     got = {(r.key, r.sequence, r.expired) for r in jobs.read_batches(spark, out).collect()}
     assert got == {("a", 7, False), ("b", 1, False), ("c", 5, False), ("a", 7, True), ("b", 1, True)}
+
+
+def test_lag_windows_keep_late_samples_and_the_end(spark):
+    """Micro-batches in any order of time, the last one hours late."""
+    source, out, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "ckpt"))
+    schema = "stream string, partition bigint, sample_seq bigint, ts timestamp, partition_count bigint, pending bigint, ack_pending bigint"
+    rng = random.Random(6)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [(f"s{n % 2}", n % 3, n, at(rng.randrange(7200)), 1 + n % 5, rng.randrange(99), n % 7) for n in range(300)]
+    rows.sort(key=lambda r: -r[3].timestamp())
+    for part in (rows[:100], rows[100:200], rows[200:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = log.read_log_stream(spark, source, max_files=1, schema=schema)
+        jobs.lag_stream(stream, out, ckpt).awaitTermination()
+    want = reports.lag_windows(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(jobs.latest_lag_windows(spark, out).collect()) == sorted(want)
+    assert len(want) > 100
