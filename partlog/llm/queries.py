@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,13 @@ from partlog.llm import (
     near_vectors,
     quality,
     sharding,
+    spelling,
     substrings,
+    token_counts,
+    whitening,
 )
 from partlog.llm.common import table, written
+from partlog.plans.scratch import scratch_path
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +101,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens; the cache is empty before, so all contents miss."""
+    tokenizer = token_counts.Tokenizer.load(public_tokenizers.path("byte_bpe_50k.json"))
+    cache = token_counts.TokenCache(scratch_path(spark, "token-cache"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer, cache)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four directions in which all of them vary most."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every common word with the much commoner word that it may be a variant of."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"), noise=spelling.NOISE)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +129,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {}
