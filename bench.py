@@ -19,7 +19,7 @@ from partlog.functions import codec
 from partlog.operators import audit, completeness, delivery, replay, reports, retention, routing, spacing
 from partlog.plans.scratch import scratch_path
 from partlog.sources import log
-from partlog.streaming import jobs, stateful
+from partlog.streaming import jobs
 
 
 def consume(df) -> None:
@@ -57,15 +57,8 @@ def main() -> None:
     path = lambda name: scratch_path(spark, name)
 
     def audit_stream():
-        stream = log.read_log_stream(spark, folder, schema=audited.schema)
-        (
-            stateful.audit_stream(stream)
-            .writeStream.format("parquet")
-            .option("checkpointLocation", path("ckpt"))
-            .trigger(availableNow=True)
-            .start(path("audit"))
-            .awaitTermination()
-        )
+        stream = log.read_log_stream(spark, folder, max_files=4, schema=audited.schema)
+        jobs.audit_batches(stream, path("audit"), path("state"), path("ckpt")).awaitTermination()
 
     def audit_batches():
         stream = log.read_log_stream(spark, folder, schema=audited.schema)

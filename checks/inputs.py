@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partlog.operators.audit import assign_sequence
+from partlog.operators.audit import assign_sequence, ordering_audit
 from partlog.plans.scratch import scratch_path
 
 PREFIX = "LEDGER"
+SENT_SINCE, SEEN_SINCE = "2024-01-30 00:00:00", "2024-01-29 12:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,25 +181,47 @@ def purges(spark: SparkSession) -> DataFrame:
 
 
 def kv_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence reports as the producer and the consumers store them."""
+    """Sequence reports as the producer and the consumers store them.
+
+    Consumers write their counters, but zeros are left out, and those of partition 0 are of an
+    older kind that writes none.  Reports that were not renewed in time have expired.
+    """
+    quoted = lambda name, value: F.when(value > 0, F.concat(F.lit(f',"{name}":'), value.cast("string")))
+    text = lambda *parts: F.concat_ws("", *parts, F.lit("}"))
+    since = lambda t: F.col("ts") > F.lit(t).cast("timestamp_ntz")
     sent = (
         published(spark, sf_dir)
         .groupBy("key")
-        .agg(F.max("sequence").cast("string").alias("n"))
+        .agg(F.max("sequence").cast("string").alias("n"), F.max("ts").alias("ts"))
+        .where(since(SENT_SINCE))
         .select(
             F.concat(F.lit("pub."), "key").alias("kv_key"),
-            F.concat(F.lit('{"sequence":'), "n", F.lit(',"source":"producer"}')).alias("value_json"),
+            text(F.lit('{"sequence":'), "n", F.lit(',"source":"producer"')).alias("value_json"),
         )
     )
     p = F.col("partition").cast("string")
+    counts = {"gaps": "gaps", "gap_total": "total", "violations": "violations"}
+    counters = F.concat_ws("", *[quoted(name, F.col(c)) for name, c in counts.items()])
     seen = (
-        delivered(spark, sf_dir)
+        ordering_audit(delivered(spark, sf_dir), scope=("partition", "key"))
         .groupBy("key", "partition")
-        .agg(F.max("sequence").cast("string").alias("n"))
+        .agg(
+            F.max("sequence").cast("string").alias("n"),
+            F.max("ts").alias("ts"),
+            F.count_if(F.col("status") == "gap").alias("gaps"),
+            F.sum("missing").alias("total"),
+            F.count_if(F.col("status") == "violation").alias("violations"),
+        )
+        .where(since(SEEN_SINCE))
         .select(
             F.concat(F.lit("cons.p"), p, F.lit("."), "key").alias("kv_key"),
-            F.concat(
-                F.lit('{"sequence":'), "n", F.lit(',"partition":'), p, F.lit(',"source":"consumer"}')
+            text(
+                F.lit('{"sequence":'),
+                "n",
+                F.lit(',"partition":'),
+                p,
+                F.lit(',"source":"consumer"'),
+                F.when(F.col("partition") > 0, counters),
             ).alias("value_json"),
         )
     )

@@ -14,6 +14,7 @@ from partlog import schema as S
 from partlog.functions import codec, keys, state
 from partlog.operators import audit, completeness, delivery, handlers, replay, reports
 from partlog.operators import retention, routing, spacing
+from partlog.plans import segments
 from partlog.plans.scratch import scratch_path
 from partlog.sources import dead_letter as dl
 from partlog.sources import log
@@ -109,6 +110,24 @@ def decode_messages(spark, d):
     return codec.decode_messages(I.raw_messages(spark, d))[0]
 
 
+@query("SELECT stream_seq, key, sequence, payload, 0 AS partition, CAST(0 AS BIGINT) AS ts FROM published")
+def decode_repeated_names(spark, d):
+    """Messages that give names twice, in other cases and with nulls: the last value counts."""
+    pair = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    number = F.col("sequence").cast("string")
+    fields = [
+        pair("key", quoted(F.lit("old"))),
+        pair("Sequence", F.lit("1")),
+        pair("payload", quoted(F.col("payload"))),
+        pair("KEY", quoted(F.col("key"))),
+        pair("sequence", number),
+        pair("payload", F.lit("null")),
+    ]
+    data = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    return codec.decode_messages(I.published(spark, d).select("stream_seq", data.alias("data")))[0]
+
+
 @query("SELECT * FROM bad")
 def decode_rejects(spark, d):
     return codec.decode_messages(I.raw_messages(spark, d))[1]
@@ -274,7 +293,7 @@ def parse_state_key(spark, d):
 
 @query(
     """SELECT kv_key, sequence, coalesce(partition, 0) AS partition, source,
-    CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS gap_total, CAST(0 AS BIGINT) AS violations FROM state_keys"""
+    gaps, gap_total, violations FROM state_keys"""
 )
 def sequence_state_value(spark, d):
     kv = I.kv_state(spark, d)
@@ -340,6 +359,33 @@ def apply_purges(spark, d):
     return retention.apply_purges(routed, I.purges(spark))
 
 
+STORED_SQL = """SELECT stream_seq, key, sequence, payload, CAST(user_id % 3 AS INTEGER) AS partition,
+    epoch_us(ts) * 1000 AS ts FROM published"""
+
+
+@query(
+    f"""SELECT * FROM ({STORED_SQL}) WHERE stream_seq > coalesce((SELECT max(purge_seq) FROM purges WHERE subject IS NULL), -1)
+    AND stream_seq > coalesce((SELECT max(purge_seq) FROM purges p WHERE p.subject = format('LEDGER.{{:02d}}', partition)), -1)"""
+)
+def purge_log(spark, d):
+    """A stored log after its files with purged rows are replaced."""
+    path = _message_log(spark, d)
+    retention.purge_log(spark, path, I.purges(spark), I.PREFIX)
+    return log.read_log(spark, path)
+
+
+@query(
+    f"""SELECT * FROM ({STORED_SQL}) WHERE ts >= (SELECT max(epoch_us(ts)) * 1000 FROM published) - CAST(20 * 86400 AS BIGINT) * 1000000000
+    ORDER BY stream_seq DESC LIMIT 500"""
+)
+def retain_log(spark, d):
+    """A stored log after a limit by age and count."""
+    path = _message_log(spark, d)
+    newest = I.published(spark, d).agg(F.max("ts").cast("timestamp")).scalar()
+    retention.retain_log(spark, path, newest, "20 days", 500, span=1000)
+    return log.read_log(spark, path)
+
+
 # ---- joins ----------------------------------------------------------------------------
 
 
@@ -423,22 +469,20 @@ def sequence_report(spark, d):
 
 
 @query(
-    """SELECT key, published, consumed, partition, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS gap_total,
-      published - consumed AS lag,
-      CASE WHEN consumed > published + 5 THEN 'MISMATCH' WHEN published = consumed THEN 'IN SYNC'
-        WHEN published - consumed > 10 THEN 'LAGGING' ELSE 'OK' END AS status,
+    """SELECT key, published, consumed, partition, gaps, gap_total, published - consumed AS lag,
+      CASE WHEN gap_total > 0 THEN 'MISSING' WHEN consumed > published + 5 THEN 'MISMATCH'
+        WHEN published = consumed THEN 'IN SYNC' WHEN published - consumed > 10 THEN 'LAGGING' ELSE 'OK' END AS status,
       CASE WHEN consumed > published + 5 OR published - consumed > 50 THEN 'bad'
         WHEN published - consumed > 10 THEN 'warn' ELSE 'ok' END AS severity
-    FROM (SELECT key, coalesce(p.sequence, 0) AS published, coalesce(c.sequence, 0) AS consumed, partition
-      FROM (SELECT key, sequence FROM state_keys WHERE source = 'producer' AND sequence % 2 = 0) p
-      FULL JOIN (SELECT * FROM consumed WHERE sequence % 3 <> 0) c USING (key))"""
+    FROM (SELECT key, coalesce(p.sequence, 0) AS published, coalesce(c.sequence, 0) AS consumed, partition,
+        coalesce(gaps, 0) AS gaps, coalesce(gap_total, 0) AS gap_total
+      FROM (SELECT key, sequence FROM state_keys WHERE source = 'producer') p
+      FULL JOIN consumed c USING (key))"""
 )
 def sequence_report_stored(spark, d):
-    """From stored state in which some reports have expired, so that all statuses occur."""
+    """From stored state with counters, some reports of which have expired."""
     rows = reports.sequence_state(I.kv_state(spark, d))
-    sent = reports.published_sequences(rows).where(F.col("sequence") % 2 == 0)
-    seen = reports.merge_consumed(rows).where(F.col("sequence") % 3 != 0)
-    return reports.sequence_report(sent, seen)
+    return reports.sequence_report(reports.published_sequences(rows), reports.merge_consumed(rows))
 
 
 @query(
@@ -469,11 +513,6 @@ def idempotent_append(spark, d):
     return delivery.idempotent_append(new, target, ["key", "sequence"], position="arrival")
 
 
-@query("SELECT stream, partition, pending = 0 AND ack_pending = 0 AS drained FROM consumer_counts WHERE partition < 3")
-def drained(spark, d):
-    return delivery.drained(_consumer_info(spark, d), 3)
-
-
 STALLED = """(SELECT p.stream, p.partition,
       count(*) FILTER (p.partition = 2 OR s.state = 'pending') AS pending,
       count(*) FILTER (p.partition <> 2 AND s.state = 'ack_pending') AS ack_pending,
@@ -482,10 +521,20 @@ STALLED = """(SELECT p.stream, p.partition,
     GROUP BY p.stream, p.partition)"""
 
 
-def _stalled_info(spark, d):
+def _stalled(spark, d):
     """Partition 2 of every stream has a consumer that has delivered nothing."""
     sent, tried = I.stream_log(spark, d), I.deliveries(spark, d).where("partition <> 2")
-    return delivery.consumer_info(sent, tried, consumers=sent.select("stream", "partition"))
+    return sent, tried, sent.select("stream", "partition").distinct()
+
+
+def _stalled_info(spark, d):
+    sent, tried, consumers = _stalled(spark, d)
+    return delivery.consumer_info(sent, tried, consumers=consumers)
+
+
+@query(f"SELECT stream, partition, pending = 0 AND ack_pending = 0 AS drained FROM {STALLED}")
+def drained(spark, d):
+    return delivery.drained(*_stalled(spark, d))
 
 
 @query(
@@ -502,12 +551,13 @@ def total_pending_stalled(spark, d):
 
 @query(f"SELECT stream, bool_and(pending = 0 AND ack_pending = 0) AS drained FROM {STALLED} GROUP BY stream")
 def stream_drained_stalled(spark, d):
-    return delivery.stream_drained(_stalled_info(spark, d))
+    return delivery.stream_drained(*_stalled(spark, d))
 
 
 @query("SELECT stream, bool_and(pending = 0 AND ack_pending = 0) AS drained FROM consumer_counts GROUP BY stream")
 def stream_drained(spark, d):
-    return delivery.stream_drained(_consumer_info(spark, d))
+    sent = I.stream_log(spark, d)
+    return delivery.stream_drained(sent, I.deliveries(spark, d), sent.select("stream", "partition").distinct())
 
 
 # ---- aggregations -----------------------------------------------------------------------
@@ -592,7 +642,7 @@ def latest_by_key(spark, d):
     return reports.latest_by_key(written)
 
 
-@query("SELECT *, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS gap_total, CAST(0 AS BIGINT) AS violations FROM consumed")
+@query("SELECT * FROM consumed")
 def merge_consumed(spark, d):
     return reports.merge_consumed(reports.sequence_state(I.kv_state(spark, d)))
 
@@ -690,13 +740,64 @@ def active_partitions(spark, d):
     return found.withColumn("partitions", F.array_join(F.col("partitions").cast("array<string>"), ","))
 
 
+STREAM_KEYS = """(SELECT p.stream, p.key, p.published, coalesce(c.consumed, 0) AS consumed, c.partition,
+      coalesce(c.gaps, 0) AS gaps, coalesce(c.gap_total, 0) AS gap_total,
+      CAST(row_number() OVER (PARTITION BY p.stream ORDER BY p.key) - 1 AS BIGINT) // 10 AS piece
+    FROM (SELECT payload AS stream, key, max(sequence) AS published FROM published GROUP BY ALL) p
+    LEFT JOIN (SELECT payload AS stream, key, arg_max(sequence, arrival) AS consumed, arg_max(partition, arrival) AS partition,
+        count(*) FILTER (missing > 0) AS gaps, CAST(sum(missing) AS BIGINT) AS gap_total
+      FROM (SELECT *, greatest(coalesce(sequence - lag(sequence) OVER (PARTITION BY payload, key ORDER BY arrival) - 1, 0), 0)
+        AS missing FROM delivered) GROUP BY ALL) c USING (stream, key))"""
+KEY_STATUS = """CASE WHEN gap_total > 0 THEN 'MISSING' WHEN consumed > published + 5 THEN 'MISMATCH'
+    WHEN published = consumed THEN 'IN SYNC' WHEN published - consumed > 10 THEN 'LAGGING' ELSE 'OK' END"""
+
+
+def _stream_sequences(spark, d):
+    """Sequences of each stream and key, with the gaps of what arrived."""
+    sent = I.stream_log(spark, d).groupBy("stream", "key").agg(F.max("sequence").alias("published"))
+    seen = I.delivered(spark, d).withColumn("stream", F.col("payload"))
+    arrived = segments.summarize(seen, ("stream", "key"), ("arrival",), ("partition",)).select(
+        "stream",
+        "key",
+        F.col("last_sequence").alias("consumed"),
+        "last.partition",
+        "gaps",
+        F.col("missing").alias("gap_total"),
+    )
+    counts = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("consumed", "gaps", "gap_total")}
+    both = sent.join(arrived, ["stream", "key"], "left").withColumns(counts)
+    status, _ = reports.lag_status(F.col("published"), F.col("consumed"), F.col("gap_total"))
+    return both.withColumns({"lag": F.col("published") - F.col("consumed"), "status": status})
+
+
+def _status(spark, d):
+    routed = _routed(spark, d).withColumn("stream", F.col("payload"))
+    config = routed.groupBy("stream").agg(
+        F.max_by("partition_count", "stream_seq").alias("partition_count"),
+        F.max_by("mode", "stream_seq").alias("mode"),
+    )
+    held = routed.select("stream", "stream_seq", "mode").join(I.raw_messages(spark, d), "stream_seq")
+    info = lambda mode: reports.stream_info(held.where(F.col("mode") == mode))
+    return reports.status_snapshot(
+        config,
+        info("direct"),
+        info("buffer"),
+        _consumer_info(spark, d),
+        _stream_sequences(spark, d),
+        reports.active_partitions(I.stream_log(spark, d)),
+        piece_keys=10,
+    )
+
+
 @query(
-    """SELECT c.stream, c.partition_count, c.mode = 'buffer' AS buffering, coalesce(di.n, 0) AS direct_messages,
+    f"""SELECT c.stream, upper(c.stream) AS prefix, upper(c.stream) || '_DLQ' AS dlq,
+      c.partition_count, c.mode = 'buffer' AS buffering, coalesce(di.n, 0) AS direct_messages,
       coalesce(di.b, 0) AS direct_bytes, coalesce(bi.n, 0) AS buffer_messages, coalesce(bi.b, 0) AS buffer_bytes,
       coalesce(k.consumers, 0) AS consumers, coalesce(k.delivered, 0) AS delivered,
       coalesce(k.pending, 0) AS pending, coalesce(k.ack_pending, 0) AS ack_pending,
+      coalesce(k.listed, '') AS consumer_list, a.partitions,
       coalesce(s.keys, 0) AS keys, coalesce(s.published, 0) AS published, coalesce(s.consumed, 0) AS consumed,
-      coalesce(s.mismatched, 0) AS mismatched_keys, coalesce(s.gap_keys, 0) AS gap_keys
+      coalesce(s.mismatched, 0) AS mismatched_keys, coalesce(s.gap_keys, 0) AS gap_keys, coalesce(s.pieces, 1) AS pieces
     FROM (SELECT payload AS stream, arg_max(partition_count, stream_seq) AS partition_count,
             arg_max(mode, stream_seq) AS mode FROM routed GROUP BY payload) c
     LEFT JOIN (SELECT payload AS stream, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS b
@@ -704,30 +805,49 @@ def active_partitions(spark, d):
     LEFT JOIN (SELECT payload AS stream, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS b
           FROM routed JOIN raw_messages USING (stream_seq) WHERE mode = 'buffer' GROUP BY payload) bi USING (stream)
     LEFT JOIN (SELECT stream, count(*) AS consumers, CAST(sum(delivered) AS BIGINT) AS delivered,
-            CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(ack_pending) AS BIGINT) AS ack_pending
+            CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(ack_pending) AS BIGINT) AS ack_pending,
+            string_agg(concat(name, ':', delivered, '/', pending, '/', ack_pending), ' ' ORDER BY partition) AS listed
           FROM consumer_counts GROUP BY stream) k USING (stream)
-    LEFT JOIN (SELECT stream, count(*) AS keys, CAST(sum(p) AS BIGINT) AS published,
-            CAST(sum(c) AS BIGINT) AS consumed, count(*) FILTER (c > p + 5) AS mismatched,
-            CAST(0 AS BIGINT) AS gap_keys
-          FROM (SELECT stream, key, max(sequence) AS p, coalesce(max(CASE WHEN sequence % 11 <> 0 THEN sequence END), 0) AS c
-                FROM stream_log GROUP BY stream, key) GROUP BY stream) s USING (stream)"""
+    LEFT JOIN (SELECT stream, array_to_string(list_sort(list(DISTINCT partition)), ',') AS partitions
+          FROM stream_log GROUP BY stream) a USING (stream)
+    LEFT JOIN (SELECT stream, count(*) AS keys, CAST(sum(published) AS BIGINT) AS published,
+            CAST(sum(consumed) AS BIGINT) AS consumed, count(*) FILTER ({KEY_STATUS} = 'MISMATCH') AS mismatched,
+            count(*) FILTER (gap_total > 0) AS gap_keys, count(DISTINCT piece) AS pieces
+          FROM {STREAM_KEYS} GROUP BY stream) s USING (stream)"""
 )
 def status_snapshot(spark, d):
-    routed = _routed(spark, d).withColumn("stream", F.col("payload"))
-    config = routed.groupBy("stream").agg(
-        F.max_by("partition_count", "stream_seq").alias("partition_count"),
-        F.max_by("mode", "stream_seq").alias("mode"),
-    )
-    held = routed.select("stream", "stream_seq", "mode").join(I.raw_messages(spark, d), "stream_seq")
-    info = lambda mode: reports.stream_info(held.where(F.col("mode") == mode))
-    sent = I.stream_log(spark, d).groupBy("stream", "key").agg(
-        F.max("sequence").alias("published"),
-        F.coalesce(F.max(F.when(F.col("sequence") % 11 != 0, F.col("sequence"))), F.lit(0)).alias("consumed"),
-    )
-    gap_total = F.lit(0).cast("bigint")
-    status, _ = reports.lag_status(F.col("published"), F.col("consumed"), gap_total)
-    sequences = sent.withColumns({"status": status, "gap_total": gap_total})
-    return reports.status_snapshot(config, info("direct"), info("buffer"), _consumer_info(spark, d), sequences)
+    """One row per stream: what all its pieces say, with lists as text."""
+    found = _status(spark, d)
+    one = found.withColumns(
+        {
+            "prefix": F.col("names.subject_prefix"),
+            "dlq": F.col("names.dlq_stream"),
+            "consumer_list": F.array_join(
+                F.transform(
+                    "consumer_list",
+                    lambda c: F.concat(
+                        c["name"],
+                        F.lit(":"),
+                        F.concat_ws("/", *[c[n].cast("string") for n in ("delivered", "pending", "ack_pending")]),
+                    ),
+                ),
+                " ",
+            ),
+            "partitions": F.array_join(F.col("partitions").cast("array<string>"), ","),
+        }
+    ).drop("names", "sequences")
+    same = [c for c in one.columns if c != "piece"]
+    return one.groupBy(*same).agg(F.count(F.lit(1)).alias("pieces"))
+
+
+@query(
+    f"""SELECT stream, piece, key, published, consumed, partition, gaps, gap_total, published - consumed AS lag,
+      {KEY_STATUS} AS status FROM {STREAM_KEYS}"""
+)
+def status_snapshot_sequences(spark, d):
+    """The maps of all pieces, a row for each key."""
+    found = _status(spark, d).select("stream", "piece", F.explode("sequences").alias("key", "s"))
+    return found.select("stream", "piece", "key", "s.*")
 
 
 # ---- ordered ------------------------------------------------------------------------------
@@ -864,6 +984,52 @@ def replay_plan(spark, d):
     return _planned(spark, d)
 
 
+#: An epoch of no partitions, one of too many, one without a count, and nothing before the third day.
+ODD_CONFIG = [
+    (1, "2024-01-03 00:00:00", "direct", 3),
+    (2, "2024-01-08 00:00:00", "buffer", 3),
+    (3, "2024-01-09 00:00:00", "direct", 0),
+    (4, "2024-01-13 00:00:00", "direct", 50),
+    (5, "2024-01-17 00:00:00", "direct", None),
+    (6, "2024-01-20 00:00:00", "buffer", 3),
+    (7, "2024-01-21 00:00:00", "direct", 20),
+    (8, "2024-01-27 00:00:00", "buffer", 20),
+]
+ODD_ROWS = ", ".join(f"({r}, TIMESTAMP '{t}', '{m}', {'NULL' if n is None else n})" for r, t, m, n in ODD_CONFIG)
+ODD_EPOCHS = f"""(SELECT p.stream_seq, p.key, p.ts, p.user_id, c.mode, e.revision AS epoch, e.n
+    FROM published p
+    ASOF LEFT JOIN (SELECT * FROM (VALUES {ODD_ROWS}) t(revision, ts, mode, n)) c ON p.ts >= c.ts
+    LEFT JOIN (SELECT * FROM (VALUES {ODD_ROWS}) t(revision, ts, mode, n) WHERE mode = 'direct') e
+      ON e.revision = CASE WHEN c.mode = 'direct' THEN c.revision WHEN c.revision = 2 THEN 3 WHEN c.revision = 6 THEN 7 END)"""
+ODD_USABLE = "coalesce(epoch IS NULL OR n BETWEEN 1 AND 20, false) AND mode IS NOT NULL"
+
+
+def _odd_plan(spark, d):
+    config = spark.createDataFrame(ODD_CONFIG, "revision int, t string, mode string, partition_count int")
+    config = config.withColumn("effective_ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    rows = I.published(spark, d).select("stream_seq", "key", "ts")
+    return replay.split_plan(rows, config, I.PREFIX)
+
+
+@query(
+    f"""SELECT stream_seq, key, ts, CAST(epoch AS INTEGER) AS epoch, CASE WHEN mode = 'buffer' THEN 0 ELSE 1 END AS phase,
+      CAST(user_id % n AS INTEGER) AS partition, CASE WHEN n IS NOT NULL THEN format('LEDGER.{{:02d}}', user_id % n) END AS subject
+    FROM {ODD_EPOCHS} WHERE {ODD_USABLE}"""
+)
+def planned_messages(spark, d):
+    """The plan under a history that has unusable counts."""
+    return _odd_plan(spark, d)[0]
+
+
+@query(
+    f"""SELECT stream_seq, key, ts,
+      CASE WHEN mode IS NULL THEN 'no configuration' ELSE 'unusable partition count' END AS reject_reason
+    FROM {ODD_EPOCHS} WHERE NOT ({ODD_USABLE})"""
+)
+def unplanned_messages(spark, d):
+    return _odd_plan(spark, d)[1]
+
+
 REPLAY_SQL = """SELECT g.stream_seq, g.key, g.sequence, g.payload,
     CAST(CAST(substr(g.key, 6) AS BIGINT) % 5 AS INTEGER) AS partition, g.ts,
     format('LEDGER.{:02d}', CAST(substr(g.key, 6) AS BIGINT) % 5) AS subject,
@@ -929,23 +1095,24 @@ def _to_files(df: DataFrame, out: str, ckpt: str):
     )
 
 
+def _audit_in_slices(spark, d, **options) -> DataFrame:
+    out, state = scratch_path(spark, "audit"), scratch_path(spark, "state")
+    rows = I.delivered(spark, d).select("key", "run", "partition", "arrival", "sequence")
+    start = lambda s, ckpt: jobs.audit_batches(s, out, state, ckpt, **options)
+    _in_slices(rows, "arrival", (200, 450), start)
+    return jobs.read_batches(spark, out).select(*AUDIT_COLUMNS)
+
+
 @query(AUDIT_SQL)
 def audit_stream(spark, d):
-    """Three slices of arrivals, with the state kept across restarts."""
-    out = scratch_path(spark, "audit")
-    rows = I.delivered(spark, d).select("key", "run", "partition", "arrival", "sequence")
-    _in_slices(rows, "arrival", (200, 450), lambda s, ckpt: _to_files(stateful.audit_stream(s), out, ckpt))
-    return spark.read.parquet(out).select(*AUDIT_COLUMNS)
+    """Three slices of arrivals, with the state kept across restarts; slices bounded by rank."""
+    return _audit_in_slices(spark, d)
 
 
 @query(AUDIT_SQL)
 def audit_batches(spark, d):
-    """The same with micro-batches audited as batches."""
-    out, state = scratch_path(spark, "audit"), scratch_path(spark, "state")
-    rows = I.delivered(spark, d).select("key", "run", "partition", "arrival", "sequence")
-    start = lambda s, ckpt: jobs.audit_batches(s, out, state, ckpt, span=100)
-    _in_slices(rows, "arrival", (200, 450), start)
-    return jobs.read_batches(spark, out).select(*AUDIT_COLUMNS)
+    """The same with every key cut into ranges of arrivals."""
+    return _audit_in_slices(spark, d, span=100)
 
 
 @query(ROUTED_SQL)
@@ -1046,27 +1213,27 @@ def lag_windows(spark, d):
     return reports.lag_windows(I.lag_samples(spark, d))
 
 
-@query("SELECT * FROM windows WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL '10' SECOND")
+@query("SELECT * FROM windows")
 def lag_windows_stream(spark, d):
-    """Windows that the watermark, ten seconds behind the newest sample, has passed."""
-    rows = I.lag_samples(spark, d)
-    source = I.stored(rows, "samples")
-    out, ckpt = scratch_path(spark, "windows"), scratch_path(spark, "ckpt")
-    stream = log.read_log_stream(spark, source, schema=rows.schema)
-    run(_to_files(stateful.lag_windows_stream(stream), out, ckpt))
-    naive = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "ts")}
-    return spark.read.parquet(out).withColumns(naive)
+    """Three slices of the samples, the newest ones first: what is late counts all the same."""
+    rows = I.lag_samples(spark, d).withColumn("day", -F.datediff(F.col("ts"), F.lit("2024-01-01")))
+    out, state = scratch_path(spark, "windows"), scratch_path(spark, "state")
+    start = lambda s, ckpt: jobs.lag_stream(s.drop("day"), out, state, ckpt)
+    _in_slices(rows, "day", (-20, -10), start)
+    updates = jobs.read_batches(spark, out)
+    last = [c for c in updates.columns if c not in ("stream", "window_start", "batch_id")]
+    return updates.groupBy("stream", "window_start").agg(*[F.max_by(c, "batch_id").alias(c) for c in last])
 
 
 @query("SELECT * FROM windows")
 def lag_windows_batches(spark, d):
-    """All windows, from micro-batches of one file, also those that are late or still open."""
+    """All windows from the state, after micro-batches of one file."""
     rows = I.lag_samples(spark, d)
-    source, out, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "ckpt"))
+    source, out, state, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "state", "ckpt"))
     rows.repartition(3, "sample_seq").write.parquet(source)
     stream = log.read_log_stream(spark, source, max_files=1, schema=rows.schema)
-    run(jobs.lag_stream(stream, out, ckpt))
-    return jobs.latest_lag_windows(spark, out)
+    run(jobs.lag_stream(stream, out, state, ckpt))
+    return jobs.latest_lag_windows(spark, state)
 
 
 SCALE_CHAIN = """asked AS (
@@ -1119,39 +1286,58 @@ def sequence_state(spark, d):
     return reports.ttl_state(written, now, F.lit(timedelta(hours=12)))
 
 
-@query(
-    """SELECT key, sequence, CAST(partition AS BIGINT) AS partition, gaps, gap_total, violations, false AS expired
+ACCOUNT_SQL = """SELECT 'consumer' AS source, key, sequence, CAST(partition AS BIGINT) AS partition, gaps, gap_total, violations
     FROM accounts JOIN (SELECT key, count(*) FILTER (status = 'violation') AS violations FROM audit_key GROUP BY key)
     USING (key)"""
+
+
+@query(
+    f"""SELECT *, false AS expired FROM ({ACCOUNT_SQL} UNION ALL
+    SELECT 'producer', key, max(sequence), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+    FROM published GROUP BY key)"""
 )
 def sequence_state_stream(spark, d):
-    """Latest account per key after three slices of arrivals."""
-    out = scratch_path(spark, "state")
-    rows = I.delivered(spark, d).select("key", "arrival", "sequence", "partition")
-
-    def start(s, ckpt):
-        # One batch per start: with a time-out, "available now" goes on with empty batches.
-        return jobs.update_stream(
-            stateful.sequence_state_stream(s, "1 day"), out, ckpt, {"once": True}
-        )
-
-    _in_slices(rows, "arrival", (200, 450), start)
+    """Latest account per source and key: what was sent, and what arrived in three slices."""
+    out, state = scratch_path(spark, "accounts"), scratch_path(spark, "state")
+    seen = I.delivered(spark, d).select(F.lit("consumer").alias("source"), "key", "arrival", "sequence", "partition")
+    sent = I.published(spark, d).select(
+        F.lit("producer").alias("source"),
+        "key",
+        (F.col("sequence") * 10).alias("arrival"),
+        "sequence",
+        F.lit(None).cast("bigint").alias("partition"),
+    )
+    start = lambda s, ckpt: jobs.account_stream(s, out, state, ckpt, "1 day")
+    _in_slices(seen.unionByName(sent), "arrival", (200, 450), start)
     updates = jobs.read_batches(spark, out)
-    last = [c for c in updates.columns if c not in ("key", "batch_id")]
-    return updates.groupBy("key").agg(*[F.max_by(c, "batch_id").alias(c) for c in last])
+    last = [c for c in updates.columns if c not in ("source", "key", "batch_id")]
+    return updates.groupBy("source", "key").agg(*[F.max_by(c, "batch_id").alias(c) for c in last])
+
+
+def _status_after_slices(spark, d) -> str:
+    """The state of a status stream after three slices of what arrived."""
+    raw = I.raw_messages(spark, d)
+    rows = I.delivered(spark, d).join(raw, "stream_seq").select(
+        F.col("payload").alias("stream"), "data", "key", "arrival", "sequence", "partition"
+    )
+    out, state = scratch_path(spark, "status"), scratch_path(spark, "state")
+    _in_slices(rows, "arrival", (200, 450), lambda s, ckpt: jobs.status_stream(s, out, state, ckpt))
+    return state
 
 
 @query(
     "SELECT payload AS stream, count(*) AS messages, CAST(sum(strlen(data)) AS BIGINT) AS bytes"
-    " FROM published JOIN raw_messages USING (stream_seq) GROUP BY payload"
+    " FROM delivered JOIN raw_messages USING (stream_seq) GROUP BY payload"
 )
 def status_stream(spark, d):
-    """Totals kept up to date over three slices of the log."""
-    streams = I.events(spark, d).select(F.col("event_id").alias("stream_seq"), F.col("event_type").alias("stream"))
-    rows = I.raw_messages(spark, d).join(streams, "stream_seq").select("stream_seq", "stream", "data")
-    out = scratch_path(spark, "status")
-    _in_slices(rows, "stream_seq", (300, 3000), lambda s, ckpt: jobs.status_stream(s, out, ckpt))
-    return jobs.latest_status(spark, out)
+    """Totals kept up to date over three slices of arrivals."""
+    return jobs.latest_status(spark, _status_after_slices(spark, d))
+
+
+@query(ACCOUNT_SQL)
+def status_stream_accounts(spark, d):
+    """The accounts that the same job keeps."""
+    return jobs.latest_accounts(spark, _status_after_slices(spark, d))
 
 
 REDELIVERY_NOW = "2024-01-15 00:00:00"

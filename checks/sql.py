@@ -84,14 +84,6 @@ SELECT event_type AS stream, user_id % 3 AS partition, event_id AS sample_seq, t
 FROM events""",
     "purges": """
 SELECT * FROM (VALUES ('LEDGER.00', 100), ('LEDGER.01', 40), (NULL, 20)) AS t(subject, purge_seq)""",
-    "kv_state": """
-SELECT concat('pub.', key) AS kv_key,
-  concat('{"sequence":', CAST(max(sequence) AS VARCHAR), ',"source":"producer"}') AS value_json
-FROM published GROUP BY key
-UNION ALL
-SELECT concat('cons.p', CAST(partition AS VARCHAR), '.', key),
-  concat('{"sequence":', CAST(max(sequence) AS VARCHAR), ',"partition":', CAST(partition AS VARCHAR), ',"source":"consumer"}')
-FROM delivered GROUP BY key, partition""",
     # Audits: previous arrival per run, partition and key, or per key alone.
     "audit_run": """
 SELECT *, CASE WHEN sequence <= prev_sequence THEN 'violation'
@@ -104,6 +96,24 @@ SELECT *, CASE WHEN sequence <= prev_sequence THEN 'violation'
                WHEN sequence > prev_sequence + 1 THEN 'gap' ELSE 'ok' END AS status,
   CAST(CASE WHEN sequence > prev_sequence + 1 THEN sequence - prev_sequence - 1 ELSE 0 END AS BIGINT) AS missing
 FROM (SELECT *, lag(sequence) OVER (PARTITION BY key ORDER BY arrival) AS prev_sequence FROM delivered)""",
+    "audit_partition": """
+SELECT *, CASE WHEN sequence <= prev_sequence THEN 'violation'
+               WHEN sequence > prev_sequence + 1 THEN 'gap' ELSE 'ok' END AS status,
+  CAST(CASE WHEN sequence > prev_sequence + 1 THEN sequence - prev_sequence - 1 ELSE 0 END AS BIGINT) AS missing
+FROM (SELECT *, lag(sequence) OVER (PARTITION BY partition, key ORDER BY arrival) AS prev_sequence FROM delivered)""",
+    "kv_state": """
+SELECT concat('pub.', key) AS kv_key,
+  concat('{"sequence":', CAST(max(sequence) AS VARCHAR), ',"source":"producer"}') AS value_json
+FROM published GROUP BY key HAVING max(ts) > TIMESTAMP '2024-01-30 00:00:00'
+UNION ALL
+SELECT concat('cons.p', CAST(partition AS VARCHAR), '.', key),
+  concat('{"sequence":', CAST(max(sequence) AS VARCHAR), ',"partition":', CAST(partition AS VARCHAR), ',"source":"consumer"',
+    CASE WHEN partition > 0 THEN concat(
+      CASE WHEN count(*) FILTER (status = 'gap') > 0 THEN concat(',"gaps":', count(*) FILTER (status = 'gap')) END,
+      CASE WHEN sum(missing) > 0 THEN concat(',"gap_total":', CAST(sum(missing) AS VARCHAR)) END,
+      CASE WHEN count(*) FILTER (status = 'violation') > 0 THEN concat(',"violations":', count(*) FILTER (status = 'violation')) END)
+    END, '}')
+FROM audit_partition GROUP BY key, partition HAVING max(ts) > TIMESTAMP '2024-01-29 12:00:00'""",
     "runs": """
 SELECT key, run_no, min(sequence) AS first_sequence, max(sequence) AS last_sequence
 FROM (SELECT key, arrival, sequence, CAST(sum(start) OVER (PARTITION BY key ORDER BY arrival) AS BIGINT) AS run_no
@@ -151,10 +161,15 @@ SELECT kv_key, value_json,
   CAST(nullif(regexp_extract(kv_key, '^cons[.]p([0-9]+)[.]', 1), '') AS BIGINT) AS partition,
   CASE WHEN starts_with(kv_key, 'pub.') THEN substr(kv_key, 5)
        ELSE nullif(regexp_extract(kv_key, '^cons[.][^.]*[.](.*)$', 1), '') END AS key,
-  coalesce(CAST(value_json->>'$.sequence' AS BIGINT), 0) AS sequence
+  coalesce(CAST(value_json->>'$.sequence' AS BIGINT), 0) AS sequence,
+  coalesce(CAST(value_json->>'$.gaps' AS BIGINT), 0) AS gaps,
+  coalesce(CAST(value_json->>'$.gap_total' AS BIGINT), 0) AS gap_total,
+  coalesce(CAST(value_json->>'$.violations' AS BIGINT), 0) AS violations
 FROM kv_state""",
     "consumed": """
-SELECT key, max(sequence) AS sequence, arg_max(partition, (sequence, -partition)) AS partition
+SELECT key, max(sequence) AS sequence, arg_max(partition, (sequence, -partition)) AS partition,
+  arg_max(gaps, (sequence, -partition)) AS gaps, arg_max(gap_total, (sequence, -partition)) AS gap_total,
+  arg_max(violations, (sequence, -partition)) AS violations
 FROM state_keys WHERE source = 'consumer' GROUP BY key""",
     "accounts": """
 SELECT key, arg_max(sequence, arrival) AS sequence, arg_max(partition, arrival) AS partition,

@@ -15,6 +15,10 @@ NOT_JSON = "not a JSON value"
 NOT_A_MESSAGE = "JSON value is not a message"
 
 
+#: What a strict parser takes; names that come twice are left to ``_by_name``.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def _absent(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
@@ -31,42 +35,54 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def _parsed(df: DataFrame, raw: str) -> DataFrame:
     """Add ``_sound`` (one JSON value and nothing else), ``_void`` and ``_fields``.
 
-    ``try_parse_json`` ignores text after the value.  Inside brackets, trailing text is
-    an error or a second element, unless it closes the bracket; text with a closing
-    bracket must therefore also parse inside an object.
+    An object is read as the list of its entries, in the order of the text and with repeated
+    names.  Text after the value goes unnoticed there; inside brackets, it is an error or a
+    second element, unless it closes the bracket, and text with a closing bracket must
+    therefore also parse inside an object.
     """
     text = _col(raw).cast("string")
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    boxed = F.try_parse_json(F.concat(F.lit('{"m":'), text, F.lit("}")))
+    inside = F.concat(F.lit("["), text, F.lit("]"))
+    boxed = F.json_object_keys(F.concat(F.lit('{"m":'), text, F.lit("}")))
     closed = ~F.contains(text, F.lit("]")) | boxed.isNotNull()
-    df = _once(df, _list=listed, _closed=F.coalesce(closed, F.lit(False)))
-    first = F.try_variant_get("_list", "$[0]", "variant")
-    alone = F.try_variant_get("_list", "$[1]", "variant").isNull()
+    alone = (F.json_array_length(inside) == 1) & closed
+    entries = F.map_entries(F.from_json(text, "map<string,variant>", _STRICT))
+    df = _once(df, _entries=entries, _alone=F.coalesce(alone, F.lit(False)))
+    other = F.when(F.col("_entries").isNull(), F.try_variant_get(F.try_parse_json(inside), "$[0]", "variant"))
+    df = _once(df, _other=other)
     return _once(
         df,
-        _sound=first.isNotNull() & alone & F.col("_closed"),
-        _void=F.coalesce(F.is_variant_null(first), F.lit(False)),
-        _named=F.try_variant_get("_list", "$[0]", "map<string,variant>"),
+        _sound=F.col("_alone") & (F.col("_entries").isNotNull() | F.col("_other").isNotNull()),
+        _void=F.coalesce(F.is_variant_null("_other"), F.lit(False)),
     ).transform(_by_name)
 
 
 def _by_name(df: DataFrame) -> DataFrame:
-    """Add ``_fields`` and ``_clash``: names count without case, as a decoder matches them.
+    """Add ``_fields``, the value of each field, and ``_clash``.
 
-    Names that differ only in case give no order to choose by, so they are a clash.
+    Names count without case, as a decoder matches them.  Of several values of one name the
+    last one that is not null counts; all of them must have the field's type.
     """
-    names = [*_TEXT_FIELDS, *_INT_FIELDS]
-    entries = F.coalesce(F.map_entries("_named"), F.array().cast("array<struct<key:string,value:variant>>"))
-    same = {n: _named(entries, n) for n in names}
-    fields = F.struct(*[F.get(same[n], F.lit(0))["value"].alias(n) for n in names])
-    clash = F.lit(False)
-    for n in names:
-        clash = clash | (F.size(same[n]) > 1)
-    return _once(df, _fields=F.when(F.col("_named").isNotNull(), fields), _clash=clash)
-
-
-def _named(entries: Column, name: str) -> Column:
-    return F.filter(entries, lambda e: F.lower(e["key"]) == name)
+    entries = F.coalesce("_entries", F.array().cast("array<struct<key:string,value:variant>>"))
+    df = _once(df, _names=F.transform(entries, lambda e: F.lower(e["key"])))
+    names = F.col("_names")
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    fields, clash = [], F.lit(False)
+    for name in (*_TEXT_FIELDS, *_INT_FIELDS):
+        given = _given(entries, name)
+        last = F.get(given, F.size(given) - 1)["value"]
+        only = F.get(entries, F.array_position(names, name).cast("int") - 1)["value"]
+        fields.append(F.when(repeated, last).otherwise(only).alias(name))
+        clash = clash | ~_all_are(given, "STRING" if name in _TEXT_FIELDS else "BIGINT")
+    found = F.when(F.col("_entries").isNotNull(), F.struct(*fields))
+    return _once(df, _fields=found, _clash=F.when(repeated, clash).otherwise(False))
+
+
+def _given(entries: Column, name: str) -> Column:
+    return F.filter(entries, lambda e: (F.lower(e["key"]) == name) & ~F.is_variant_null(e["value"]))
+
+
+def _all_are(entries: Column, kind: str) -> Column:
+    return F.forall(entries, lambda e: F.schema_of_variant(e["value"]) == kind)
 
 
 def _is_message() -> Column:

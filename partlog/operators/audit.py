@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlog.functions.keys import _col
-from partlog.plans import ordered
+from partlog.plans import ordered, segments
 
 RUN_SCOPE = ("run", "partition", "key")
 PIECE_ROWS = 10_000  # elements of one emitted list; longer ones continue in the next piece
@@ -66,13 +66,13 @@ def account_sequences(
 
     Violations do not count here, and the last sequence may be lower than earlier ones.
     """
-    audit = ordering_audit(df, scope=("key",), order=order, span=span)
-    rank = ordered.as_long(df, order[0]) if len(order) == 1 else F.struct(*order)
-    return audit.groupBy("key").agg(
-        F.max_by("sequence", rank).alias("sequence"),
-        F.max_by("partition", rank).alias("partition"),
-        F.count_if(F.col("status") == "gap").alias("gaps"),
-        F.sum("missing").alias("gap_total"),
+    found = segments.summarize(df, ("key",), order, ("partition",), span)
+    return found.select(
+        "key",
+        F.col("last_sequence").alias("sequence"),
+        "last.partition",
+        "gaps",
+        F.col("missing").alias("gap_total"),
     )
 
 
@@ -160,15 +160,21 @@ def sequence_runs(
 ) -> DataFrame:
     """Maximal runs of consecutive sequences in arrival order, one row per run."""
     starts = F.when(F.col("sequence") == F.col("_prev") + 1, 0).otherwise(1)
-    if span is None and scope and ordered.all_cold(df, scope):
-        # Groups that fit into a task: previous row and run number in one pass.
+
+    def plain(part: DataFrame) -> DataFrame:
         by = Window.partitionBy(*scope).orderBy(*order)
-        seen = df.withColumn("_prev", F.lag("sequence").over(by))
+        seen = part.withColumn("_prev", F.lag("sequence").over(by))
         upto = by.rowsBetween(Window.unboundedPreceding, 0)
-        numbered = seen.withColumn("_starts", starts).withColumn("run_no", F.sum("_starts").over(upto))
+        return seen.withColumn("_starts", starts).withColumn("run_no", F.sum("_starts").over(upto)).drop("_starts")
+
+    def sliced(part: DataFrame, span: int | str | None = ordered.RANKED) -> DataFrame:
+        seen = ordered.previous(part, {"_prev": "sequence"}, scope, order, span=span)
+        return ordered.running_sum(seen, "run_no", starts, scope, order, span=span)
+
+    if span is None and scope:
+        numbered = ordered.by_heat(df, scope, order, plain, sliced)
     else:
-        seen = ordered.previous(df, {"_prev": "sequence"}, scope, order, span=span)
-        numbered = ordered.running_sum(seen, "run_no", starts, scope, order, span=span)
+        numbered = sliced(df, span)
     # Inside a run the sequence rises by one, so its ends are its extremes.
     return numbered.groupBy(*scope, "run_no").agg(
         F.min("sequence").alias("first_sequence"),

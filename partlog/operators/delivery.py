@@ -79,17 +79,33 @@ def total_pending(info: DataFrame) -> DataFrame:
     )
 
 
-def drained(info: DataFrame, partitions: int | Column = S.MAX_PARTITIONS) -> DataFrame:
+def drained(
+    published: DataFrame,
+    deliveries: DataFrame,
+    consumers: DataFrame,
+    partitions: int | Column = S.MAX_PARTITIONS,
+    ids: Sequence[str] = MESSAGE_KEY,
+) -> DataFrame:
     """Per stream and partition below ``partitions``: nothing pending, nothing unacknowledged.
 
-    Takes ``consumer_info``; ``stream_drained`` is the same for the whole stream.
+    ``consumers`` (stream, partition) lists those that exist, so a stalled one, which has
+    delivered nothing, is not taken for one that has nothing to do.
     """
+    info = consumer_info(published, deliveries, ids, consumers)
     empty = (F.col("pending") == 0) & (F.col("ack_pending") == 0)
     return info.where(F.col("partition") < partitions).select("stream", "partition", empty.alias("drained"))
 
 
-def stream_drained(info: DataFrame, partitions: int | Column = S.MAX_PARTITIONS) -> DataFrame:
-    return drained(info, partitions).groupBy("stream").agg(F.bool_and("drained").alias("drained"))
+def stream_drained(
+    published: DataFrame,
+    deliveries: DataFrame,
+    consumers: DataFrame,
+    partitions: int | Column = S.MAX_PARTITIONS,
+    ids: Sequence[str] = MESSAGE_KEY,
+) -> DataFrame:
+    """The same for the whole stream."""
+    each = drained(published, deliveries, consumers, partitions, ids)
+    return each.groupBy("stream").agg(F.bool_and("drained").alias("drained"))
 
 
 def redelivery_report(

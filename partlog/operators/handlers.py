@@ -42,9 +42,10 @@ def process_by_partition(
     """Run ``fn`` over each of ``n`` partitions, one at a time, in log order.
 
     ``fn`` is called once per partition with an iterator of its batches and yields result
-    batches.  A task streams through a partition, so its memory does not grow with it.
+    batches.  Task p gets partition p, and nothing else; it streams through it, so its memory
+    does not grow with it.
     """
-    placed = rekey(df, n).repartition(n, "partition").sortWithinPartitions("partition", order)
+    placed = rekey(df, n).repartitionById(n, "partition").sortWithinPartitions("partition", order)
     return placed.mapInPandas(_by_group(fn, "partition"), schema)
 
 

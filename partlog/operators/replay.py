@@ -9,7 +9,7 @@ from partlog import schema as S
 from partlog.functions.codec import decode_messages
 from partlog.functions.keys import partition_for_key, replay_id, subject_for_partition
 from partlog.operators.delivery import idempotent_append
-from partlog.operators.routing import CONFIG_ROWS, config_at, with_next_direct
+from partlog.operators.routing import BAD_COUNT, CONFIG_ROWS, NO_CONFIG, config_at, with_next_direct
 from partlog.plans import ordered
 from partlog.sources.dead_letter import dead_letter
 from partlog.sources.log import read_log, write_log
@@ -24,17 +24,37 @@ def check_count(n: int) -> int:
     return n
 
 
-def _with_plan(df: DataFrame, config_log: DataFrame, ts: str, max_broadcast_rows: int) -> DataFrame:
+def split_plan(
+    df: DataFrame,
+    config_log: DataFrame,
+    prefix: str,
+    key: str = "key",
+    ts: str = "ts",
+    max_broadcast_rows: int = CONFIG_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(planned, unplanned): every message is in one of them.
+
+    Messages published before the first config row, or whose epoch has a count that is missing
+    or not from 1 to the maximum, are unplanned, with ``reject_reason``.
+    """
     columns = {"mode": "mode", "epoch": "epoch", "epoch_count": "epoch_count"}
-    return config_at(df, with_next_direct(config_log), columns, ts, max_broadcast_rows)
+    known = config_at(df, with_next_direct(config_log), columns, ts, max_broadcast_rows)
+    has_epoch = F.col("epoch").isNotNull()
+    usable = F.coalesce(F.col("epoch_count").between(S.MIN_PARTITIONS, S.MAX_PARTITIONS), F.lit(False))
+    why = F.when(F.col("mode").isNull(), F.lit(NO_CONFIG)).when(has_epoch & ~usable, F.lit(BAD_COUNT))
+    unplanned = known.select(*df.columns, why.alias("reject_reason")).where(F.col("reject_reason").isNotNull())
+    phase = F.when(F.col("mode") == S.MODE_BUFFER, PHASE_REPLAY).otherwise(PHASE_DIRECT)
+    partition = F.when(has_epoch, partition_for_key(key, "epoch_count"))
+    planned = known.where(why.isNull()).withColumns({"phase": phase, "partition": partition})
+    subject = F.when(has_epoch, subject_for_partition(prefix, "partition"))
+    return planned.drop("mode", "epoch_count").withColumn("subject", subject), unplanned
 
 
 def unplanned_messages(
     df: DataFrame, config_log: DataFrame, ts: str = "ts", max_broadcast_rows: int = CONFIG_ROWS
 ) -> DataFrame:
-    """Messages that ``replay_plan`` leaves out: published before the first config row."""
-    known = _with_plan(df, config_log, ts, max_broadcast_rows)
-    return known.where(F.col("mode").isNull()).select(*df.columns)
+    """Messages that ``replay_plan`` leaves out, with ``reject_reason``."""
+    return split_plan(df, config_log, "", ts=ts, max_broadcast_rows=max_broadcast_rows)[1]
 
 
 def replay_plan(
@@ -50,15 +70,9 @@ def replay_plan(
     An epoch is named by the revision of the direct-mode config row that opens it.
     Messages published while buffering belong to the next epoch, before its direct
     messages and under its count.  While no next epoch exists, epoch, partition and
-    subject are NULL.  Messages before the first config row are in ``unplanned_messages``.
+    subject are NULL.  Messages without a usable configuration are in ``unplanned_messages``.
     """
-    known = _with_plan(df, config_log, ts, max_broadcast_rows).where(F.col("mode").isNotNull())
-    phase = F.when(F.col("mode") == S.MODE_BUFFER, PHASE_REPLAY).otherwise(PHASE_DIRECT)
-    has_epoch = F.col("epoch").isNotNull()
-    partition = F.when(has_epoch, partition_for_key(key, "epoch_count"))
-    planned = known.withColumns({"phase": phase, "partition": partition}).drop("mode", "epoch_count")
-    subject = F.when(F.col("epoch").isNotNull(), subject_for_partition(prefix, "partition"))
-    return planned.withColumn("subject", subject)
+    return split_plan(df, config_log, prefix, key, ts, max_broadcast_rows)[0]
 
 
 def delivery_order(df: DataFrame, span: int = ordered.ROW_SPAN) -> DataFrame:
@@ -81,6 +95,17 @@ def union_logs(direct: DataFrame, buffered: DataFrame) -> DataFrame:
     )
 
 
+def rekey_buffer(
+    buffer: DataFrame, new_count: int, prefix: str, raw: str = "data"
+) -> tuple[DataFrame, DataFrame]:
+    """(decoded rows with partition under ``new_count``, subject and id; rejected rows)."""
+    check_count(new_count)
+    good, bad = decode_messages(buffer, raw)
+    keyed = good.withColumn("partition", partition_for_key("key", new_count))
+    named = {"subject": subject_for_partition(prefix, "partition"), "id": replay_id("key", "sequence")}
+    return keyed.withColumns(named), bad
+
+
 def replay_buffer(
     buffer: DataFrame,
     new_count: int,
@@ -96,12 +121,7 @@ def replay_buffer(
     ``target`` are left out.  ``extra_id`` columns tell apart producer restarts that
     count from 1 again.  Rejected rows never stop the replay.
     """
-    check_count(new_count)
-    good, bad = decode_messages(buffer, raw)
-    keyed = good.withColumn("partition", partition_for_key("key", new_count))
-    keyed = keyed.withColumns(
-        {"subject": subject_for_partition(prefix, "partition"), "id": replay_id("key", "sequence")}
-    )
+    keyed, bad = rekey_buffer(buffer, new_count, prefix, raw)
     seen = target if target is not None else keyed.limit(0)
     return idempotent_append(keyed, seen, ["id", *extra_id]), bad
 

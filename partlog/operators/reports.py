@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partlog import schema as S
+from partlog.functions.keys import stream_names
 from partlog.functions.state import parse_state_key, sequence_state_value
 from partlog.plans import ordered
-from partlog.plans.bounds import join_small
+from partlog.plans.bounds import at_most, join_small
 from partlog.plans.scratch import cut_lineage
 
+SKETCH = 10_000  # accuracy of the quantile sketch before exact percentiles
+
 
 def stream_info(df: DataFrame, data: str = "data") -> DataFrame:
     """Messages and bytes per stream."""
@@ -129,6 +133,77 @@ def throughput(
     )
 
 
+def _brackets(df: DataFrame, of: Column, value: str, pcts: Sequence[int]) -> DataFrame:
+    """Per group the number of values and, per percentile, bounds around its rank."""
+    near = 2 / SKETCH  # a sketch is off by one part in SKETCH of the ranks at most
+    grid = sorted({min(max(p / 100 + d, 0.0), 1.0) for p in pcts for d in (-near, near)})
+    place = lambda p, d: grid.index(min(max(p / 100 + d, 0.0), 1.0))
+    sketch = df.groupBy(of).agg(
+        F.count(F.lit(1)).alias("_total"), F.percentile_approx(value, grid, SKETCH).alias("_q")
+    )
+    whole = F.col("_total")
+    each = [
+        F.struct(
+            F.lit(k).alias("_k"),
+            F.least(F.floor(whole * p / 100), whole - 1).alias("_rank"),
+            F.col("_q")[place(p, -near)].alias("_low"),
+            F.col("_q")[place(p, near)].alias("_high"),
+        )
+        for k, p in enumerate(pcts)
+    ]
+    return sketch.select("_of", F.array(*each).alias("_brackets"))
+
+
+def _picked(df: DataFrame, brackets: DataFrame, value: str) -> DataFrame:
+    """(_of, _k, _v): the value at each rank, NULL if it is outside its bracket."""
+    joined = join_small(df, brackets, ["_of"], "inner")
+    near = joined.select("_of", F.col(value).alias("_v"), F.explode("_brackets").alias("b"))
+    near = near.where(F.col("_v") <= F.col("b._high"))
+    # Values below a bracket are only counted, as one row for each group and percentile.
+    inside = F.when(F.col("_v") >= F.col("b._low"), F.col("_v")).alias("_v")
+    counted = near.groupBy("_of", "b._k", "b._rank", inside).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(counted)
+    upto = ordered.running_sum(counted, "_upto", F.col("_n"), ("_of", "_k"), ("_v",))
+    below = F.max(F.when(F.col("_v").isNull(), F.col("_n")))
+    first = F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_v")))
+    found = upto.groupBy("_of", "_k", "_rank").agg(below.alias("_below"), first.alias("_v"))
+    sure = F.coalesce("_below", F.lit(0)) <= F.col("_rank")
+    return found.select("_of", "_k", F.when(sure, F.col("_v")).alias("_v"))
+
+
+def _ranked(df: DataFrame, value: str, pcts: Sequence[int]) -> DataFrame:
+    """(_of, _k, _v) from all distinct values of the given groups, in order."""
+    counted = cut_lineage(df.groupBy("_of", F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    upto = ordered.running_sum(counted, "_upto", F.col("_n"), ("_of",), ("_v",))
+    totals = counted.groupBy("_of").agg(F.sum("_n").alias("_total"))
+    upto = join_small(upto, totals, ["_of"], "inner")
+    whole = F.col("_total")
+    first = []
+    for k, p in enumerate(pcts):
+        rank = F.least(F.floor(whole * p / 100), whole - 1)
+        value_at = F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+        first.append(F.struct(F.lit(k).alias("_k"), value_at.alias("_v")))
+    return upto.groupBy("_of").agg(F.array(*first).alias("f")).select("_of", F.inline("f"))
+
+
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, pcts: Sequence[int]) -> DataFrame:
+    """The element at ``floor(n * pct / 100)`` of each group, in two passes over the values.
+
+    A quantile sketch brackets each rank.  Then values below a bracket are counted, those
+    above are dropped, and only those inside, a few in ten thousand whatever their spread,
+    are put in order.  A group whose rank lies outside after all is put in order as a whole.
+    """
+    keyed = df.select(F.struct(*(by or [F.lit(1).alias("_all")])).alias("_of"), value)
+    found = cut_lineage(_picked(keyed, _brackets(keyed, F.col("_of"), value, pcts), value))
+    missed = found.where(F.col("_v").isNull()).select("_of").distinct()
+    if not at_most(missed, 0):
+        again = _ranked(join_small(keyed, missed, ["_of"], "left_semi"), value, pcts)
+        found = join_small(found, missed, ["_of"], "left_anti").unionByName(again)
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("_v")))
+    result = found.groupBy(*(["_of"] if by else [])).agg(*[at(k).alias(f"p{p}") for k, p in enumerate(pcts)])
+    return result.select(*[F.col(f"_of.{c}") for c in by], *[f"p{p}" for p in pcts])
+
+
 def latency_percentiles(
     df: DataFrame,
     by: Sequence[str] = (),
@@ -136,13 +211,11 @@ def latency_percentiles(
     pcts: Sequence[int] = (50, 95, 99),
     baseline: str | None = None,
     approximate: bool = False,
-    span: int | Column | None = None,
 ) -> DataFrame:
     """Floor-rank percentiles per group: the element at ``floor(n * pct / 100)``, clamped.
 
-    NULL values do not count.  Exact ones come from a histogram of the distinct values,
-    written once; a group with very many of them is cut into slices.  With ``baseline`` (a value of the only ``by`` column) each percentile also
-    gets its ratio to that group's.
+    NULL values do not count.  With ``baseline`` (a value of the only ``by`` column) each
+    percentile also gets its ratio to that group's.
     """
     by = list(by)
     df = df.where(F.col(value).isNotNull())
@@ -151,20 +224,7 @@ def latency_percentiles(
             *[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in pcts]
         )
     else:
-        scope = by or ["_all"]
-        counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-        counted = cut_lineage(counted.withColumn("_all", F.lit(1)))
-        upto = ordered.running_sum(counted, "_upto", F.col("_n"), scope, (value,), span=span)
-        group = F.struct(*scope).alias("_of")  # finds NULL groups too
-        totals = counted.groupBy(group).agg(F.sum("_n").alias("_total"))
-        upto = join_small(upto.select("*", group), totals, ["_of"], "inner")
-        whole = F.col("_total")
-        picked = []
-        for p in pcts:
-            rank = F.least(F.floor(whole * p / 100), whole - 1)
-            # The first distinct value whose running count passes the rank.
-            picked.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"p{p}"))
-        result = upto.groupBy(*by).agg(*picked)
+        result = exact_percentiles(df, by, value, pcts)
     if baseline is None:
         return result
     (group,) = by
@@ -242,22 +302,29 @@ def status_snapshot(
     buffered: DataFrame,
     consumers: DataFrame,
     sequences: DataFrame,
+    active: DataFrame,
+    piece_keys: int,
 ) -> DataFrame:
-    """One row per stream of ``config`` (stream, partition_count, mode).
-
-    ``direct`` and ``buffered`` are ``stream_info`` results, ``consumers`` a
-    ``consumer_info`` result, ``sequences`` a ``sequence_report`` with a stream column.
-    The per-key sequences themselves stay in ``sequence_report``.
+    """The state of each stream of ``config`` (stream, partition_count, mode), in pieces.
+
+    ``direct`` and ``buffered`` are ``stream_info`` results, ``consumers`` a ``consumer_info``
+    result, ``sequences`` a ``sequence_report`` with a stream column, ``active`` an
+    ``active_partitions`` result.  ``consumer_list`` has a stream's consumers by partition, of
+    which there are at most as many as partitions.  ``sequences`` maps keys to their sequences,
+    ``piece_keys`` of them in order in each row; names, totals and lists are in every piece,
+    and a stream without keys has one.  A NULL key counts in the totals and is in no map.
     """
     zero = F.lit(0).cast("bigint")
     info = lambda df, name: df.select(
         "stream", F.col("messages").alias(f"{name}_messages"), F.col("bytes").alias(f"{name}_bytes")
     )
+    entry = F.struct("partition", "name", "delivered", "pending", "ack_pending")
     running = consumers.groupBy("stream").agg(
         F.count(F.lit(1)).alias("consumers"),
         F.sum("delivered").alias("delivered"),
         F.sum("pending").alias("pending"),
         F.sum("ack_pending").alias("ack_pending"),
+        F.array_sort(F.collect_list(entry)).alias("consumer_list"),
     )
     keys = sequences.groupBy("stream").agg(
         F.count(F.lit(1)).alias("keys"),
@@ -266,19 +333,36 @@ def status_snapshot(
         F.count_if(F.col("status") == "MISMATCH").alias("mismatched_keys"),
         F.count_if(F.col("gap_total") > 0).alias("gap_keys"),
     )
-    parts = [info(direct, "direct"), info(buffered, "buffer"), running, keys]
+    lists = {"consumer_list": running.schema["consumer_list"].dataType, "partitions": active.schema["partitions"].dataType}
+    parts = [info(direct, "direct"), info(buffered, "buffer"), running, keys, active]
     joined = config
     for part in parts:
         joined = joined.join(part, "stream", "left")
-    added = [c for part in parts for c in part.columns if c != "stream"]
-    return joined.select(
+    added = [c for part in parts for c in part.columns if c != "stream" and c not in lists]
+    totals = joined.select(
         "stream",
+        stream_names("stream").alias("names"),
         "partition_count",
         (F.col("mode") == S.MODE_BUFFER).alias("buffering"),
         *[F.coalesce(c, zero).alias(c) for c in added],
+        *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in lists.items()],
+    )
+    fields = ("published", "consumed", "partition", "gaps", "gap_total", "lag", "status")
+    row = F.struct(F.col("key"), F.struct(*[f for f in fields if f in sequences.columns]))
+    numbered = ordered.number_rows(sequences.where(F.col("key").isNotNull()), "_n", ("stream",), ("key",))
+    piece = F.floor((F.col("_n") - 1) / piece_keys).alias("piece")
+    maps = numbered.groupBy("stream", piece).agg(F.map_from_entries(F.array_sort(F.collect_list(row))).alias("sequences"))
+    whole = totals.join(maps, "stream", "left")
+    empty = F.map_from_entries(F.array().cast(T.ArrayType(_entry_type(maps.schema["sequences"].dataType))))
+    return whole.withColumns(
+        {"piece": F.coalesce("piece", zero), "sequences": F.coalesce("sequences", empty)}
     )
 
 
+def _entry_type(kind: T.MapType) -> T.StructType:
+    return T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+
+
 def ttl_state(df: DataFrame, now: Column, ttl: Column, key: str = "kv_key") -> DataFrame:
     """Latest value per key, without keys idle for ``ttl`` or longer."""
     latest = df.groupBy(key).agg(

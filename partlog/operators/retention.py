@@ -1,16 +1,18 @@
-"""Limits by age and count, and purges."""
+"""Limits by age and count, and purges, as filters and on stored logs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlog import schema as S
+from partlog.functions.keys import subject_for_partition
 from partlog.plans import ordered
 from partlog.plans.bounds import join_small
 from partlog.plans.intervals import interval
+from partlog.sources.rewrite import rewrite_log
 
 
 def _within_age(df: DataFrame, max_age: str, scope: Sequence[str], ts: str, now: Column | None):
@@ -70,3 +72,36 @@ def apply_purges(
     )
     joined = join_small(kept, by_subject, [subject], "left")
     return joined.where(F.col(position) > F.coalesce("_purged", F.lit(-1))).select(*df.columns)
+
+
+def purge_log(spark: SparkSession, path: str, purges: DataFrame, prefix: str) -> int:
+    """``apply_purges`` on a stored log; gives the number of files that were replaced.
+
+    Subjects are those of the log's partitions.  Files without a purged row stay as they are.
+    """
+
+    def keep(log: DataFrame) -> DataFrame:
+        named = log.withColumn("subject", subject_for_partition(prefix, "partition"))
+        return apply_purges(named, purges).drop("subject")
+
+    return rewrite_log(spark, path, keep)
+
+
+def retain_log(
+    spark: SparkSession,
+    path: str,
+    now: Column,
+    max_age: str = S.LOG_MAX_AGE,
+    max_msgs: int = S.LOG_MAX_MESSAGES,
+    span: int = ordered.ROW_SPAN,
+) -> int:
+    """``retain_newest`` on a stored log of one stream; gives the number of files replaced.
+
+    ``now`` is a fixed time, so that a run that is repeated decides alike.
+    """
+
+    def keep(log: DataFrame) -> DataFrame:
+        timed = log.withColumns({"_stream": F.lit(1), "_time": F.timestamp_micros(F.expr("ts div 1000"))})
+        return retain_newest(timed, max_age, max_msgs, ("_stream",), ts="_time", now=now, span=span).drop("_stream", "_time")
+
+    return rewrite_log(spark, path, keep)

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from partlog import schema as S
 from partlog.functions.keys import partition_for_key, subject_for_partition
 from partlog.plans import ordered
-from partlog.plans.bounds import at_most
+from partlog.plans.scratch import cut_lineage
 
-MICROS_PER_SECOND = 1_000_000
-NANOS_PER_SECOND = 1_000_000_000
 CONFIG_ROWS = 20_000  # largest config log that is broadcast; a longer one is merged by time
 NO_CONFIG = "no configuration"
 BAD_COUNT = "unusable partition count"
@@ -54,16 +52,14 @@ def config_history(changelog: DataFrame) -> DataFrame:
 
 def with_next_direct(config_log: DataFrame) -> DataFrame:
     """Config rows with the replay target of each: the direct row at or after it."""
-    direct = F.col("mode") == S.MODE_DIRECT
-    marked = config_log.withColumns(
-        {
-            "_epoch": F.when(direct, F.col("revision")),
-            "_epoch_count": F.when(direct, F.col("partition_count")),
-        }
+    opens = F.struct("revision", "partition_count")  # together: a count may be missing
+    marked = config_log.withColumn("_opens", F.when(F.col("mode") == S.MODE_DIRECT, opens))
+    filled = ordered.carry_forward(marked, {"_next": "_opens"}, (), ("revision",), descending=True)
+    return filled.select(
+        *config_log.columns,
+        F.col("_next.revision").alias("epoch"),
+        F.col("_next.partition_count").alias("epoch_count"),
     )
-    return ordered.carry_forward(
-        marked, {"epoch": "_epoch", "epoch_count": "_epoch_count"}, (), ("revision",), descending=True
-    ).drop("_epoch", "_epoch_count")
 
 
 def _config_by_slice(
@@ -117,28 +113,36 @@ def config_at(
 ) -> DataFrame:
     """As-of lookup: add config columns in force at ``ts``; NULL before the first.
 
-    The config log is written by operators and normally tiny.  Its size is checked: one
-    within the bound is broadcast as slices of time; a larger one is merged into the
-    stream by time and carried forward.
+    The config log is written by operators and normally tiny.  It is read once: one of at
+    most ``max_broadcast_rows`` is broadcast as slices of time; a larger one is written and
+    merged into the stream by time.  Each slice of the merged stream hands one row on to the
+    next, and slices are bounded by rank, so there is one short list of rows to carry through.
     """
-    if at_most(config_log, max_broadcast_rows):
-        return _config_by_slice(df, config_log, columns, ts)
-
+    needed = dict.fromkeys(["revision", "effective_ts", *columns.values()])
+    settings = config_log.select(*needed)
+    few = settings.limit(max_broadcast_rows + 1).toArrow()
+    if few.num_rows <= max_broadcast_rows:
+        known = df.sparkSession.createDataFrame(few, settings.schema)
+        return _config_by_slice(df, known, columns, ts)
+
+    settings = cut_lineage(settings)
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     none = F.lit(None).cast("bigint")
-    changes = config_log.select(
+    changes = settings.select(
         F.col("effective_ts").alias("_ts"),
         F.col("revision").cast("bigint").alias("_rev"),
         packed.alias("_config"),
     )
     rows = df.select(F.col(ts).alias("_ts"), none.alias("_rev"), F.struct(*df.columns).alias("_row"))
     merged = rows.unionByName(changes, allowMissingColumns=True)
-    # Config rows sort before messages of the same time, in order of revision.
-    merged = merged.withColumn("_tie", F.coalesce("_rev", F.lit((1 << 63) - 1)))
-    # Slices of one second keep each task small without any other scope to split on.
-    span = span or (MICROS_PER_SECOND if ordered.is_time(merged, "_ts") else NANOS_PER_SECOND)
+    # Config rows sort before messages of the same time, in order of revision.  Messages of one
+    # time need no order, but a burst of them must not make one slice large.
+    merged = merged.withColumns(
+        {"_tie": F.coalesce("_rev", F.lit((1 << 63) - 1)), "_spread": F.xxhash64("_row")}
+    )
+    bucket = None if span is None else "_ts"
     filled = ordered.carry_forward(
-        merged, {"_now": "_config"}, (), ("_ts", "_tie"), bucket="_ts", span=span
+        merged, {"_now": "_config"}, (), ("_ts", "_tie", "_spread"), bucket=bucket, span=span
     )
     return filled.where(F.col("_row").isNotNull()).select("_row.*", *[f"_now.{n}" for n in columns])
 

@@ -8,9 +8,10 @@ slice needs from the slices before it is one summary row per slice, computed wit
 map-side aggregation, chained over the few slices of a scope, and joined back on (scope,
 slice), which reuses the big side's partitioning.  Both ways give the same rows.
 
-A given ``span`` cuts every group, and an empty scope is always cut.  Without one, slices
-are as wide as gives about four for each ``HOT_ROWS`` rows of the hot groups, whatever
-the unit of the order column.  Counting is a job of its own, run when an operator is called.
+A given ``span`` cuts every group.  An empty scope is one group.  Without a span, slices
+are bounded by rank, about four for each ``HOT_ROWS`` rows of a hot group, whatever the
+unit and spread of the order columns.  Counting is a job of its own, run when an operator
+is called, and so is writing the rows if there is a hot group.
 
 ``bucket`` names the order column that is cut (default: the first).  Order columns
 before it become part of the slice key as they are; columns after it only break
@@ -30,8 +31,13 @@ ROW_SPAN = 1 << 20  # positions per slice of an integer order column
 TIME_SPAN = 3_600_000_000  # microseconds per slice of a timestamp order column
 
 HOT_ROWS = 1 << 20  # larger groups are sliced
+MOST_SLICES = 20_000  # of all groups together
+SAMPLES = 256  # rows behind each bound of a slice
+RANKED = "ranked"  # as a span: ``rank_slices`` has been there
 
-_SLICE = "_slice"
+SLICE = _SLICE = "_slice"
+_OF, _AT, _HOT = "_of", "_at", "_hot"
+_ALL = ["_all"]  # the scope of a table without groups
 _GROUP = "_group"  # scope and slice as one column, so that joins find NULL values too
 
 
@@ -46,19 +52,25 @@ def as_long(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint")
 
 
+def cut(df: DataFrame, bucket: str, span: int) -> DataFrame:
+    """Add ``_slice``: ranges of ``span`` of one order column."""
+    position = as_long(df, bucket)
+    return df.withColumn(_SLICE, position - F.pmod(position, F.lit(span)))
+
+
 class _Sliced:
     """A DataFrame with its slice columns, windows and summary ordering."""
 
     def __init__(self, df, scope, order, bucket, span, descending=False):
-        bucket = bucket or order[0]
-        if span is None:
-            span = TIME_SPAN if is_time(df, bucket) else ROW_SPAN
-        position = as_long(df, bucket)
         self.columns = df.columns
         self.scope = list(scope)
-        self.slices = [*order[: order.index(bucket)], _SLICE]
+        if span == RANKED:  # the slice is there already, and counts through the whole order
+            self.slices, self.df = [_SLICE], df
+        else:
+            bucket = bucket or order[0]
+            self.slices = [*order[: order.index(bucket)], _SLICE]
+            self.df = cut(df, bucket, span)
         names = list(dict.fromkeys([*self.scope, *self.slices]))
-        self.df = df.withColumn(_SLICE, position - F.pmod(position, F.lit(span)))
         self.df = self.df.withColumn(_GROUP, F.struct(*names))
         self.group = [_GROUP]
         self.descending = descending
@@ -84,37 +96,88 @@ class _Sliced:
         return local.join(carry.where(known), self.group, "left")
 
 
-def all_cold(df: DataFrame, scope: Sequence[str]) -> bool:
-    """Whether no group has more than ``HOT_ROWS`` rows."""
-    return _sizes(df, scope).where(F.col("_n") > HOT_ROWS).isEmpty()
-
-
 def _sizes(df: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return df.select(F.struct(*scope).alias("_of")).groupBy("_of").agg(F.count(F.lit(1)).alias("_n"))
+    return df.select(F.struct(*scope).alias(_OF)).groupBy(_OF).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _by_heat(
+def by_heat(
     df: DataFrame,
     scope: Sequence[str],
-    bucket: str,
+    order: Sequence[str],
     plain: Callable[[DataFrame], DataFrame],
-    sliced: Callable[[DataFrame, Column | int], DataFrame],
+    sliced: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """``plain`` for groups that fit into a task, ``sliced`` for the others."""
-    from partlog.plans.bounds import BROADCAST_ROWS, at_most
-    from partlog.plans.scratch import cut_lineage
+    """``plain`` for groups that fit into a task, ``sliced`` for the others, cut by rank.
 
-    if all_cold(df, scope):
+    ``sliced`` gets a column ``_slice`` and works with ``span=RANKED``; if it keeps that
+    column, it is dropped at the end.  Without a large group, one count over the scope columns
+    is all that comes before ``plain``.  With one, ``df`` is evaluated once more, and written:
+    its parts, the sample behind the slices and the summaries read what was written.
+    """
+    from partlog.plans.bounds import BROADCAST_ROWS
+    from partlog.plans.scratch import scratch_path
+
+    hot = _sizes(df, scope).where(F.col("_n") > HOT_ROWS)
+    found = hot.limit(BROADCAST_ROWS + 1).toArrow()  # one row for each large group
+    if not found.num_rows:
         return plain(df)
-    hot = cut_lineage(_sizes(df, scope).where(F.col("_n") > HOT_ROWS).withColumnRenamed("_n", "_rows"))
-    few = F.broadcast(hot) if at_most(hot, BROADCAST_ROWS) else hot
-    marked = df.withColumn("_of", F.struct(*scope)).join(few, "_of", "left")
-    large = marked.where(F.col("_rows").isNotNull()).select(*df.columns)
-    at = as_long(large, bucket)
-    low, high, n = large.agg(F.min(at), F.max(at), F.count(F.lit(1))).head()
-    span = max(1, (high - low) // max(1, 4 * n // HOT_ROWS))
-    small = marked.where(F.col("_rows").isNull()).select(*df.columns)
-    return plain(small).unionByName(sliced(large, span))
+    if found.num_rows <= BROADCAST_ROWS:
+        rows = sum(found.column("_n").to_pylist())
+        few = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    else:
+        rows, few = hot.agg(F.sum("_n")).head()[0], hot
+    marked = df.withColumn(_OF, F.struct(*scope)).join(few, _OF, "left")
+    path = scratch_path(df.sparkSession, "by-heat")
+    parted = marked.withColumn(_HOT, F.col("_n").isNotNull())
+    parted.drop(_OF, "_n").write.partitionBy(_HOT).parquet(path)
+    fields = [*df.schema.fields, T.StructField(_HOT, T.BooleanType())]
+    held = df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+    small = plain(held.where(~F.col(_HOT)).drop(_HOT))
+    large = sliced(rank_slices(held.where(_HOT).drop(_HOT), rows, scope, order))
+    return small.unionByName(large.select(*small.columns))
+
+
+def rank_slices(df: DataFrame, rows: int, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_slice``: slices of each group with about as many rows each, rising in ``order``.
+
+    Bounds are ranks of a sample, whole tuples of the order columns, so neither an outlier
+    nor a burst at one value makes a slice large; only rows that tie in all order columns
+    stay together.  The sample is drawn by a hash of those columns, ``SAMPLES`` rows for each
+    slice, which keeps slices below twice their mean size.  There are at most ``MOST_SLICES``
+    of them whatever the size of the log, so bounds may be broadcast.  A row finds its slice
+    among the coarse bounds of its group first, and then among the fine ones below it.
+    """
+    from partlog.plans.scratch import cut_lineage
+
+    size = max(HOT_ROWS // 4, -(-rows // MOST_SLICES))
+    rate = max(1, size // SAMPLES)
+    step = max(1, size // rate)
+    at = F.struct(*order).alias(_AT)
+    drawn = df.where(F.pmod(F.xxhash64(*scope, *order), F.lit(rate)) == 0)
+    by_rank = Window.partitionBy(_OF).orderBy(_AT)
+    ranked = drawn.select(F.struct(*scope).alias(_OF), at).withColumn("_k", F.row_number().over(by_rank) - 1)
+    bounds = ranked.where((F.col("_k") % step == 0) & (F.col("_k") > 0)).select(_OF, _AT).distinct()
+    bounds = bounds.withColumn(_SLICE, F.row_number().over(by_rank))
+    bounds = cut_lineage(bounds)
+    coarse_step = max(1, int(MOST_SLICES**0.5))
+    coarse = bounds.where(F.col(_SLICE) % coarse_step == 0)
+    marked = _below(df.withColumn(_OF, F.struct(*scope)).withColumn(_AT, at), coarse, [_OF], "_coarse")
+    marked = marked.withColumn("_coarse", F.floor(F.col("_coarse") / coarse_step))
+    fine = bounds.withColumn("_coarse", F.floor(F.col(_SLICE) / coarse_step))
+    found = _below(marked, fine, [_OF, "_coarse"], "_fine")
+    least = F.col("_coarse") * coarse_step
+    return found.select(*df.columns, F.greatest(F.coalesce("_fine", F.lit(0)), least).cast("bigint").alias(_SLICE))
+
+
+def _below(df: DataFrame, bounds: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Add the number of the last of ``bounds`` that is not above a row; 0 before the first."""
+    next_ = F.lead(_AT).over(Window.partitionBy(*on).orderBy(_AT))
+    low = bounds.select(*[F.col(c).alias(f"_b{c}") for c in on], F.col(_AT).alias("_low"), next_.alias("_next"), F.col(_SLICE).alias(name))
+    inside = (F.col(_AT) >= F.col("_low")) & (F.col("_next").isNull() | (F.col(_AT) < F.col("_next")))
+    for c in on:
+        inside = inside & (F.col(c) == F.col(f"_b{c}"))
+    found = df.join(F.broadcast(low), inside, "left").drop(*[f"_b{c}" for c in on], "_low", "_next")
+    return found.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def _window(df: DataFrame, scope: Sequence[str], order: Sequence[str], descending: bool = False):
@@ -135,14 +198,17 @@ def previous(
 
     Sources must not be NULL.
     """
-    if span is None and scope:
+    if span is None and not scope:
+        part = df.withColumn("_all", F.lit(1))
+        return previous(part, values, _ALL, order, bucket, None, descending).drop(*_ALL)
+    if span is None:
         w = _window(df, scope, order, descending)
-        return _by_heat(
+        return by_heat(
             df,
             scope,
-            bucket or order[0],
+            order,
             lambda part: part.select("*", *[F.lag(c).over(w).alias(n) for n, c in values.items()]),
-            lambda part, width: previous(part, values, scope, order, bucket, width, descending),
+            lambda part: previous(part, values, scope, order, bucket, RANKED, descending),
         )
     s = _Sliced(df, scope, order, bucket, span, descending)
     local = s.df.select("*", *[F.lag(c).over(s.window).alias(n) for n, c in values.items()])
@@ -161,15 +227,18 @@ def carry_forward(
     descending: bool = False,
 ) -> DataFrame:
     """Add, per ``{new: source}``, the last non-NULL source value up to this row."""
-    if span is None and scope:
+    if span is None and not scope:
+        part = df.withColumn("_all", F.lit(1))
+        return carry_forward(part, values, _ALL, order, bucket, None, descending).drop(*_ALL)
+    if span is None:
         w = _window(df, scope, order, descending).rowsBetween(Window.unboundedPreceding, 0)
         newest = lambda c: F.last(c, ignorenulls=True).over(w)
-        return _by_heat(
+        return by_heat(
             df,
             scope,
-            bucket or order[0],
+            order,
             lambda part: part.select("*", *[newest(c).alias(n) for n, c in values.items()]),
-            lambda part, width: carry_forward(part, values, scope, order, bucket, width, descending),
+            lambda part: carry_forward(part, values, scope, order, bucket, RANKED, descending),
         )
     s = _Sliced(df, scope, order, bucket, span, descending)
     upto = s.window.rowsBetween(Window.unboundedPreceding, 0)
@@ -198,19 +267,22 @@ def running_sum(
     span: int | Column | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows up to and including this one."""
-    if span is None and scope:
+    if span is None and not scope:
+        part = df.withColumn("_all", F.lit(1))
+        return running_sum(part, out, value, _ALL, order, bucket).drop(*_ALL)
+    if span is None:
         w = _window(df, scope, order).rowsBetween(Window.unboundedPreceding, 0)
-        return _by_heat(
+        return by_heat(
             df,
             scope,
-            bucket or order[0],
-            lambda part: part.withColumn("_v", value).withColumn(out, F.sum("_v").over(w)).drop("_v"),
-            lambda part, width: running_sum(part, out, value, scope, order, bucket, width),
+            order,
+            lambda part: part.withColumn("_amount", value).withColumn(out, F.sum("_amount").over(w)).drop("_amount"),
+            lambda part: running_sum(part, out, value, scope, order, bucket, RANKED),
         )
-    s = _Sliced(df.withColumn("_v", value), scope, order, bucket, span)
+    s = _Sliced(df.withColumn("_amount", value), scope, order, bucket, span)
     upto = s.window.rowsBetween(Window.unboundedPreceding, 0)
-    local = s.df.withColumn("_local", F.sum("_v").over(upto))
-    summary = s.df.groupBy(*s.group).agg(F.sum("_v").alias("_t"))
+    local = s.df.withColumn("_local", F.sum("_amount").over(upto))
+    summary = s.df.groupBy(*s.group).agg(F.sum("_amount").alias("_t"))
     joined = s.attach(local, {"_before": F.sum("_t")}, summary)
     total = F.col("_local") + F.coalesce("_before", F.lit(0))
     return joined.select(*df.columns, total.alias(out))
@@ -225,14 +297,17 @@ def number_rows(
     span: int | Column | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per scope (``row_number``)."""
-    if span is None and scope:
+    if span is None and not scope:
+        part = df.withColumn("_all", F.lit(1))
+        return number_rows(part, out, _ALL, order, bucket).drop(*_ALL)
+    if span is None:
         number = F.row_number().over(_window(df, scope, order)).cast("bigint")
-        return _by_heat(
+        return by_heat(
             df,
             scope,
-            bucket or order[0],
+            order,
             lambda part: part.withColumn(out, number),
-            lambda part, width: number_rows(part, out, scope, order, bucket, width),
+            lambda part: number_rows(part, out, scope, order, bucket, RANKED),
         )
     s = _Sliced(df, scope, order, bucket, span)
     local = s.df.withColumn("_local", F.row_number().over(s.window))

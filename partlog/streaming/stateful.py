@@ -1,12 +1,12 @@
-"""Streaming forms of the audit, state, lag and cooldown operators.
+"""The cooldown on a stream, with its state in the state store.
 
-Stateful functions see one group's rows of one micro-batch, so the micro-batch limit of
-the source (``max_files`` in ``read_log_stream``) bounds what a task holds.
+It sees one stream's windows of one micro-batch, a row for each window, so the micro-batch
+limit of the source (``max_files`` in ``read_log_stream``) bounds what a task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,143 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from partlog import schema as S
-from partlog.operators.audit import RUN_SCOPE
 from partlog.plans.intervals import micros
 
 
-def audit_stream(
-    df: DataFrame, scope: Sequence[str] = RUN_SCOPE, order: str = "arrival"
-) -> DataFrame:
-    """``ordering_audit`` on a stream; the last sequence per scope is kept as state.
-
-    Late rows are findings, so there is no watermark and nothing is dropped.
-    """
-    out = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("prev_sequence", T.LongType()),
-            T.StructField("status", T.StringType()),
-            T.StructField("missing", T.LongType()),
-        ]
-    )
-
-    def audit(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        rows = rows.iloc[np.argsort(rows[order].to_numpy(), kind="stable")]
-        sequence = rows["sequence"].to_numpy()
-        previous = np.roll(sequence, 1)
-        first = np.zeros(len(rows), dtype=bool)
-        if state.exists:
-            previous[0] = state.get[0]
-        else:
-            first[0] = True
-        step = np.where(first, 1, sequence - previous)
-        state.update((int(sequence[-1]),))
-        yield rows.assign(
-            prev_sequence=pd.arrays.IntegerArray(previous, first),
-            status=np.select([step <= 0, step > 1], ["violation", "gap"], "ok"),
-            missing=np.maximum(step - 1, 0),
-        )
-
-    return df.groupBy(*scope).applyInPandasWithState(
-        audit, out, "last_sequence bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def sequence_state_stream(
-    df: DataFrame, ttl: str = S.STATE_TTL, key: str = "key", order: str = "arrival"
-) -> DataFrame:
-    """Account of each key: latest sequence and partition, gaps, gap total and violations.
-
-    Counts compare each arrival with the one before it, over all micro-batches, as
-    ``account_sequences`` does.  A key without messages for ``ttl`` is reported expired and
-    forgotten.  Without a column ``partition`` the partition is NULL.
-
-    Run it with a processing-time trigger: waiting time-outs keep asking for batches, so
-    an ``availableNow`` run would not end.
-    """
-    out = T.StructType(
-        [
-            T.StructField(key, T.StringType()),
-            T.StructField("sequence", T.LongType()),
-            T.StructField("partition", T.LongType()),
-            T.StructField("gaps", T.LongType()),
-            T.StructField("gap_total", T.LongType()),
-            T.StructField("violations", T.LongType()),
-            T.StructField("expired", T.BooleanType()),
-        ]
-    )
-    counted = [f.name for f in out.fields[1:-1]]
-    ttl_ms = micros(ttl) // 1000
-
-    def latest(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            account = state.get
-            state.remove()
-            yield pd.DataFrame([(group[0], *account, True)], columns=out.names)
-            return
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
-        sequence = rows["sequence"].to_numpy()
-        before = state.get if state.exists else (int(sequence[0]) - 1, None, 0, 0, 0)
-        step = np.diff(sequence, prepend=before[0])
-        partition = rows["partition"].iloc[-1]
-        account = (
-            int(sequence[-1]),
-            None if pd.isna(partition) else int(partition),
-            before[2] + int((step > 1).sum()),
-            before[3] + int((step[step > 1] - 1).sum()),
-            before[4] + int((step <= 0).sum()),
-        )
-        state.update(account)
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(group[0], *account, False)], columns=out.names)
-
-    partition = F.col("partition") if "partition" in df.columns else F.lit(None)
-    given = df.select(key, order, "sequence", partition.cast("bigint").alias("partition"))
-    return given.groupBy(key).applyInPandasWithState(
-        latest,
-        out,
-        ", ".join(f"{name} bigint" for name in counted),
-        "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
-
-
-def lag_windows_stream(
-    samples: DataFrame, every: str = S.LAG_INTERVAL, delay: str = S.LAG_INTERVAL, ts: str = "ts"
-) -> DataFrame:
-    """``lag_windows`` on a stream; a window is emitted once the watermark passes it.
-
-    Later samples are dropped and the last windows stay open; ``jobs.lag_stream`` has them all.
-    """
-    timed = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    last = timed.groupBy("stream", "partition", F.window(ts, every).alias("_w")).agg(
-        F.max_by(F.col("pending") + F.col("ack_pending"), "sample_seq").alias("_lag"),
-        F.max_by("partition_count", "sample_seq").alias("_count"),
-        F.max("sample_seq").alias("sample_seq"),
-    )
-    return (
-        last.groupBy("stream", F.window(F.window_time("_w"), every).alias("_v"))
-        .agg(
-            F.sum("_lag").alias("lag"),
-            F.max_by("_count", "sample_seq").alias("partition_count"),
-            F.max("sample_seq").alias("sample_seq"),
-        )
-        .select(
-            "stream",
-            F.col("_v.start").alias("window_start"),
-            F.col("_v.end").alias("ts"),
-            "sample_seq",
-            "partition_count",
-            "lag",
-        )
-    )
-
-
 def scale_recommendations_stream(
     lag: DataFrame,
     high: int = S.LAG_HIGH_WATER,

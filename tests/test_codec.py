@@ -113,5 +113,28 @@ def test_broken_state_value(spark, text):
 def test_names_count_without_case(spark):
     rows = [('{"Key":"a","SEQUENCE":5}',), ('{"key":"b","KEY":"c"}',), ('{"Key":1}',), ('{"kEy":null,"other":1}',)]
     good, bad = codec.decode_messages(spark.createDataFrame(rows, "data string"))
-    assert sorted((r.key, r.sequence) for r in good.collect()) == [("", 0), ("a", 5)]
-    assert sorted(r.data for r in bad.collect()) == ['{"Key":1}', '{"key":"b","KEY":"c"}']
+    assert sorted((r.key, r.sequence) for r in good.collect()) == [("", 0), ("a", 5), ("c", 0)]
+    assert sorted(r.data for r in bad.collect()) == ['{"Key":1}']
+
+
+def test_the_last_value_of_a_repeated_name_counts(spark):
+    cases = {
+        '{"key":"a","key":"b"}': ("b", 0),
+        '{"KEY":"a","key":"b","Key":"c","x":1,"x":2}': ("c", 0),
+        '{"sequence":1,"key":"a","Sequence":7}': ("a", 7),
+        # A null changes nothing, and all values must have the type of the field.
+        '{"key":"a","key":null}': ("a", 0),
+        '{"key":null,"KEY":"b"}': ("b", 0),
+        '{"key":null,"key":null}': ("", 0),
+        '{"key":1,"key":"b"}': None,
+        '{"sequence":"1","sequence":1}': None,
+        '{"key":"a","key":"b"}x': None,
+        '{"key":"a","key":"b"},{}': None,
+        "{'key':'a'}": None,
+        '{"key":"a","sequence":NaN}': None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "data string")
+    good, bad = codec.decode_messages(df.withColumn("text", F.col("data")))
+    got = {r.text: (r.key, r.sequence) for r in good.collect()}
+    assert got == {t: want for t, want in cases.items() if want is not None}
+    assert {r.data for r in bad.collect()} == {t for t, want in cases.items() if want is None}

@@ -1,6 +1,7 @@
 """User functions see whole keys and partitions, in order."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from partlog.operators import completeness, delivery, handlers, reports
@@ -62,6 +63,57 @@ def test_percentiles_leave_out_nulls_and_stand_outliers(spark):
     assert reports.latency_percentiles(df.limit(4)).head().p50 == 2
 
 
+def test_percentiles_of_many_distinct_values(spark):
+    """Only values near a rank are put in order; groups of any spread, and ties."""
+    n = F.col("id")
+    far = F.when(n == 7, F.lit(10**15)).otherwise(n * 7919 % 99_991)
+    tied = F.when(n % 2 == 0, F.lit(5)).otherwise(n)
+    df = spark.range(100_000).select(
+        F.when(n % 3 > 0, F.concat(F.lit("g"), (n % 3).cast("string"))).alias("g"),
+        F.when(n % 3 == 1, far).otherwise(tied).alias("latency_us"),
+    )
+    got = {r.g: r for r in reports.latency_percentiles(df, by=("g",), pcts=(0, 50, 99, 100)).collect()}
+    for g, rows in df.toPandas().groupby("g", dropna=False)["latency_us"]:
+        values = sorted(rows)
+        r = got[None if pd.isna(g) else g]
+        want = [values[min(len(values) * p // 100, len(values) - 1)] for p in (0, 50, 99, 100)]
+        assert [r.p0, r.p50, r.p99, r.p100] == want
+    keyed = df.select(F.struct("g").alias("_of"), "latency_us")
+    brackets = reports._brackets(keyed, F.col("_of"), "latency_us", (50, 99))
+    near = keyed.join(brackets, "_of").select("_of", "latency_us", F.explode("_brackets").alias("b"))
+    inside = near.where("latency_us BETWEEN b._low AND b._high AND latency_us <> 5").groupBy("_of", "b._k").count()
+    assert max(r["count"] for r in inside.collect()) < 100
+
+
+def test_percentiles_when_a_sketch_misses(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("latency_us"), (F.col("id") % 2).alias("g"))
+    want = sorted(map(tuple, reports.latency_percentiles(df, by=("g",)).collect()))
+    brackets = reports._brackets
+
+    def wrong(*args):
+        off = lambda b: F.struct(b["_k"].alias("_k"), b["_rank"].alias("_rank"), (b["_low"] + 300).alias("_low"), (b["_high"] + 300).alias("_high"))
+        return brackets(*args).withColumn("_brackets", F.transform("_brackets", off))
+
+    monkeypatch.setattr(reports, "_brackets", wrong)
+    assert sorted(map(tuple, reports.latency_percentiles(df, by=("g",)).collect())) == want
+
+
+@pytest.mark.parametrize("n", range(1, 21))
+def test_task_p_gets_partition_p(spark, n):
+    df = spark.range(200).select(
+        F.col("id").alias("stream_seq"), F.concat(F.lit("acct-"), F.col("id").cast("string")).alias("key")
+    )
+
+    def where(batches):
+        from pyspark import TaskContext
+
+        for rows in batches:
+            yield rows[["partition"]].assign(task=TaskContext.get().partitionId())
+
+    got = handlers.process_by_partition(df, where, "partition int, task int", n).collect()
+    assert {(r.partition, r.task) for r in got} == {(p, p) for p in range(n)}
+
+
 def test_append_keeps_the_first_of_an_id(spark):
     new = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "z"), (4, "b", "v")], "stream_seq bigint, id string, t string")
     target = spark.createDataFrame([("b",)], "id string")
@@ -79,4 +131,6 @@ def test_a_stalled_consumer_counts_its_backlog(spark):
     found = {r.partition: (r.delivered, r.pending, r.ack_pending) for r in info.collect()}
     assert found == {0: (1, 0, 0), 1: (0, 1, 0), 7: (0, 0, 0)}
     assert delivery.total_pending(info).head().total_pending == 1
-    assert not delivery.stream_drained(info).head().drained
+    assert not delivery.stream_drained(published, tries, consumers).head().drained
+    only = consumers.where("partition = 0")
+    assert delivery.stream_drained(published, tries, only).head().drained

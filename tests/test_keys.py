@@ -91,7 +91,7 @@ def test_ids(spark):
 
 
 def test_stream_names(spark):
-    r = one(spark, n=keys.stream_names(F.lit("my_orders"))).n
+    r = one(spark, n=keys.stream_names(F.lit("ledger"))).n
     assert r.subject_prefix == "LEDGER"
     assert (r.buffer_subject, r.dlq_stream, r.kv_bucket) == ("LEDGER_BUFFER", "LEDGER_DLQ", "LEDGER_config")
 

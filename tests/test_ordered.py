@@ -1,5 +1,7 @@
 """Sliced windows equal plain windows, and spread a hot key."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -158,3 +160,84 @@ def test_cold_keys_take_one_read_and_one_shuffle(rows, spark):
     assert audited.count("FileScan") == 1 and audited.count("Exchange hashpartitioning") == 1
     summed = plan(audit.summarize_sequences(df))
     assert summed.count("FileScan") == 1 and summed.count("Exchange hashpartitioning") <= 2
+
+
+def slices(spark, monkeypatch, rows, order, hot=100):
+    """Numbers of rows per slice of each group, checked to rise through the order."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+    df = spark.createDataFrame(rows, "key string, t bigint, tie bigint")
+    found = ordered.rank_slices(df, len(rows), ["key"], order).collect()
+    assert len(found) == len(rows)
+    held, last = Counter(), {}
+    for r in sorted(found, key=lambda r: (r["key"] or "", *[r[c] for c in order])):
+        assert r["_slice"] >= last.get(r["key"], 0)
+        last[r["key"]] = r["_slice"]
+        held[r["key"], r["_slice"]] += 1
+    return held
+
+
+def test_slices_are_bounded_by_rank(spark, monkeypatch):
+    outlier = [("a", n, n) for n in range(10_000)] + [("a", 10**9, 0)]
+    assert max(slices(spark, monkeypatch, outlier, ["t"]).values()) <= 50
+    # A burst at one time is cut by the next order column.
+    burst = [("a", 5 if n % 3 else n, n) for n in range(6_000)]
+    assert max(slices(spark, monkeypatch, burst, ["t", "tie"]).values()) <= 50
+    # Groups of unlike density and size, one of them without a name.
+    mixed = [("a", n, n) for n in range(3_000)] + [(None, n * n * 10**9, n) for n in range(3_000)]
+    mixed += [("c", -n, n) for n in range(200)]
+    held = slices(spark, monkeypatch, mixed, ["t"])
+    assert max(held.values()) <= 50 and {k for k, _ in held} == {"a", None, "c"}
+
+
+def test_slices_from_a_sample_and_with_a_limit(spark, monkeypatch):
+    """One row in five is drawn, and no more than about forty slices may be made."""
+    monkeypatch.setattr(ordered, "SAMPLES", 100)
+    rows = [("a", n * n, n) for n in range(20_000)]
+    held = slices(spark, monkeypatch, rows, ["t"], hot=2_000)
+    assert max(held.values()) <= 1_000 and 30 <= len(held) <= 50
+    monkeypatch.setattr(ordered, "MOST_SLICES", 10)
+    held = slices(spark, monkeypatch, rows, ["t"], hot=2_000)
+    assert max(held.values()) <= 4_000 and 8 <= len(held) <= 13
+
+
+def test_hot_groups_with_outliers_and_bursts(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    rows = [("a", 7 if n % 2 else n, n, n % 11) for n in range(1_500)] + [("a", 10**12, 0, 5)]
+    rows += [(None, n * n, n, n % 7) for n in range(700)] + [(f"k{n % 9}", n, n, n) for n in range(400)]
+    df = spark.createDataFrame(rows, "key string, t bigint, tie bigint, v bigint")
+    w = Window.partitionBy("key").orderBy("t", "tie")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    same(ordered.previous(df, {"p": "v"}, ["key"], ["t", "tie"]), df.withColumn("p", F.lag("v").over(w)))
+    same(
+        ordered.running_sum(df, "s", F.col("v"), ["key"], ["t", "tie"]),
+        df.withColumn("s", F.sum("v").over(upto)),
+    )
+    down = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("tie"))
+    some = df.withColumn("x", F.when(F.col("v") > 5, F.col("v")))
+    same(
+        ordered.carry_forward(some, {"f": "x"}, ["key"], ["t", "tie"], descending=True),
+        some.withColumn("f", F.last("x", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))),
+    )
+
+
+def test_a_hot_key_evaluates_the_input_twice(spark, monkeypatch):
+    """Once for the count, once for the rows: whatever was computed before is not repeated."""
+    from partlog.operators import audit
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("a" if n % 3 else f"k{n % 5}", n, n) for n in range(900)]
+    df = spark.createDataFrame(rows, "key string, arrival bigint, sequence bigint")
+    df = df.mapInArrow(counted, df.schema)
+    found = audit.ordering_audit(df, scope=("key",))
+    assert found.count() == 900
+    assert seen.value <= 2 * 900
+    seen.value = 0
+    assert audit.sequence_runs(df).count() > 0
+    assert seen.value <= 2 * 900

@@ -1,7 +1,6 @@
 """Restarts, repeated batches, time-outs."""
 
 import random
-import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,9 +8,10 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from partlog.operators import audit, replay, reports, spacing
+from partlog.plans import ordered, state_table
 from partlog.plans.scratch import scratch_path
 from partlog.sources import log
-from partlog.streaming import jobs, stateful
+from partlog.streaming import jobs
 
 
 def test_replay_after_a_failed_batch(spark, small, monkeypatch):
@@ -127,26 +127,88 @@ def test_dedup_stream_does_not_depend_on_batches(spark, batches):
 
 
 def test_state_expires(spark):
-    source, out, ckpt = (scratch_path(spark, n) for n in ("src", "out", "ckpt"))
+    """Accounts idle for ten seconds by a clock that the test sets."""
+    source, out, state, ckpt = (scratch_path(spark, n) for n in ("src", "out", "state", "ckpt"))
     schema = "key string, arrival bigint, sequence bigint"
-    put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-
-    def once():
-        s = stateful.sequence_state_stream(log.read_log_stream(spark, source, schema=schema), "1 second")
-        jobs.update_stream(s, out, ckpt, {"once": True}).awaitTermination()
 
-    put([("a", 2, 7), ("a", 1, 9), ("b", 1, 1)])
-    once()
-    time.sleep(1.5)
-    put([("c", 1, 5)])
-    once()
-    got = {(r.key, r.sequence, r.expired) for r in jobs.read_batches(spark, out).collect()}
-    assert got == {("a", 7, False), ("b", 1, False), ("c", 5, False), ("a", 7, True), ("b", 1, True)}
+    def once(second, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = log.read_log_stream(spark, source, schema=schema)
+        clock = lambda: F.lit(second * 1_000_000)
+        jobs.account_stream(stream, out, state, ckpt, "10 seconds", clock=clock).awaitTermination()
+
+    once(0, [("a", 2, 7), ("a", 1, 9), ("b", 1, 1), (None, 1, 4)])
+    once(8, [("b", 5, 4)])
+    once(12, [("c", 1, 5), (None, 2, 8)])
+    once(17, [("a", 3, 20)])
+    once(30, [("d", 1, 1)])
+    got = {
+        (r.batch_id, r.key, r.sequence, r.gaps, r.gap_total, r.violations, r.expired)
+        for r in jobs.read_batches(spark, out).collect()
+    }
+    assert got == {
+        (0, "a", 7, 0, 0, 1, False),
+        (0, "b", 1, 0, 0, 0, False),
+        (0, None, 4, 0, 0, 0, False),
+        (1, "b", 4, 1, 2, 0, False),
+        (2, "c", 5, 0, 0, 0, False),
+        # What comes back after its time starts anew.
+        (2, None, 8, 0, 0, 0, False),
+        (2, None, 4, 0, 0, 0, True),
+        (2, "a", 7, 0, 0, 1, True),
+        (3, "a", 20, 0, 0, 0, False),
+        (4, "d", 1, 0, 0, 0, False),
+        (4, "a", 20, 0, 0, 0, True),
+        (4, "b", 4, 1, 2, 0, True),
+        (4, "c", 5, 0, 0, 0, True),
+        (4, None, 8, 0, 0, 0, True),
+    }
+
+
+def arrivals(spark, batches, schema):
+    """900 rows of which a third have one key, written in ``batches`` files by arrival."""
+    rng = random.Random(9)
+    rows = [
+        ("s1" if n % 4 else "s2", "x" * (n % 9), "hot" if n % 3 else f"k{n % 7}", n, rng.randrange(60), n % 2)
+        for n in range(900)
+    ]
+    source = scratch_path(spark, "src")
+    for k in range(batches):
+        part = [r for r in rows if r[3] * batches // len(rows) == k]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(f"{source}/part={k}")
+    return rows, source
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_accounts_and_audit_do_not_depend_on_batches(spark, batches, monkeypatch):
+    """A hot key is summed up in slices, and only segments meet the state."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", 40)
+    monkeypatch.setattr(state_table, "FAN_IN", 3)
+    schema = "stream string, data string, key string, arrival bigint, sequence bigint, partition int"
+    rows, source = arrivals(spark, batches, schema)
+    df = spark.createDataFrame(rows, schema)
+    out, state, audited, last, ckpt, ckpt2 = (scratch_path(spark, n) for n in ("o", "s", "a", "l", "c", "c2"))
+    for k in range(batches):
+        # Each start takes up one folder more, as a restarted job does.
+        stream = log.read_log_stream(spark, f"{source}/part={{{','.join(map(str, range(k + 1)))}}}", schema=schema)
+        jobs.status_stream(stream, out, state, ckpt).awaitTermination()
+        jobs.audit_batches(stream, audited, last, ckpt2, scope=("key",)).awaitTermination()
+    want = {tuple(r) for r in audit.account_sequences(df).collect()}
+    got = jobs.latest_accounts(spark, state)
+    assert {tuple(r) for r in got.select("key", "sequence", "partition", "gaps", "gap_total").collect()} == want
+    audit_rows = audit.ordering_audit(df, scope=("key",))
+    violations = audit_rows.groupBy("key").agg(F.count_if(F.col("status") == "violation").alias("n")).collect()
+    assert {(r.key, r.violations) for r in got.collect()} == {(r.key, r.n) for r in violations}
+    totals = {tuple(r) for r in jobs.latest_status(spark, state).collect()}
+    assert totals == {tuple(r) for r in reports.stream_info(df).collect()}
+    found = jobs.read_batches(spark, audited).select(*audit_rows.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, audit_rows.collect()), key=str)
 
 
 def test_lag_windows_keep_late_samples_and_the_end(spark):
     """Micro-batches in any order of time, the last one hours late."""
-    source, out, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "ckpt"))
+    source, out, state, ckpt = (scratch_path(spark, n) for n in ("samples", "windows", "state", "ckpt"))
     schema = "stream string, partition bigint, sample_seq bigint, ts timestamp, partition_count bigint, pending bigint, ack_pending bigint"
     rng = random.Random(6)
     at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
@@ -155,7 +217,11 @@ def test_lag_windows_keep_late_samples_and_the_end(spark):
     for part in (rows[:100], rows[100:200], rows[200:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = log.read_log_stream(spark, source, max_files=1, schema=schema)
-        jobs.lag_stream(stream, out, ckpt).awaitTermination()
+        jobs.lag_stream(stream, out, state, ckpt).awaitTermination()
     want = reports.lag_windows(spark.createDataFrame(rows, schema)).collect()
-    assert sorted(jobs.latest_lag_windows(spark, out).collect()) == sorted(want)
+    assert sorted(jobs.latest_lag_windows(spark, state).collect()) == sorted(want)
+    # The last update of each window is the window.
+    updates = jobs.read_batches(spark, out).collect()
+    last = {(r.stream, r.window_start): tuple(r)[:-1] for r in sorted(updates, key=lambda r: r.batch_id)}
+    assert set(last.values()) == {tuple(r) for r in want}
     assert len(want) > 100
