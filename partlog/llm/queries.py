@@ -22,6 +22,7 @@ from partlog.llm import (
     whitening,
 )
 from partlog.llm.common import table, written
+from partlog.llm.sql import SQL
 from partlog.plans.scratch import scratch_path
 
 
@@ -134,4 +135,4 @@ QUERIES = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
