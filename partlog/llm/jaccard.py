@@ -50,12 +50,13 @@ from pyspark.sql import functions as F
 from partlog.llm.common import batch_bytes, written
 from partlog.llm.components import components
 from partlog.llm.words import Words, chunks, mix, runs
-from partlog.plans.bounds import BROADCAST_ROWS, at_most
+from partlog.plans import bloom
 
 SHINGLE = 5
 SIMILAR, OF = 75, 100
 HOT = 64
 MOST_HOT = 1_000_000
+MOST_MARKS = 1 << 27  # bits that say which texts are needed: 16 MB
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 PIVOTS = (1, 16)  # of each group, in the rounds before the last
@@ -63,7 +64,7 @@ DELETION_SIZE = 6  # up to here sets differ in at most one shingle from smaller
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_HIGH, _COARSE = np.uint64(32), np.uint64(24)
+_HIGH = np.uint64(32)
 
 SETS = "doc string, text_key bigint, n bigint, class bigint"
 PACKED = "bucket int, packed binary"
@@ -182,19 +183,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _representatives(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Texts of one document per class; empty sets have none."""
+    """Texts of one document per class; empty sets have none.
+
+    A bounded filter of the copies tells most documents at once that they are none, so their
+    texts stay where they are; only those that may be copies are joined.
+    """
     first = sets.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "text_key")).alias("f"))
     copies = written(
         sets.join(first, "class", "left")
         .where(F.col("f").isNull() | (F.struct("doc", "text_key") != F.col("f")))
-        .select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"))
+        .select("doc", "text_key")
         .distinct(),
         "jaccard-copies",
     )
-    few = at_most(copies, BROADCAST_ROWS)
+    maybe, never = bloom.split(_keyed(docs), copies, ["doc", "text_key"])
+    named = copies.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
-    left = _keyed(docs).join(F.broadcast(copies) if few else copies, same, "left_anti").select("text")
-    return left if few else written(left, "jaccard-texts")
+    rest = written(maybe.join(named, same, "left_anti").select("text"), "jaccard-texts")
+    return never.select("text").unionByName(rest)
 
 
 def _index(s: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray, int]]:
@@ -247,19 +253,25 @@ def _by_bucket(sig: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int,
             yield b, slice(cuts[b], cuts[b + 1])
 
 
-def _hot_signatures(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Coarse values of signatures of more than ``HOT`` sets, at most ``MOST_HOT``."""
+def _bits(size: int, spare: int) -> int:
+    """Bits of a signature that tell about ``size`` / 8 of them apart, with some to spare."""
+    return min(64, max(32, (size // 8).bit_length() + spare))
+
+
+def _hot_signatures(texts: DataFrame, buckets: int, bits: int) -> np.ndarray:
+    """The first ``bits`` of signatures of more than ``HOT`` sets, at most ``MOST_HOT``."""
+    shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
             sigs = [
-                sig >> _COARSE
+                sig >> shift
                 for s in shingle_sets([r[-1] for r in part])
                 for band, _, sig, _ in _index(s)
                 if band >= 0
             ]
             sig = np.sort(np.concatenate(sigs)) if sigs else np.zeros(0, np.uint64)
-            rows = [(b, _press([sig[at]])) for b, at in _by_bucket(sig, buckets, 40)]
+            rows = [(b, _press([sig[at]])) for b, at in _by_bucket(sig, buckets, bits)]
             yield pd.DataFrame(rows, columns=["bucket", "packed"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,8 +315,12 @@ def _known(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == values
 
 
-def _chosen(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Chosen signatures, packed by bucket; bucket -1 lists sets with too few cheap ones."""
+def _chosen(texts: DataFrame, hot: np.ndarray, hot_bits: int, buckets: int, bits: int) -> DataFrame:
+    """Chosen signatures, their first ``bits``, packed by bucket.
+
+    Sets with too few cheap ones are listed apart, in buckets from -1 down.
+    """
+    shift, rest = np.uint64(64 - hot_bits), np.uint64(64 - bits)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
@@ -317,7 +333,7 @@ def _chosen(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 sizes.append(len(s))
                 for band, home, sig, differ in _index(s):
                     if band >= 0:
-                        sig = sig[~_known(sig >> _COARSE, hot)]
+                        sig = sig[~_known(sig >> shift, hot)]
                         few = few or len(sig) <= differ
                         if len(sig) > differ + 1:
                             sig = np.partition(sig, differ)[: differ + 1]
@@ -330,12 +346,16 @@ def _chosen(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             names = np.array(names, dtype=np.int64)
             sizes = np.array(sizes, dtype=np.int64)
             if short:
-                rows.append((-1, _press([np.sort(names[short])])))
+                listed = np.sort(names[short])
+                dealt = listed.view(np.uint64) % np.uint64(buckets)
+                for b in np.unique(dealt):
+                    rows.append((-1 - int(b), _press([listed[dealt == b]])))
             if sigs:
                 sig, ref, home = map(np.concatenate, (sigs, refs, homes))
+                sig = sig >> rest
                 order = np.argsort(sig)
                 sig, ref, home = sig[order], ref[order], home[order]
-                for b, at in _by_bucket(sig, buckets, 64):
+                for b, at in _by_bucket(sig, buckets, bits):
                     used, index = np.unique(ref[at], return_inverse=True)
                     columns = [sig[at], index.astype("<u4"), home[at], names[used], sizes[used]]
                     rows.append((b, _press(columns)))
@@ -344,7 +364,7 @@ def _chosen(texts: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return texts.mapInPandas(send, PACKED)
 
 
-MEMBERS = "grp bigint, class bigint, n bigint, home boolean"
+MEMBERS = "grp bigint, class bigint, n bigint, home boolean, rank int"
 
 
 def _groups(held: list[bytes]) -> pd.DataFrame:
@@ -361,7 +381,7 @@ def _groups(held: list[bytes]) -> pd.DataFrame:
     many = same | np.append(False, same[:-1])
     sig, name, size, home = sig[many], name[many], size[many], home[many]
     if not len(sig):
-        return pd.DataFrame({"grp": [], "class": [], "n": [], "home": []})
+        return pd.DataFrame({"grp": [], "class": [], "n": [], "home": [], "rank": []})
     order = np.lexsort((home, name, sig))
     sig, name, size, home = sig[order], name[order], size[order], home[order]
     once = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]) | (home[1:] != home[:-1]))
@@ -382,6 +402,7 @@ def _groups(held: list[bytes]) -> pd.DataFrame:
             "class": name[rows],
             "n": size[rows],
             "home": home[rows].astype(bool),
+            "rank": np.int32(1),
         }
     )
 
@@ -389,24 +410,26 @@ def _groups(held: list[bytes]) -> pd.DataFrame:
 def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
     """Members of groups in which all linked sets meet: columns as in ``MEMBERS``."""
     buckets = max(1, min(size // BUCKET_BYTES, 20_000))
-    hot = _hot_signatures(texts, buckets)
+    hot_bits, bits = _bits(size, 6), _bits(size, 16)
+    hot = _hot_signatures(texts, buckets, hot_bits)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def listed() -> Iterator[pd.DataFrame]:
             for batch in batches:
-                alone = batch["bucket"].to_numpy() == -1
-                for packed in batch["packed"][alone]:
+                apart = batch["bucket"].to_numpy() < 0
+                for packed in batch["packed"][apart]:
                     short.append(_unpress(packed, ["<i8"])[0])
-                yield batch[~alone]
+                yield batch[~apart]
 
+        # The names of this task's share: buckets hold them by their hash.
         short: list[np.ndarray] = []
         for held in _buckets(listed()):
             yield _groups(held)
         for names in short:
-            yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True})
+            yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True, "rank": 0})
 
     met = written(
-        _chosen(texts, hot, buckets)
+        _chosen(texts, hot, hot_bits, buckets, bits)
         .repartition(buckets + 1, "bucket")
         .sortWithinPartitions("bucket")
         .mapInPandas(meet, MEMBERS),
@@ -420,7 +443,11 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
-    """Groups of short sets by single shingles, the rarest of each set."""
+    """Groups of short sets by single shingles, the rarest of each set.
+
+    ``rank`` is the shingle's place among its set's, rarest first.  The first shingle that two
+    sets share comes after all that they do not, so it bounds what they share: see ``_pairs``.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
@@ -447,36 +474,64 @@ def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
         each.join(counts, "grp")
         .withColumn("rank", F.row_number().over(rarest))
         .where((F.col("rank") <= F.floor(F.col("n") / 4) + 1) & (F.col("sets") > 1))
-        .select("grp", "class", "n", F.lit(True).alias("home"))
+        .select("grp", "class", "n", F.lit(True).alias("home"), F.col("rank").cast("int").alias("rank"))
     )
 
 
+def _marks(classes: DataFrame) -> np.ndarray:
+    """A bit set in which two bits of each class are set, of at most ``MOST_MARKS`` bits."""
+    size = min(MOST_MARKS, 1 << max(15, (16 * classes.count()).bit_length()))
+    last = F.lit(size - 1)
+    places = F.array(F.col("class").bitwiseAND(last), F.shiftrightunsigned("class", 32).bitwiseAND(last))
+    at = classes.select(F.explode(places).alias("at"))
+    page = F.shiftright("at", 15).alias("page")
+    made = at.groupBy(page).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(0x7FFF)).alias("bits"))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for row in made.toLocalIterator():  # at most MOST_MARKS / 32,768 pages of 4 kB
+        out[row["page"] * 4096 : row["page"] * 4096 + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def _marked(names: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of ``names`` may be among the classes that set ``marks``."""
+    last = np.uint64(8 * len(marks) - 1)
+    names = names.view(np.uint64)
+    found = np.ones(len(names), dtype=bool)
+    for at in (names & last, (names >> _HIGH) & last):
+        found &= (marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """The given classes: class, n, bits, text."""
+    """The given classes, and few others: class, n, bits, text.
+
+    A bounded bit set, sent to all tasks, tells which texts are needed, so none is shuffled.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(classes))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
             sets = shingle_sets([r[-1] for r in part])
+            names = np.array([set_name(s) if len(s) else 0 for s in sets], dtype=np.int64)
+            kept = np.flatnonzero(_marked(names, shared.value))
+            if not len(kept):
+                continue
             yield pd.DataFrame(
                 {
-                    "class": [set_name(s) if len(s) else 0 for s in sets],
-                    "n": [len(s) for s in sets],
-                    "bits": [bitmap(s) for s in sets],
-                    "text": [r[-1].decode("utf-8", "surrogatepass") for r in part],
+                    "class": names[kept],
+                    "n": [len(sets[k]) for k in kept],
+                    "bits": [bitmap(sets[k]) for k in kept],
+                    "text": [part[k][-1].decode("utf-8", "surrogatepass") for k in kept],
                 }
             )
 
-    named = texts.mapInPandas(name, "class bigint, n bigint, bits binary, text string")
-    wanted = F.broadcast(classes) if at_most(classes, BROADCAST_ROWS) else classes
-    return named.join(wanted, "class", "left_semi")
+    return texts.mapInPandas(name, "class bigint, n bigint, bits binary, text string").where("n > 0")
 
 
 def _needed(held: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those classes that ``pairs`` name, so that the joins shuffle no others."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ends = written(ends, "jaccard-ends")
-    few = F.broadcast(ends) if at_most(ends, BROADCAST_ROWS) else ends
-    return held.join(few, "class", "left_semi")
+    return bloom.split(held, written(ends, "jaccard-ends"), ["class"])[0]
 
 
 def _likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -528,16 +583,19 @@ def _apart(members: DataFrame, names: DataFrame) -> DataFrame:
 def _pairs(apart: DataFrame, pivots: int | None) -> DataFrame:
     """Pairs (a, b) of members that are still apart: with some pivots per group, or all."""
     if pivots is None:
-        first = apart.select("grp", "class", "n", "home", "component")
+        first = apart.select("grp", "class", "n", "home", "rank", "component")
     else:
-        member = F.struct("class", "n", "home", "component")
+        member = F.struct("class", "n", "home", "rank", "component")
         best = [F.min_by(member, F.xxhash64("class", F.lit(pivots + k))) for k in range(pivots)]
         chosen = apart.groupBy("grp").agg(F.array_distinct(F.array(*best)).alias("p"))
         first = chosen.select("grp", F.explode("p").alias("p")).select("grp", "p.*")
-    first = first.select("grp", *[F.col(c).alias(f"_{c}") for c in ("class", "n", "home", "component")])
+    first = first.select("grp", *[F.col(c).alias(f"_{c}") for c in ("class", "n", "home", "rank", "component")])
     low, high = F.least("n", "_n"), F.greatest("n", "_n")
+    # What two sets may share from the shingle of this group on, if they share none before it.
+    shared = F.least(F.col("n") - F.col("rank"), F.col("_n") - F.col("_rank")) + 1
     fits = (
-        (F.col("component") != F.col("_component"))
+        ((SIMILAR + OF) * shared >= SIMILAR * (F.col("n") + F.col("_n")))
+        & (F.col("component") != F.col("_component"))
         & (F.col("home") | F.col("_home"))
         & (OF * low >= SIMILAR * high)
     )
@@ -560,7 +618,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if wanted.isEmpty():
         return sets, None
     held = written(_texts_of(texts, wanted), "jaccard-candidates")
-    columns = ("grp", "class", "n", "home")
+    columns = ("grp", "class", "n", "home", "rank")
     names, links, tested = None, None, None
     for pivots in [*PIVOTS, None]:
         if names is None:
@@ -626,17 +684,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     member = F.struct("doc", "text_key", "copies")
     first = found.groupBy("component").agg(F.min_by(member, order).alias("f")).select("f.*")
     first = written(first, "jaccard-first")
-    rest = F.col("doc").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    names = (F.col("doc").alias("_id"), F.col("text_key").alias("_key"))
-    gone = found.join(first.select(*names), rest, "left_anti").select(*names)
-    gone = written(gone, "jaccard-gone")
+    on = ["_doc", "_text_key"]
+    names = (F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    given = found.select(*names, "copies")
+    stay = first.select(*names)
+    pair = F.struct(*on).alias("_pair")  # finds null ids too
+    gone = given.withColumn("_pair", F.struct(*on)).join(stay.select(pair), "_pair", "left_anti")
+    gone = written(gone.select(*on), "jaccard-gone")
     again = written(first.where("copies > 1").select(*names), "jaccard-again")
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
 
-    def of(given: DataFrame, named: DataFrame, how: str) -> DataFrame:
-        """Rows of ``given`` with, or without, an id and text of ``named``."""
-        few = F.broadcast(named) if at_most(named, BROADCAST_ROWS) else named
-        return given.join(few, same, how)
+    def of(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        """Rows with, or without, an id and text of ``named``; the others stay in place."""
+        maybe, never = bloom.split(rows, named, on)
+        met = maybe.withColumn("_pair", F.struct(*on)).join(named.select(pair), "_pair", how).select(*rows.columns)
+        return met if how == "left_semi" else never.unionByName(met)
 
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.withColumn("_doc", F.col("doc_id").cast("string")).withColumn("_text_key", text_key)
