@@ -3,7 +3,7 @@
 ``format_conversations`` turns conversations (rows by turn) into training windows.  Running
 sums of the turns' tokens choose spans that begin and end at turns.  Every window repeats
 the leading system turns; every window but the first also repeats the last turns before it,
-as far as they fit into a history budget.  Repeated turns and all but the assistants' texts
+as far as they fit into a history budget and leave room for the next turn.  Repeated turns and all but the assistants' texts
 stay outside the loss mask, so each assistant text is learned once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  In roles and texts a backslash becomes
@@ -15,8 +15,9 @@ them with one window in memory, so a conversation of any length needs bounded me
 
 Defined results: a null text or role is an empty one; rows without a conversation id form
 one conversation of their own; several rows with one turn number, repeated rows too, are
-turns of their own, ordered by role and text; a turn longer than the budget makes a window
-of its own and is never cut; further columns are ignored; an empty table gives no windows.
+turns of their own, ordered by role and text; a turn that is longer than the budget, or than
+what the system turns leave of it, makes a window of its own and is never cut; system turns
+that are longer than the budget are not repeated; further columns are ignored; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -81,6 +82,9 @@ class _Conversation:
         done = []
         if self.fresh and self.used + turn[2] > self.budget:
             done.append(self.close())
+        if not self.fresh:  # history gives way to a turn that needs its room
+            while self.history and self.used + turn[2] > self.budget:
+                self.used -= self.history.pop(0)[2]
         self.fresh.append(turn)
         self.used += turn[2]
         return done
@@ -91,6 +95,8 @@ class _Conversation:
         if not self.number:
             self.system = list(takewhile(lambda t: t[0] == "system", self.fresh))
             kept = kept[len(self.system) :]
+            if sum(t[2] for t in self.system) > self.budget:
+                self.system = []  # nothing would fit beside it
         sums, total = [], 0
         for turn in reversed(kept):
             total += turn[2]

@@ -35,8 +35,9 @@ def batch_bytes(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def tasks_for(df: DataFrame, rows_per_task: int, least: int | None = None) -> int:
-    """Number of tasks so that each gets about ``rows_per_task`` rows."""
-    spark = df.sparkSession
-    least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-df.count() // rows_per_task))
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

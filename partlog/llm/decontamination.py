@@ -13,10 +13,11 @@ The benchmark is the stated query set and goes over all documents in blocks of a
 about ``BLOCK_WORDS`` words, so what a task holds does not grow with it.  Documents are never
 shuffled: a block's seeds travel with the tasks, and every text is read where it lies.
 
-Defined results: null and empty texts share nothing; items shorter than a seed cannot be
-found and are left out; an item that is longer than a block is a block of its own; repeated
+Defined results: null and empty texts share nothing; an item shorter than a seed is found in
+documents that consist of its words; an item without words is found nowhere; an item that is longer than a block is a block of its own; repeated
 rows are judged alike, each for itself; null ids stay; further columns are ignored by
-``tiles`` and kept by ``decontaminate``; empty tables give no tiles.
+``tiles``, kept by ``decontaminate`` whatever their names, and by ``judged`` unless they are
+named like the columns that it adds; empty tables give no tiles.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ SEED_WORDS = 5
 THRESHOLD = 0.5
 BLOCK_WORDS = 200_000
 CHUNK_BYTES = 4 << 20
+PRODUCT = 1 << 20  # pairs of equal seeds that are looked at together
 
 TILES = (
     "doc_id bigint, text_key bigint, item_id bigint, item_words int, covered int,"
@@ -99,6 +101,35 @@ def tile(item: list, doc: list, pairs: list[tuple[int, int]], least: int) -> lis
     return out
 
 
+def _starts(block: _Block, at, low, high, of, first) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Per (document, item) where equal runs of seeds start, as (item word, document word).
+
+    Seeds that go on from one another along a diagonal are one run, so a text that repeats a
+    word gives as many starts as it has words and not their product.
+    """
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    ends = np.cumsum(high - low)
+    done = 0
+    while done < len(at):
+        # A document's seeds stay together; documents with few are taken many at a time.
+        more = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PRODUCT, "right")), done + 1)
+        last = int(np.searchsorted(of[at], of[at[more - 1]], "right"))
+        n = high[done:last] - low[done:last]
+        place = np.repeat(at[done:last], n)
+        seed = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[done:last], n)
+        item, i = block.item[seed], block.at[seed]
+        doc = of[place]
+        j = place - first[doc]
+        order = np.lexsort((i, j - i, item, doc))
+        doc, item, i, j = doc[order], item[order], i[order], j[order]
+        follows = (np.diff(i) == 1) & (np.diff(j) == 1) & (np.diff(item) == 0) & (np.diff(doc) == 0)
+        new = np.append(True, ~follows)
+        for d, m, x, y in zip(doc[new].tolist(), item[new].tolist(), i[new].tolist(), j[new].tolist()):
+            out.setdefault((d, m), []).append((x, y))
+        done = last
+    return out
+
+
 class _Block:
     """Seeds of some benchmark items, sorted by hash."""
 
@@ -106,6 +137,11 @@ class _Block:
         self.ids = [i for i, _ in items]
         words = Words([fold(t) for _, t in items])
         self.words = [w.split() for w in (fold(t) for _, t in items)]
+        # Items without a seed, by their words.
+        self.short: dict[bytes, list[int]] = {}
+        for n, found in enumerate(self.words):
+            if 0 < len(found) < k:
+                self.short.setdefault(b" ".join(found), []).append(n)
         h, of = runs(words.hashes(), k), words.of_text()
         within = np.arange(len(h)) - words.first[of[: len(h)]]
         inside = of[: len(h)] == of[k - 1 :] if len(h) else np.zeros(0, dtype=bool)
@@ -169,14 +205,12 @@ def tiles(
                     at, low, high = block.hits(h)
                     inside = of[at] == of[at + k - 1]
                     at, low, high = at[inside], low[inside], high[inside]
-                    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                    for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-                        d = int(of[p])
-                        for s in range(a, b):
-                            key = (d, int(block.item[s]))
-                            pairs.setdefault(key, []).append(
-                                (int(block.at[s]), p - int(words.first[d]))
-                            )
+                    for d in np.flatnonzero(np.diff(words.first) < k) if block.short else ():
+                        whole = b" ".join(part[d][2].split())
+                        for i in block.short.get(whole, ()):
+                            n = len(block.words[i])
+                            found.append((*part[d][:2], block.ids[i], n, n, n, 1, 1.0))
+                    pairs = _starts(block, at, low, high, of, words.first)
                     split: dict[int, list[bytes]] = {}
                     for (d, i), starts in pairs.items():
                         if d not in split:
@@ -200,6 +234,7 @@ def tiles(
                 yield pd.DataFrame(found, columns=names)
 
         part = given.mapInPandas(rows, TILES.replace("doc_id bigint", "doc_id string", 1))
+        part = written(part, "tiles")  # a block at a time is on the driver and in the tasks
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], TILES)
@@ -228,22 +263,29 @@ def verdicts(
 
 def judged(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``contaminated``, the best covered item, its coverage and ``n_items``."""
-    found = written(verdicts(docs, benchmark, threshold), "leaks")
-    found = found.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    if at_most(found, BROADCAST_ROWS):
-        found = F.broadcast(found)
     names = ("contaminated", "item_id", "coverage", "n_items")
     given = docs.select(*[c for c in docs.columns if c not in names])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key(F.col("text")) == F.col("_key"))
+    found, same = _leaks(given, benchmark, threshold)
     return given.join(found, same, "left").select(
-        *given.columns,
-        F.col("_key").isNotNull().alias("contaminated"),
-        "item_id",
-        F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        *[given[c] for c in given.columns],
+        found["_leak"].isNotNull().alias("contaminated"),
+        found["item_id"],
+        F.coalesce(found["coverage"], F.lit(0.0)).alias("coverage"),
+        F.coalesce(found["n_items"], F.lit(0)).alias("n_items"),
     )
 
 
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[DataFrame, Column]:
+    """(verdicts, the condition that joins them to ``docs``)."""
+    found = written(verdicts(docs, benchmark, threshold), "leaks")
+    found = found.withColumnsRenamed({"doc_id": "_doc", "text_key": "_leak"})
+    if at_most(found, BROADCAST_ROWS):
+        found = F.broadcast(found)
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (text_key(docs["text"]) == found["_leak"])
+    return found, same
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return judged(docs, benchmark, threshold).where("not contaminated").select(*docs.columns)
+    found, same = _leaks(docs, benchmark, threshold)
+    return docs.join(found, same, "left_anti")

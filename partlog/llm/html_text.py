@@ -70,6 +70,9 @@ _MARKUP = re.compile(
     r"|=\s*+'[^']*+'|=)*+)>",
     re.DOTALL,
 )
+_NAME = re.compile(r"</?[a-zA-Z]")
+# Searched in the page itself: lower case may have another length.
+_RAW_ENDS = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 LENGTHS = (12, 30, 80)
@@ -110,62 +113,80 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack = [tree.add(-1, "html")]
     pieces, tags, at, size = tree.pieces, tree.tag, 0, len(page)
-    lowered = None
+    # Depths at which each name is open, and those of blocks, of all and of all but <p>.
+    opened: dict[str, list[int]] = {}
+    blocks, walls = [0], [0]
 
     def put(raw: str) -> None:
         if "&" in raw:
             raw = _html.unescape(raw)
         pieces.append(tree.add(stack[-1], "", "", raw))
 
+    def push(node: int) -> None:
+        tag, depth = tags[node], len(stack)
+        opened.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            blocks.append(depth)
+            if tag != "p":
+                walls.append(depth)
+        stack.append(node)
+
     def pop_to(depth: int) -> None:
-        if any(tags[n] in BLOCK for n in stack[depth:]):
+        if blocks[-1] >= depth:
             pieces.append(BREAK)
+        for node in stack[depth:]:
+            opened[tags[node]].pop()
+        for found in (blocks, walls):
+            while found[-1] >= depth:
+                found.pop()
         del stack[depth:]
 
-    def open_depth(names: set[str], until: set[str]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[depth]]
-            if tag in names:
-                return depth
-            if tag in until:
-                return 0
-        return 0
+    def deepest(names: Iterable[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def open_depth(names: set[str], wall: int) -> int:
+        """Depth of the last open one of ``names`` that is not above the wall."""
+        depth = deepest(names)
+        return depth if depth >= wall else 0
 
+    start = 0  # where to look for the next sign
     while at < size:
-        found = _MARKUP.search(page, at)
+        sign = page.find("<", start)
+        found = _MARKUP.match(page, sign) if sign >= 0 else None
         if found is None:
-            put(page[at:])
+            if sign >= 0 and not _NAME.match(page, sign):
+                start = sign + 1  # a sign in the text
+                continue
+            put(page[at:])  # no sign, or a tag that never ends
             break
-        if found.start() > at:
-            put(page[at : found.start()])
-        at = found.end()
+        if sign > at:
+            put(page[at:sign])
+        at = start = found.end()
         name = found[2]
         if name is None:
             continue
         name = name.lower()
         if found[1]:
-            if name in BLOCK:
-                depth = open_depth({name}, set())
-            else:
-                depth = open_depth({name}, BLOCK)
+            depth = open_depth({name}, 0 if name in BLOCK else blocks[-1])
             if depth:
                 pop_to(depth)
             elif name in ("p", "br"):
                 pieces.append(BREAK if name == "p" else tree.add(stack[-1], "", "", " "))
             continue
         if name in RAW:
-            lowered = page.lower() if lowered is None else lowered
-            end = lowered.find(f"</{name}", at)
-            at = size if end < 0 else lowered.find(">", end) + 1 or size
+            end = _RAW_ENDS[name].search(page, at)
+            close = page.find(">", end.start()) if end else -1
+            at = start = close + 1 if close >= 0 else size
             continue
         if name in ("html", "body"):
             continue
         if name in P_ENDS:
-            depth = open_depth({"p"}, BLOCK - {"p"})
+            depth = open_depth({"p"}, walls[-1])
             if depth:
                 pop_to(depth)
         if name in CLOSES:
-            depth = open_depth(*CLOSES[name])
+            ended, until = CLOSES[name]
+            depth = open_depth(ended, deepest(until - ended))
             if depth:
                 pop_to(depth)
         if name == "br":
@@ -177,7 +198,7 @@ def parse(page: str) -> Tree:
             continue
         node = tree.add(stack[-1], name, _hint(found[3]))
         if not found[3].endswith("/") or name in BLOCK:
-            stack.append(node)
+            push(node)
     return tree
 
 

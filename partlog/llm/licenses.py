@@ -43,7 +43,7 @@ MAX_TEMPLATE_WORDS = 50_000
 
 # Short notices as they stand in files, and first sentences of public texts.
 # The headers of the GNU licenses share most words: a text that holds one may hold more than
-# the threshold of another; the containment tells which one stands there whole.
+# the threshold of another; ``best`` tells which one stands there.
 TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -154,10 +154,12 @@ def scan(
     templates: Mapping[str, str] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document and template found: doc_id, template, containment, first_word.
+    """One row per document and template found: doc_id, template, containment, first_word, best.
 
     ``templates`` maps names to texts.  ``first_word`` counts the words of the document
-    before the first window that retrieved the template.
+    before the first window that retrieved the template.  ``best`` is false if all that the
+    document has of the template also belongs to one that it holds more of, as when one of
+    the GNU headers is found beside another.
     """
     spark = docs.sparkSession
     rows = sorted((TEMPLATES if templates is None else templates).items())
@@ -220,9 +222,20 @@ def scan(
     # A template may run over several windows: look at all of the document's shingles.
     held = hit.select("row", "doc_id", F.array_distinct("s").alias("s"))
     verified = retrieved.join(F.broadcast(whole), "template").join(held, "row")
-    share = F.size(F.array_intersect("all", "s")) / F.size("all")
-    return (
-        verified.withColumn("containment", share)
-        .where(F.col("containment") >= threshold)
-        .select("doc_id", "template", "containment", "first_word")
+    matched = F.array_intersect("all", "s")
+    verified = verified.withColumn("matched", matched)
+    verified = verified.withColumn("containment", F.size("matched") / F.size("all"))
+    # A document's templates together: at most as many as there are templates.
+    one = F.struct("template", "containment", "first_word", "matched")
+    each = (
+        verified.where(F.col("containment") >= threshold)
+        .groupBy("row", "doc_id")
+        .agg(F.collect_list(one).alias("found"))
     )
+
+    def judged(x: Column) -> Column:
+        inside = lambda o: F.size(F.array_except(x["matched"], o["matched"])) == 0
+        better = F.exists("found", lambda o: (o["containment"] > x["containment"]) & inside(o))
+        return F.struct(*[x[c].alias(c) for c in ("template", "containment", "first_word")], (~better).alias("best"))
+
+    return each.select("doc_id", F.inline(F.transform("found", judged)))

@@ -18,7 +18,11 @@ The sweeps use aggregates and joins, so there may be any number of sources.
 
 Defined results: a null text has no tokens; null source, language or topic is a value of
 its own; cells without tokens are kept whole, as they weigh nothing; repeated rows share
-one draw; an empty table gives no rows.  Columns named like those added are replaced.
+one draw; an empty table gives no rows.  ``mix`` replaces columns named like those it adds;
+``drawn`` keeps all columns as they are.  A value that the ``targets`` of its column do not
+name has a target of nothing, and its documents go.  Targets that no weights can meet, also
+because a cell has too few tokens, are met as far as the sweeps come: ``margin_errors`` says
+how far each one is off.
 """
 
 from __future__ import annotations
@@ -119,6 +123,29 @@ def rake(
     return now
 
 
+def margin_errors(
+    cells: DataFrame,
+    raked: DataFrame,
+    budget: float = BUDGET,
+    targets: Mapping[str, Mapping] | None = None,
+    temper: float = TEMPER,
+) -> DataFrame:
+    """(margin, value, want, have, off): how far the weights of ``rake`` are from each target."""
+    goal = float(cells.agg(F.sum("tokens")).head()[0] or 0) * budget
+    out = None
+    for m in MARGINS:
+        wanted = _targets(cells, m, (targets or {}).get(m), temper)
+        wanted = wanted.select(F.col(m).alias("_key"), (F.col("share") * F.lit(goal)).alias("want"))
+        sums = raked.groupBy(m).agg(F.sum("weight").alias("have"))
+        both = sums.join(wanted, sums[m].eqNullSafe(wanted["_key"]), "full_outer")
+        want, have = (F.coalesce(c, F.lit(0.0)) for c in ("want", "have"))
+        value = F.coalesce(F.col(m), F.col("_key")).cast("string").alias("value")
+        off = F.try_divide(F.abs(have - want), want).alias("off")
+        part = both.select(F.lit(m).alias("margin"), value, want.alias("want"), have.alias("have"), off)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _largest_error(cells: DataFrame, wanted: Mapping[str, DataFrame]) -> float:
     """Largest relative distance of a marginal from its target."""
     errors = None
@@ -176,3 +203,10 @@ def mix(
 ) -> DataFrame:
     """``docs`` with n_tokens, topic, draw, weight, probability and ``kept`` (the draw)."""
     return mix_described(describe(docs, seed), budget, targets, temper)
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """The documents that ``mix`` keeps, with their own columns."""
+    needed = [c for c in ("doc_id", "text", *MARGINS) if c in docs.columns]
+    packed = docs.select(*needed, F.struct("*").alias("_row"))
+    return mix(packed, **options).where("kept").select("_row.*")

@@ -5,25 +5,32 @@ label, and each shard has an exact quota, so that the numbers of documents in tw
 differ by at most one.  Labels start at random.  Documents without partners have no edges:
 they yield all their room and get labels last.
 
+Propagation.  In each round a document takes the label that most of its neighbours have among
+those with room, if more of them have it than have its own, as far as that shard's quota
+goes.  Neighbours are counted by group and label, so a round is a few aggregates and joins
+over those counts, whatever the number of edges.  Every move goes to a larger part of its
+group, so cut edges fall from round to round; rounds end when they fall by less than
+``LEAST_GAIN`` or after ``ROUNDS``.
+
+Settling.  What the rounds leave is made to fit the quotas exactly:
+
 1. Large groups, of more than a ``LARGE``-th of a shard, go first, since cut edges grow with
    the square of a group.  There are at most about ``LARGE`` times as many as shards, so the
    driver places them by their counts, the largest first: whole into the fullest shard that
    can take it, or else filling shards one after the other.
-2. Every other group takes the label that most of its documents have, as far as that shard's
-   room goes.  Groups that find no room are laid along the room that is left in all shards.
-   Those across the border of two shards, fewer than shards, are placed as in step 1.
+2. Every other group takes the label that most of its documents have by now, as far as that
+   shard's room goes.  Groups that find no room are laid along the room that is left in all
+   shards.  Those across the border of two shards, fewer than shards, are placed as in step 1.
 3. Documents without partners are laid along the rest.
 
-A group has one label after its vote, so further rounds would change nothing; groups are cut
-only if no shard had room for what is left of them.  ``cut_edges`` counts.
-
 All steps are joins, aggregates and window functions over a narrow table (row, group,
 shard).  Ranks are taken in pieces: rows are dealt by hash into pieces, a small table holds
 the running totals of the pieces, and windows never cover more than one piece.  Groups are
 counted before they meet, so a group with a third of all rows is one row per shard.
 
 Defined results: a null text is an empty one; null or repeated ids are rows of their own;
-repeated rows are one group; an empty table gives no rows; further columns are kept out.
+repeated rows are one group; an empty table gives no rows; further columns are kept out
+unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -38,6 +45,9 @@ from partlog.llm.common import written
 SHARDS = 40
 LARGE = 8
 PIECE_ROWS = 20_000
+ROUNDS = 8
+LEAST_GAIN = 0.01
+RESULT = ("doc_id", "size", "text_crc32", "shard", "slot", "members")
 
 
 def text_size(text: Column) -> Column:
@@ -79,6 +89,44 @@ def cut_edges(placed: DataFrame, group: str) -> DataFrame:
     return whole.agg(total(edges).alias("edges"), total(cut).alias("cut"))
 
 
+def _cut(counts: DataFrame) -> int:
+    """Edges between documents of one group with different labels, from ``counts``."""
+    parts = counts.groupBy("grp").agg(F.sum("here").alias("n"), F.sum(F.col("here") * F.col("here")).alias("near"))
+    return int(parts.agg(F.sum((F.col("n") * F.col("n") - F.col("near")) / 2)).head()[0] or 0)
+
+
+def propagate(counts: DataFrame, quotas: list[int], pieces: int, rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
+    """(``counts`` after the rounds, cut edges before them and after each one).
+
+    ``counts`` has grp, members, start (a label) and here, the group's documents with it.
+    """
+    spark = counts.sparkSession
+    cuts = [_cut(counts)]
+    while len(cuts) <= rounds and cuts[-1]:
+        held = {r["start"]: r["n"] for r in counts.groupBy("start").agg(F.sum("here").alias("n")).collect()}
+        room = [(label, max(0, q - held.get(label, 0))) for label, q in enumerate(quotas)]
+        rooms = F.broadcast(spark.createDataFrame(room, "start int, room bigint"))
+        # The larger part of a group counts, and of equal ones that with the smaller label.
+        part = F.struct("here", (-F.col("start")).alias("minus"))
+        open_ = counts.join(rooms, "start").where("room > 0")
+        wanted = open_.groupBy("grp").agg(F.max(part).alias("to"), F.max_by("room", part).alias("room"))
+        asks = counts.join(wanted, "grp").where(part < F.col("to"))
+        asks = asks.select("grp", "members", "start", "here", (-F.col("to.minus")).cast("int").alias("label"), "room")
+        order = [F.pmod(F.xxhash64("grp"), F.lit(pieces)), F.col("grp"), F.col("start")]
+        queue = running_total(asks, ["label"], order, F.col("here"), pieces, "ahead")
+        moved = F.least(F.col("here"), F.greatest(F.col("room") - F.col("ahead"), F.lit(0)))
+        moves = written(queue.withColumn("moved", moved).where("moved > 0"), "shard-moves")
+        left = moves.select("grp", "members", "start", (-F.col("moved")).alias("here"))
+        come = moves.select("grp", "members", F.col("label").alias("start"), F.col("moved").alias("here"))
+        both = counts.select("grp", "members", "start", "here").unionByName(left).unionByName(come)
+        new = both.groupBy("grp", "members", "start").agg(F.sum("here").alias("here")).where("here > 0")
+        counts = written(new, "shard-counts")
+        cuts.append(_cut(counts))
+        if cuts[-1] > cuts[-2] * (1 - LEAST_GAIN):
+            break
+    return counts, cuts
+
+
 def _placed(
     groups: list[tuple[str, int]], room: list[int], here: dict[tuple[str, int], int]
 ) -> list[tuple[str, int, int, int]]:
@@ -135,6 +183,7 @@ def _labelled(state: DataFrame, shards: int, rows: int, pieces: int) -> DataFram
         state.where("members > 1").groupBy("grp", "members", "start").agg(F.count("*").alias("here")),
         "shard-counts",
     )
+    counts, _ = propagate(counts, room, pieces)
     large = F.col("members") * LARGE > max(1, rows // shards)
     found = counts.where(large).collect()  # at most 2 * LARGE * shards groups
     here = {(r["grp"], r["start"]): r["here"] for r in found}
@@ -199,9 +248,12 @@ def assign_shards(
     """doc_id, size, text_crc32, shard, slot, members (documents with this text), and ``keep``.
 
     Numbers of documents differ by at most one between shards.  ``slot`` counts a shard's
-    documents from 0 without gaps.  Steps are written to the shared folder as they go.
+    documents from 0 without gaps.  Columns of ``keep`` may have any name; one that is named
+    like a column of the result comes back as ``given_<name>``.  Steps are written to the
+    shared folder as they go.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    held = {f"_keep{n}": c for n, c in enumerate(keep)}
     base = written(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
@@ -209,7 +261,7 @@ def assign_shards(
             text_size(F.col("text")).alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.md5(text).alias("grp"),
-            *[F.col(c) for c in keep],
+            *[docs[c].alias(name) for name, c in held.items()],
         ),
         "shard-base",
     )
@@ -229,4 +281,5 @@ def assign_shards(
         pieces,
         "slot",
     )
-    return ranked.select("doc_id", "size", "text_crc32", "shard", "slot", "members", *keep)
+    named = [F.col(name).alias(f"given_{c}" if c.lower() in RESULT else c) for name, c in held.items()]
+    return ranked.select(*RESULT, *named)
