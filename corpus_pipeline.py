@@ -30,14 +30,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by calibrated probabilities."""
-    return mixing.mix(docs).where("kept").select(*docs.columns)
+    return mixing.drawn(docs)
 
 
 def label_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document goes: shard and slot, with its columns but for the text."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    placed = sharding.assign_shards(docs, keep=keep)
-    return placed.withColumn("law", F.lit("rows"))
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "law"))
+    return sharding.assign_shards(docs, keep=keep).withColumn("law", F.lit("rows"))
 
 
 STAGES = [
