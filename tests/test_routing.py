@@ -204,3 +204,47 @@ def test_every_message_is_routed_or_rejected(spark):
         assert reasons[5] == routing.NO_CONFIG and reasons[20] == routing.BAD_COUNT
     planned = replay.replay_plan(df, config, "S").count()
     assert planned + replay.unplanned_messages(df, config).count() == len(rows)
+
+
+def odd_times(spark):
+    """Messages with a burst at one time and one far away, and a config row for every second."""
+    rows = [(n, f"acct-{n % 9}", 500 if n % 3 == 0 else n) for n in range(1_500)] + [(9_999, "acct-1", 10**7)]
+    df = spark.createDataFrame(rows, "stream_seq bigint, key string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    config = [(k, 5 * k, "buffer" if k % 4 == 0 else "direct", (0, 3, None, 50, 7)[k % 5]) for k in range(1, 250)]
+    log = spark.createDataFrame(config, "revision int, t bigint, mode string, partition_count int")
+    return df.drop("t"), log.withColumn("effective_ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_a_long_config_log_is_merged_in_bounded_slices(spark, monkeypatch):
+    from partlog.plans import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    df, config = odd_times(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    want = [sorted(map(tuple, part.collect()), key=str) for part in routing.split_routes(df, config, "S")]
+    # One task each, so that a limit reads whole batches.
+    once = config.coalesce(1).mapInArrow(counted, config.schema)
+    merged = routing.split_routes(df, once, "S", max_broadcast_rows=10)
+    got = [sorted(map(tuple, part.collect()), key=str) for part in merged]
+    assert got == want and all(want)
+    # Once to see that there are too many, and once to keep them.
+    assert read.value <= 2 * config.count()
+
+
+def test_every_message_is_planned_or_not(spark):
+    df, config = odd_times(spark)
+    planned, unplanned = replay.split_plan(df, config, "S")
+    good, bad = planned.collect(), unplanned.collect()
+    assert len(good) + len(bad) == df.count() and len(good) > 100
+    assert sorted(r.stream_seq for r in [*good, *bad]) == sorted(r.stream_seq for r in df.collect())
+    assert {r.reject_reason for r in bad} == {routing.NO_CONFIG, routing.BAD_COUNT}
+    counts = {r.revision: r.partition_count for r in config.collect()}
+    for r in good:
+        assert counts[r.epoch] in (3, 7) and r.partition == int(r.key[5:]) % counts[r.epoch]
+        assert r.subject == f"S.{r.partition:02d}"
