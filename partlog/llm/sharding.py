@@ -9,8 +9,8 @@ Propagation.  In each round a document takes the label that most of its neighbou
 those with room, if more of them have it than have its own, as far as that shard's quota
 goes.  Neighbours are counted by group and label, so a round is a few aggregates and joins
 over those counts, whatever the number of edges.  Every move goes to a larger part of its
-group, so cut edges fall from round to round; rounds end when they fall by less than
-``LEAST_GAIN`` or after ``ROUNDS``.
+group, so cut edges fall from round to round; rounds end when nothing moves or after
+``ROUNDS``.
 
 Settling.  What the rounds leave is made to fit the quotas exactly:
 
@@ -46,7 +46,6 @@ SHARDS = 40
 LARGE = 8
 PIECE_ROWS = 20_000
 ROUNDS = 8
-LEAST_GAIN = 0.01
 RESULT = ("doc_id", "size", "text_crc32", "shard", "slot", "members")
 
 
@@ -122,7 +121,7 @@ def propagate(counts: DataFrame, quotas: list[int], pieces: int, rounds: int = R
         new = both.groupBy("grp", "members", "start").agg(F.sum("here").alias("here")).where("here > 0")
         counts = written(new, "shard-counts")
         cuts.append(_cut(counts))
-        if cuts[-1] > cuts[-2] * (1 - LEAST_GAIN):
+        if cuts[-1] == cuts[-2]:
             break
     return counts, cuts
 
