@@ -107,8 +107,8 @@ def rake(
         narrow = lambda df: df
     wanted = {m: narrow(df) for m, df in wanted.items()}
     now = narrow(now)
-    for _ in range(-(-sweeps // 2)):
-        for m in MARGINS * 2:  # two sweeps between writes
+    for _ in range(sweeps):
+        for m in MARGINS:  # one sweep between writes: longer plans fill the driver
             sums = now.groupBy(m).agg(F.sum("weight").alias("have"))
             scale = sums.join(wanted[m], sums[m].eqNullSafe(wanted[m]["key"])).select(
                 sums[m].alias("key"), (F.col("want") / F.col("have")).alias("factor")
