@@ -180,15 +180,16 @@ def purges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "subject string, purge_seq bigint")
 
 
-def kv_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kv_state(spark: SparkSession, sf_dir: str, expired: bool = False) -> DataFrame:
     """Sequence reports as the producer and the consumers store them.
 
     Consumers write their counters, but zeros are left out, and those of partition 0 are of an
-    older kind that writes none.  Reports that were not renewed in time have expired.
+    older kind that writes none.  Reports that were not renewed in time have expired; they are
+    there only if ``expired`` is set.
     """
     quoted = lambda name, value: F.when(value > 0, F.concat(F.lit(f',"{name}":'), value.cast("string")))
     text = lambda *parts: F.concat_ws("", *parts, F.lit("}"))
-    since = lambda t: F.col("ts") > F.lit(t).cast("timestamp_ntz")
+    since = lambda t: F.lit(True) if expired else F.col("ts") > F.lit(t).cast("timestamp_ntz")
     sent = (
         published(spark, sf_dir)
         .groupBy("key")

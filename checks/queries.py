@@ -275,17 +275,17 @@ def stream_names(spark, d):
 
 
 def _dotted_state(spark, d):
-    """Stored keys, and the same ones with dots inside the message key or another root."""
-    kv = I.kv_state(spark, d)
+    """All keys ever stored, and the same ones with dots inside the message key or another root."""
+    kv = I.kv_state(spark, d, expired=True)
     dotted = kv.withColumn("kv_key", F.concat("kv_key", F.lit(".eu.west")))
     other = kv.withColumn("kv_key", F.concat(F.lit("x"), "kv_key"))
     return kv.unionByName(dotted).unionByName(other)
 
 
 @query(
-    """SELECT kv_key, source, partition, key FROM state_keys
-    UNION ALL SELECT kv_key || '.eu.west', source, partition, key || '.eu.west' FROM state_keys
-    UNION ALL SELECT 'x' || kv_key, NULL, NULL, NULL FROM state_keys"""
+    """SELECT kv_key, source, partition, key FROM all_state_keys
+    UNION ALL SELECT kv_key || '.eu.west', source, partition, key || '.eu.west' FROM all_state_keys
+    UNION ALL SELECT 'x' || kv_key, NULL, NULL, NULL FROM all_state_keys"""
 )
 def parse_state_key(spark, d):
     return _dotted_state(spark, d).select("kv_key", state.parse_state_key("kv_key").alias("k")).select("kv_key", "k.*")

@@ -166,6 +166,13 @@ SELECT kv_key, value_json,
   coalesce(CAST(value_json->>'$.gap_total' AS BIGINT), 0) AS gap_total,
   coalesce(CAST(value_json->>'$.violations' AS BIGINT), 0) AS violations
 FROM kv_state""",
+    # The same for every report, expired or not.
+    "all_state_keys": """
+SELECT concat('pub.', key) AS kv_key, 'producer' AS source, CAST(NULL AS BIGINT) AS partition, key
+FROM published GROUP BY key
+UNION ALL
+SELECT concat('cons.p', CAST(partition AS VARCHAR), '.', key), 'consumer', partition, key
+FROM delivered GROUP BY key, partition""",
     "consumed": """
 SELECT key, max(sequence) AS sequence, arg_max(partition, (sequence, -partition)) AS partition,
   arg_max(gaps, (sequence, -partition)) AS gaps, arg_max(gap_total, (sequence, -partition)) AS gap_total,
