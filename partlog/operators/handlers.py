@@ -72,12 +72,63 @@ def process_by_piece(
     """Run ``fn`` over pieces of ``piece_rows`` consecutive messages of each key.
 
     For functions that need no state across pieces: a large key is spread over many tasks.
-    The column ``piece`` numbers the pieces of a key from 0.
+    The column ``piece`` numbers the pieces of a key from 0.  A task gets its pieces sorted, many
+    in one batch, and calls ``fn`` once for each; it holds one piece and one batch.
     """
     numbered = ordered.number_rows(df, "_pos", ("key",), (order,), span=span)
-    pieces = numbered.withColumn("piece", F.floor((F.col("_pos") - 1) / piece_rows)).drop("_pos")
+    before = F.col("_pos") - 1
+    pieces = numbered.withColumns({"piece": F.floor(before / piece_rows), "_starts": before % piece_rows == 0})
+    placed = pieces.repartition("key", "piece").sortWithinPartitions("key", "_pos")
+    # A batch with a NULL turns whole columns into floats or objects, also for its other pieces.
+    fields = [f for f in pieces.schema.fields if f.name not in ("_pos", "_starts")]
+    blank = {f.name: f.dataType for f in fields if f.nullable and isinstance(f.dataType, (T.IntegralType, T.BooleanType))}
+    filled = [F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name) if f.name in blank else f.name for f in fields]
+    marks = [F.col(name).isNull().alias(f"_null_{name}") for name in blank]
+    floats = {name: not isinstance(kind, T.BooleanType) for name, kind in blank.items()}
+    return placed.select(*filled, *marks, "_starts").mapInPandas(_by_piece(fn, [f.name for f in fields], floats), schema)
+
+
+def _by_piece(fn: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], floats: dict[str, bool]) -> Handler:
+    """Calls ``fn`` once per piece; a row with ``_starts`` is the first of one.
+
+    ``floats`` names columns that come without their NULLs, which are in ``_null_<name>``; in a
+    piece that has some they are floats with NaN, or else objects with None.
+    """
 
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values(order, ignore_index=True))
+    def result(rows: pd.DataFrame, holes: list[str]) -> pd.DataFrame:
+        piece = (rows[columns] if holes else rows).reset_index(drop=True)
+        for name in holes:
+            missing = rows[f"_null_{name}"].to_numpy()
+            if missing.any():
+                wide = piece[name].astype("float64" if floats[name] else "object")
+                piece[name] = wide.mask(missing, np.nan if floats[name] else None)
+        return fn(piece)
+
+    def joined(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, list[str]]:
+        rows = pd.concat(parts)
+        return (rows, list(floats)) if floats else (rows[columns], [])
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+        rest: list[pd.DataFrame] = []  # the last piece so far, which may go on
+        for batch in batches:
+            starts = np.flatnonzero(batch["_starts"].to_numpy())
+            if not len(starts):
+                rest.append(batch)
+                continue
+            rest.append(batch.iloc[: starts[0]])
+            before = joined(rest)
+            holes = [name for name in floats if batch[f"_null_{name}"].any()]
+            rows = batch if holes else batch[columns]
+            inner = [result(rows.iloc[low:high], holes) for low, high in zip(starts, starts[1:])]
+            yield ([result(*before)] if len(before[0]) else []) + inner
+            rest = [batch.iloc[starts[-1] :]]
+        if rest:
+            yield [result(*joined(rest))]
 
-    return pieces.groupBy("key", "piece").applyInPandas(in_order, schema)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in pieces(batches):
+            # Joined only if that changes no type.
+            for _, same in groupby(found, key=lambda r: [*zip(r.columns, r.dtypes)]):
+                yield pd.concat(same, ignore_index=True)
+
+    return each

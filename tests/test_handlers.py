@@ -43,6 +43,42 @@ def test_a_key_streams_through_one_call(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_pieces_are_whole_whatever_the_batches(spark):
+    """Pieces over several batches, several pieces in one, NULLs beside large integers; few batches to Python."""
+    big = (1 << 60) + 1
+    n = F.col("id")
+    df = spark.range(300).select(
+        n.alias("stream_seq"),
+        F.when(n % 3 > 0, n % 3).alias("key"),
+        F.when(n % 50 != 7, n + big).alias("ts"),
+        F.when(n % 50 != 9, n % 2 == 0).alias("flag"),
+    )
+
+    def summed(rows):
+        kinds = f"{rows['ts'].dtype} {rows['flag'].dtype}"
+        exact = rows["ts"].isna().any() or list(rows["ts"] - big) == list(rows["stream_seq"])
+        listed = ",".join(map(str, rows["stream_seq"]))
+        return rows[["key", "piece"]].head(1).assign(n=len(rows), kinds=kinds, exact=bool(exact), listed=listed)
+
+    for size in (3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            made = handlers.process_by_piece(df, summed, "key bigint, piece bigint, n int, kinds string, exact boolean, listed string", 7)
+            got = {(r.key, r.piece): r for r in made.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+        assert len(got) == 3 * 15
+        for key in (None, 1, 2):
+            rows = [k for k in range(300) if k % 3 == (key or 0)]
+            for piece in range(15):
+                part, r = rows[7 * piece : 7 * piece + 7], got[key, piece]
+                assert r.listed == ",".join(map(str, part)) and r.n == len(part) and r.exact
+                ts = "float64" if any(k % 50 == 7 for k in part) else "int64"
+                flag = "object" if any(k % 50 == 9 for k in part) else "bool"
+                assert r.kinds == f"{ts} {flag}"
+
+
 def test_only_holes_are_expanded(spark):
     expected = spark.createDataFrame([("a", 10), ("b", 3), ("none", 2), ("zero", 0), (None, 4)], "key string, expected bigint")
     rows = [("a", s) for s in (0, 2, 3, 3, 7, 12)] + [("b", 1), ("b", 2), ("b", 3), ("odd", 1), ("zero", 1)]
