@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,24 +110,36 @@ def _field(name: str, type_name: str, default) -> Column:
     return F.coalesce(got, F.lit(default).cast(type_name)).alias(name)
 
 
-def decode_messages(df: DataFrame, raw: str = "data") -> tuple[DataFrame, DataFrame]:
+def decode_messages(
+    df: DataFrame, raw: str = "data", hold: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Split raw JSON rows into decoded messages and rejected rows.
 
     Decoded rows get the message columns in place of ``raw``; absent or null fields
-    are '' or 0.  Rejected rows keep every column and get ``error``.
+    are '' or 0.  Rejected rows keep every column and get ``error``.  Whatever uses either
+    decodes the text again, unless ``hold`` keeps the decoded rows, such as in a table.
     """
     parsed = _parsed(df, raw)
     others = [c for c in df.columns if c != raw and c not in S.MESSAGE.names]
-    good = parsed.where(_is_message()).select(
-        *others,
+    fields = [
         _field("key", "string", ""),
         _field("sequence", "bigint", 0),
         _field("payload", "string", ""),
         _field("partition", "int", 0),
         _field("ts", "bigint", 0),
-    )
+    ]
     error = F.when(F.col("_sound"), F.lit(NOT_A_MESSAGE)).otherwise(F.lit(NOT_JSON))
-    bad = parsed.where(~_is_message()).select(*df.columns, error.alias("error"))
+    if hold is None:
+        good = parsed.where(_is_message()).select(*others, *fields)
+        return good, parsed.where(~_is_message()).select(*df.columns, error.alias("error"))
+    kept = [F.col(c).alias(f"_of_{k}") for k, c in enumerate(df.columns)]
+    why = F.when(_is_message(), F.lit(None)).otherwise(error)
+    judged = parsed.select(*kept, why.alias("_error"), *fields)
+    text = f"_of_{df.columns.index(raw)}"  # kept for rejected rows only
+    held = hold(judged.withColumn(text, F.when(F.col("_error").isNotNull(), F.col(text))))
+    given = {c: F.col(f"_of_{k}").alias(c) for k, c in enumerate(df.columns)}
+    good = held.where(F.col("_error").isNull()).select(*[given[c] for c in others], *S.MESSAGE.names)
+    bad = held.where(F.col("_error").isNotNull()).select(*given.values(), F.col("_error").alias("error"))
     return good, bad
 
 

@@ -13,6 +13,8 @@ from partlog.plans.intervals import interval
 
 MESSAGE_KEY = ("stream", "partition", "stream_seq")
 
+TASK_ROWS = 250_000  # of a log, for a task that sorts or aggregates them
+
 PENDING = "pending"
 ACK_PENDING = "ack_pending"
 
@@ -127,13 +129,25 @@ def redelivery_report(
 
 
 def idempotent_append(
-    new: DataFrame, target: DataFrame, id_cols: Sequence[str], position: str = "stream_seq"
+    new: DataFrame, target: DataFrame, id_cols: Sequence[str], position: str = "stream_seq", rows: int | None = None
 ) -> DataFrame:
-    """Rows of ``new`` whose id is not in ``target``, the earliest one of each id."""
+    """Rows of ``new`` whose id is not in ``target``, the earliest one of each id.
+
+    With ``rows``, how many ``new`` has, tasks get about ``TASK_ROWS`` of them, however many
+    there are; otherwise the session decides.
+    """
     # A struct as join column finds NULL ids too.  Only ids and positions are aggregated;
     # the rows themselves are shuffled once.
+    tasks = None if rows is None else max(-(-rows // TASK_ROWS), new.sparkSession.sparkContext.defaultParallelism)
+
+    def dealt(df: DataFrame, *on: str) -> DataFrame:
+        return df if tasks is None else df.repartition(tasks, *on)
+
     id_ = F.struct(*id_cols).alias("_id")
-    first = new.select(id_, F.col(position).alias("_first")).groupBy("_id").agg(F.min("_first").alias("_first"))
-    fresh = first.join(target.select(id_).distinct(), "_id", "left_anti")
-    rows = new.withColumns({"_id": F.struct(*id_cols), "_first": F.col(position)})
-    return rows.join(fresh, ["_id", "_first"], "left_semi").select(*new.columns)
+    first = dealt(new.select(id_, F.col(position).alias("_first")), "_id")
+    first = first.groupBy("_id").agg(F.min("_first").alias("_first"))
+    seen = dealt(target.select(id_), "_id").distinct()
+    # By position too, so that copies of one id do not meet in a task.
+    fresh = dealt(first.join(seen, "_id", "left_anti"), "_id", "_first")
+    placed = dealt(new.withColumns({"_id": F.struct(*id_cols), "_first": F.col(position)}), "_id", "_first")
+    return placed.join(fresh, ["_id", "_first"], "left_semi").select(*new.columns)

@@ -11,6 +11,7 @@ from partlog.functions.keys import partition_for_key, replay_id, subject_for_par
 from partlog.operators.delivery import idempotent_append
 from partlog.operators.routing import BAD_COUNT, CONFIG_ROWS, NO_CONFIG, config_at, with_next_direct
 from partlog.plans import ordered
+from partlog.plans.scratch import scratch_path, stored
 from partlog.sources.dead_letter import dead_letter
 from partlog.sources.log import read_log, write_log
 
@@ -96,11 +97,16 @@ def union_logs(direct: DataFrame, buffered: DataFrame) -> DataFrame:
 
 
 def rekey_buffer(
-    buffer: DataFrame, new_count: int, prefix: str, raw: str = "data"
+    buffer: DataFrame, new_count: int, prefix: str, raw: str = "data", path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(decoded rows with partition under ``new_count``, subject and id; rejected rows)."""
+    """(decoded rows with partition under ``new_count``, subject and id; rejected rows).
+
+    Decoding costs more than all the rest, so its result is written to the folder ``path``
+    (default: a new one in the shared folder) and read from there.
+    """
     check_count(new_count)
-    good, bad = decode_messages(buffer, raw)
+    path = path or scratch_path(buffer.sparkSession, "decoded")
+    good, bad = decode_messages(buffer, raw, lambda df: stored(df, path))
     keyed = good.withColumn("partition", partition_for_key("key", new_count))
     named = {"subject": subject_for_partition(prefix, "partition"), "id": replay_id("key", "sequence")}
     return keyed.withColumns(named), bad
@@ -123,7 +129,7 @@ def replay_buffer(
     """
     keyed, bad = rekey_buffer(buffer, new_count, prefix, raw)
     seen = target if target is not None else keyed.limit(0)
-    return idempotent_append(keyed, seen, ["id", *extra_id]), bad
+    return idempotent_append(keyed, seen, ["id", *extra_id], rows=keyed.count()), bad
 
 
 def reject_buffer(bad: DataFrame, subject: str, now_ns) -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from partlog.operators import completeness, delivery, handlers, reports
+from partlog.operators import completeness, delivery, handlers, replay, reports
 
 
 def test_a_key_streams_through_one_call(spark):
@@ -158,6 +158,32 @@ def test_append_keeps_the_first_of_an_id(spark):
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_replay_tasks_stay_small_however_many_rows(spark, monkeypatch):
+    """Tasks of a replay get a given number of rows, from a table, and the result is the same."""
+    monkeypatch.setattr(delivery, "TASK_ROWS", 20)
+    n = F.col("id")
+    text = F.format_string('{"key":"acct-%d","sequence":%d}', n % 40, F.floor(n / 120))
+    raw = spark.range(600).select(n.alias("stream_seq"), F.when(n % 50 == 3, F.lit("x")).otherwise(text).alias("data"))
+    done = spark.createDataFrame([("replay-acct-7-1",), (None,)], "id string")
+    good, bad = replay.replay_buffer(raw, 5, "S", done)
+    assert good.rdd.getNumPartitions() >= 588 // 20
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "get_variant" not in plan
+    assert bad.count() == 12 and {r.error for r in bad.collect()} == {"not a JSON value"}
+    first = {}
+    for k in range(600):
+        if k % 50 != 3:
+            first.setdefault(f"replay-acct-{k % 40}-{k // 120}", k)
+    del first["replay-acct-7-1"]
+    assert {r.id: r.stream_seq for r in good.collect()} == first
+    assert good.count() == len(first)
+
+    new = spark.createDataFrame([(1, "a"), (2, "a"), (2, None), (3, None), (None, "c"), (4, "b"), (4, "b")], "stream_seq bigint, id string")
+    target = new.where("false").select("id")
+    want = sorted(map(str, delivery.idempotent_append(new, target, ["id"]).collect()))
+    assert want == sorted(map(str, delivery.idempotent_append(new, target, ["id"], rows=700).collect()))
+
+
 def test_a_stalled_consumer_counts_its_backlog(spark):
     ids = "stream string, partition int, stream_seq bigint"
     published = spark.createDataFrame([("s", 0, 1), ("s", 1, 2), ("s", 2, 3)], ids)
