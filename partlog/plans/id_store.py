@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partlog.plans import bloom
+from partlog.plans.scratch import cut_lineage
 from partlog.plans.state_table import _BUCKET, _RUN, BUCKETS, FAN_IN, StateTable, children, remove
 
 PAGES = f"{_BUCKET} int, page bigint, pages bigint, bits binary"
@@ -33,7 +34,7 @@ class IdStore(StateTable):
 
     def known(self, batch_id: int, ids: DataFrame) -> DataFrame:
         """Those of ``ids`` that are there after batch ``batch_id``."""
-        return self.read(batch_id, self.likely(batch_id, ids))
+        return self.read(batch_id, cut_lineage(self.likely(batch_id, ids)))
 
     def likely(self, batch_id: int, ids: DataFrame) -> DataFrame:
         """Those of ``ids`` that pass the filter of some run: all that are there, and few more."""

@@ -27,8 +27,8 @@ from partlog.operators.spacing import thin_by_spacing
 from partlog.plans import ordered, segments
 from partlog.plans.id_store import IdStore
 from partlog.plans.intervals import micros
-from partlog.plans.scratch import cut_lineage
-from partlog.plans.state_table import StateTable
+from partlog.plans.scratch import cut_lineage, scratch_path
+from partlog.plans.state_table import StateTable, remove
 from partlog.sources.dead_letter import dead_letter
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -413,9 +413,12 @@ def replay_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = IdStore(spark, ids or f"{out}-ids", seen)
-        keyed, bad = rekey_buffer(batch, n, prefix)
+        # A batch may be a few files; decoding them is work for all tasks.
+        decoded = scratch_path(spark, "decoded")
+        keyed, bad = rekey_buffer(batch.repartition("stream_seq"), n, prefix, path=decoded)
         # The store after the batch before: a failed attempt of this one does not count.
-        good = idempotent_append(keyed, store.known(batch_id - 1, keyed.select("id")), ["id"])
+        known = store.known(batch_id - 1, keyed.select("id"))
+        good = idempotent_append(keyed, known, ["id"], rows=keyed.count())
         now = F.lit(now_ns) if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
         put_batch(dead_letter(bad, S.REASON_UNMARSHAL, prefix + S.BUFFER_SUFFIX, now), dead_path, batch_id)
         # Ranges of (partition, position), so that files follow each other in log order.
@@ -424,5 +427,6 @@ def replay_stream(
         put_batch(placed, out, batch_id, "partition")
         written = spark.read.schema(REPLAYED).option("basePath", out).parquet(f"{out}/batch_id={batch_id}")
         store.add(batch_id, written.select("id"))
+        remove(spark, decoded)
 
-    return _start(buffer, held(each), checkpoint, trigger)
+    return _start(buffer, each, checkpoint, trigger)

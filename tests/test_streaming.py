@@ -225,3 +225,30 @@ def test_lag_windows_keep_late_samples_and_the_end(spark):
     last = {(r.stream, r.window_start): tuple(r)[:-1] for r in sorted(updates, key=lambda r: r.batch_id)}
     assert set(last.values()) == {tuple(r) for r in want}
     assert len(want) > 100
+
+
+def test_replay_stream_decodes_once_in_many_tasks(spark, tmp_path, monkeypatch):
+    """A batch from one file is decoded by several tasks, and ids are read from what that wrote."""
+    rows = [(k, f'{{"key":"acct-{k % 9}","sequence":{k // 9}}}') for k in range(400)]
+    spark.createDataFrame(rows, "stream_seq bigint, data string").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    seen, decode, known = [], replay.decode_messages, jobs.IdStore.known
+
+    def decoded(df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return decode(df, *args)
+
+    def checked(store, batch_id, ids):
+        assert "from_json" not in ids._jdf.queryExecution().optimizedPlan().toString()
+        return known(store, batch_id, ids)
+
+    monkeypatch.setattr(replay, "decode_messages", decoded)
+    monkeypatch.setattr(jobs.IdStore, "known", checked)
+    out, dead, ckpt = (str(tmp_path / n) for n in ("out", "dead", "ckpt"))
+    source = log.read_log_stream(spark, str(tmp_path / "raw"), schema="stream_seq bigint, data string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # for so few rows
+    try:
+        jobs.replay_stream(source, out, dead, 5, "S", ckpt, 1).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert jobs.read_batches(spark, out).count() == 400
+    assert seen and min(seen) > 1
