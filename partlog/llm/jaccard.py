@@ -13,8 +13,9 @@ one signature, so sets that differ in at most H share one of any H + 1 that both
 the same order, as long as one of them has more than H to choose from (pigeonhole).
 
 Allocation.  A first pass counts all signatures.  Those of more than ``HOT`` sets, such as a
-common passage makes, cost most and are never chosen; sets index the H + 1 smallest hashes
-of the others.  Sets with no more than H cheap segments index them all and are compared with
+common passage makes, cost most and are never chosen; sets choose H + 1 of the others, the
+rarest first, as bounded bit sets of the repeated ones tell, then by smallest hash.  A signature
+that no other set has needs no indexing, but counts as chosen.  Sets with no more than H cheap segments index them all and are compared with
 each other once more by single shingles, the finest segments, rarest first.  In the smallest
 sizes, where one shingle may differ, one segment with its one-deletion neighbourhood does:
 the whole set, and the set without any one shingle.
@@ -56,6 +57,8 @@ SHINGLE = 5
 SIMILAR, OF = 75, 100
 HOT = 64
 MOST_HOT = 1_000_000
+RARE = 8  # signatures of more sets are chosen after all others
+MOST_SLOTS = 27  # bits of a signature that name its place in a bit set: 16 MB
 MOST_MARKS = 1 << 27  # bits that say which texts are needed: 16 MB
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -258,8 +261,13 @@ def _bits(size: int, spare: int) -> int:
     return min(64, max(32, (size // 8).bit_length() + spare))
 
 
-def _hot_signatures(texts: DataFrame, buckets: int, bits: int) -> np.ndarray:
-    """The first ``bits`` of signatures of more than ``HOT`` sets, at most ``MOST_HOT``."""
+def _hot_signatures(texts: DataFrame, buckets: int, bits: int, slots: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hot ones, bit sets of those of several sets and of more than ``RARE``).
+
+    Hot are the first ``bits`` of signatures of more than ``HOT`` sets, at most ``MOST_HOT``.
+    A bit set has a bit for the first ``slots`` bits of a signature, so one that is not in it has
+    no more sets than that; if it fills up, more signatures count as common, and nothing is lost.
+    """
     shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,17 +289,51 @@ def _hot_signatures(texts: DataFrame, buckets: int, bits: int) -> np.ndarray:
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             n = np.diff(np.append(start, len(sig)))
             hot = n > HOT
-            yield pd.DataFrame({"sig": sig[start][hot].astype(np.int64), "n": n[hot]})
+            yield pd.DataFrame({"sig": sig[start][hot].astype(np.int64), "n": n[hot], "page": -1, "bits": b""})
+            for level, least in enumerate((1, RARE)):
+                at = sig[start][n > least] >> np.uint64(bits - slots)
+                pages = at >> np.uint64(15)
+                cuts = np.flatnonzero(np.append(True, pages[1:] != pages[:-1])) if len(at) else []
+                found = []
+                for low, high in zip(cuts, [*cuts[1:], len(at)]):
+                    page = np.zeros(1 << 15, dtype=np.uint8)
+                    page[at[low:high] & np.uint64(0x7FFF)] = 1
+                    found.append((0, level, int(pages[low]), np.packbits(page, bitorder="little").tobytes()))
+                yield pd.DataFrame(found, columns=["sig", "n", "page", "bits"])
 
     dealt = texts.mapInPandas(send, PACKED).repartition(buckets, "bucket")
     counted = written(
-        dealt.sortWithinPartitions("bucket").mapInPandas(count, "sig bigint, n bigint"), "jaccard-hot"
+        dealt.sortWithinPartitions("bucket").mapInPandas(count, "sig bigint, n bigint, page bigint, bits binary"),
+        "jaccard-hot",
     )
+    sets = [np.zeros(1 << max(slots - 3, 12), dtype=np.uint8) for _ in range(2)]
+    for row in counted.where("page >= 0").select("n", "page", "bits").toLocalIterator():  # bounded, as in ``_marks``
+        sets[row["n"]][row["page"] * 4096 : row["page"] * 4096 + 4096] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    counted = counted.where("page < 0")
     least = HOT  # raised until the list is bounded; sets then index costlier segments
     while counted.where(F.col("n") > least).count() > MOST_HOT:
         least *= 2
     rows = counted.where(F.col("n") > least).select("sig").toPandas()
-    return np.sort(rows["sig"].to_numpy(dtype=np.int64).astype(np.uint64))
+    return np.sort(rows["sig"].to_numpy(dtype=np.int64).astype(np.uint64)), sets
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _rarest(sig: np.ndarray, number: int, slots: int, sets: list[np.ndarray]) -> np.ndarray:
+    """The first ``number`` of ``sig``, rarest first, but for those that no other set has."""
+    at = sig >> np.uint64(64 - slots)
+    repeated = _has(sets[0], at)
+    number -= len(sig) - int(repeated.sum())
+    sig, at = sig[repeated], at[repeated]
+    common = _has(sets[1], at)
+    out = []
+    for level in (sig[~common], sig[common]):
+        if number > 0:
+            out.append(np.partition(level, number - 1)[:number] if len(level) > number else level)
+            number -= len(level)
+    return np.concatenate(out) if out else sig[:0]
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
@@ -315,14 +357,18 @@ def _known(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == values
 
 
-def _chosen(texts: DataFrame, hot: np.ndarray, hot_bits: int, buckets: int, bits: int) -> DataFrame:
+def _chosen(
+    texts: DataFrame, hot: np.ndarray, hot_bits: int, sets: list[np.ndarray], slots: int, buckets: int, bits: int
+) -> DataFrame:
     """Chosen signatures, their first ``bits``, packed by bucket.
 
     Sets with too few cheap ones are listed apart, in buckets from -1 down.
     """
     shift, rest = np.uint64(64 - hot_bits), np.uint64(64 - bits)
+    shared = texts.sparkSession.sparkContext.broadcast((hot, sets))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, repeated = shared.value
         for part in _texts(batches, []):
             sigs, refs, homes, names, sizes, short = [], [], [], [], [], []
             for s in shingle_sets([r[-1] for r in part]):
@@ -335,8 +381,7 @@ def _chosen(texts: DataFrame, hot: np.ndarray, hot_bits: int, buckets: int, bits
                     if band >= 0:
                         sig = sig[~_known(sig >> shift, hot)]
                         few = few or len(sig) <= differ
-                        if len(sig) > differ + 1:
-                            sig = np.partition(sig, differ)[: differ + 1]
+                        sig = _rarest(sig, differ + 1, slots, repeated)
                     sigs.append(sig)
                     refs.append(np.full(len(sig), k, dtype=np.int32))
                     homes.append(np.full(len(sig), home, dtype=np.uint8))
@@ -411,7 +456,8 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
     """Members of groups in which all linked sets meet: columns as in ``MEMBERS``."""
     buckets = max(1, min(size // BUCKET_BYTES, 20_000))
     hot_bits, bits = _bits(size, 6), _bits(size, 16)
-    hot = _hot_signatures(texts, buckets, hot_bits)
+    slots = min(MOST_SLOTS, max(15, (size // 8).bit_length() + 3))
+    hot, sets = _hot_signatures(texts, buckets, hot_bits, slots)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def listed() -> Iterator[pd.DataFrame]:
@@ -429,7 +475,7 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True, "rank": 0})
 
     met = written(
-        _chosen(texts, hot, hot_bits, buckets, bits)
+        _chosen(texts, hot, hot_bits, sets, slots, buckets, bits)
         .repartition(buckets + 1, "bucket")
         .sortWithinPartitions("bucket")
         .mapInPandas(meet, MEMBERS),

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partlog.llm import decontamination, jaccard, licenses, substrings
 from partlog.llm.words import Words, runs
@@ -155,6 +156,28 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, hot):
     assert groups(documents(spark, rows).repartition(4)) == brute_groups(rows)
 
 
+def test_jaccard_does_not_pair_texts_for_a_common_passage(spark):
+    """Sets choose what is rare first: a passage in some texts makes no groups, near copies do."""
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = own(120)
+    rows = [(k, f"{own(150)} {passage} {own(30)}") for k in range(50)]
+    rows += [(100 + k, f"{rows[k][1]} {own(9)}") for k in range(5)]
+    df = documents(spark, rows)
+    members = jaccard.candidate_groups(df.select("text"), sum(len(t) for _, t in rows))
+    assert {r["n"] for r in members.groupBy("grp").agg(F.count_distinct("class").alias("n")).collect()} == {2}
+    assert members.select("class").distinct().count() == 10
+    assert groups(df) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("slots", [15, 27])
+def test_jaccard_links_hold_when_the_bit_sets_are_full(spark, monkeypatch, slots):
+    monkeypatch.setattr(jaccard, "MOST_SLOTS", slots)
+    monkeypatch.setattr(jaccard, "RARE", 2)
+    rows = corpus(3)
+    assert groups(documents(spark, rows).repartition(4)) == brute_groups(rows)
+
+
 def test_jaccard_small_sets_and_chains(spark):
     rng = random.Random(5)
     rows, base = [], [rng.choice(VOCABULARY) for _ in range(80)]
