@@ -22,9 +22,14 @@ the whole set, and the set without any one shingle.
 
 Verification.  Sets that share a signature form a group.  Pairs of one pivot of each group
 with the others are verified, then components are formed, and only pairs whose ends are
-still apart go on: once more with several other pivots, then all that are left.  So no group
-of near copies is ever expanded into all its pairs, and no link between different components
-is missed.  A pair first compares bitmaps of hashed shingles, about two bits for each: bits
+still apart go on: once more with several pivots, then all that are left, each with one end
+outside the pivot's component.  A pivot is the member with the fewest signatures or shingles
+rarer than the group's: copies with many changes have the more of these, the text they were
+made from has none, and links with it join most copies at once.  What comes before a group's
+signature in a set is in no other set that first meets it there, so it bounds what two sets
+share: pairs that it rules out are not made, and members that it leaves without a partner of
+any size in their group leave it.  So no group of near copies is ever expanded into all its
+pairs, and no link between different components is missed.  A pair first compares bitmaps of hashed shingles, about two bits for each: bits
 that differ are a lower bound of the shingles that differ, so a pair with more of them than
 two linked sets may have is dropped for certain.  The others are verified on the texts.
 
@@ -45,7 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partlog.llm.common import batch_bytes, written
@@ -62,7 +67,7 @@ MOST_SLOTS = 27  # bits of a signature that name its place in a bit set: 16 MB
 MOST_MARKS = 1 << 27  # bits that say which texts are needed: 16 MB
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-PIVOTS = (1, 16)  # of each group, in the rounds before the last
+PIVOTS = (1, 16)  # most central members of each group, in the rounds before the last
 DELETION_SIZE = 6  # up to here sets differ in at most one shingle from smaller ones
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -321,19 +326,24 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _rarest(sig: np.ndarray, number: int, slots: int, sets: list[np.ndarray]) -> np.ndarray:
-    """The first ``number`` of ``sig``, rarest first, but for those that no other set has."""
+def _rarest(sig: np.ndarray, number: int, slots: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``number`` of ``sig``, rarest first, but for those that no other set has.
+
+    With each, how many of ``sig`` come before it, those of no other set among them.
+    """
     at = sig >> np.uint64(64 - slots)
     repeated = _has(sets[0], at)
-    number -= len(sig) - int(repeated.sum())
+    alone = len(sig) - int(repeated.sum())
+    number -= alone
     sig, at = sig[repeated], at[repeated]
     common = _has(sets[1], at)
     out = []
     for level in (sig[~common], sig[common]):
         if number > 0:
-            out.append(np.partition(level, number - 1)[:number] if len(level) > number else level)
+            out.append(np.sort(level)[:number])
             number -= len(level)
-    return np.concatenate(out) if out else sig[:0]
+    chosen = np.concatenate(out) if out else sig[:0]
+    return chosen, np.arange(alone, alone + len(chosen), dtype=np.uint32)
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
@@ -370,7 +380,7 @@ def _chosen(
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, repeated = shared.value
         for part in _texts(batches, []):
-            sigs, refs, homes, names, sizes, short = [], [], [], [], [], []
+            sigs, befores, refs, homes, names, sizes, short = [], [], [], [], [], [], []
             for s in shingle_sets([r[-1] for r in part]):
                 if not len(s):
                     continue
@@ -378,11 +388,13 @@ def _chosen(
                 names.append(set_name(s))
                 sizes.append(len(s))
                 for band, home, sig, differ in _index(s):
+                    before = np.zeros(len(sig), dtype=np.uint32)
                     if band >= 0:
                         sig = sig[~_known(sig >> shift, hot)]
                         few = few or len(sig) <= differ
-                        sig = _rarest(sig, differ + 1, slots, repeated)
+                        sig, before = _rarest(sig, differ + 1, slots, repeated)
                     sigs.append(sig)
+                    befores.append(before)
                     refs.append(np.full(len(sig), k, dtype=np.int32))
                     homes.append(np.full(len(sig), home, dtype=np.uint8))
                 if few:
@@ -396,64 +408,74 @@ def _chosen(
                 for b in np.unique(dealt):
                     rows.append((-1 - int(b), _press([listed[dealt == b]])))
             if sigs:
-                sig, ref, home = map(np.concatenate, (sigs, refs, homes))
+                sig, before, ref, home = map(np.concatenate, (sigs, befores, refs, homes))
                 sig = sig >> rest
                 order = np.argsort(sig)
-                sig, ref, home = sig[order], ref[order], home[order]
+                sig, before, ref, home = sig[order], before[order], ref[order], home[order]
                 for b, at in _by_bucket(sig, buckets, bits):
                     used, index = np.unique(ref[at], return_inverse=True)
-                    columns = [sig[at], index.astype("<u4"), home[at], names[used], sizes[used]]
+                    columns = [sig[at], index.astype("<u4"), home[at], names[used], sizes[used], before[at]]
                     rows.append((b, _press(columns)))
             yield pd.DataFrame(rows, columns=["bucket", "packed"])
 
     return texts.mapInPandas(send, PACKED)
 
 
-MEMBERS = "grp bigint, class bigint, n bigint, home boolean, rank int"
+MEMBERS = "grp bigint, class bigint, n bigint, home boolean, rank int, before int"
 
 
 def _groups(held: list[bytes]) -> pd.DataFrame:
-    """Groups of sets that share a signature in a bucket; equal groups are one."""
-    kinds = ["<u8", "<u4", "u1", "<i8", "<i8"]
+    """Groups of sets that share a signature in a bucket; equal groups are one.
+
+    ``before`` is the number of signatures that come before the group's in a set's order, the
+    least of equal groups.  Sets that first meet in the group share none of these segments, so
+    they differ in as many shingles at least.
+    """
+    kinds = ["<u8", "<u4", "u1", "<i8", "<i8", "<u4"]
     parts = [_unpress(p, kinds) for p in held]
     sig = np.concatenate([p[0] for p in parts])
     name = np.concatenate([p[3][p[1]] for p in parts])
     size = np.concatenate([p[4][p[1]] for p in parts])
     home = np.concatenate([p[2] for p in parts])
+    before = np.concatenate([p[5] for p in parts])
     order = np.argsort(sig, kind="stable")
-    sig, name, size, home = sig[order], name[order], size[order], home[order]
+    sig, name, size, home, before = sig[order], name[order], size[order], home[order], before[order]
     same = np.append(sig[1:] == sig[:-1], False)
     many = same | np.append(False, same[:-1])
-    sig, name, size, home = sig[many], name[many], size[many], home[many]
+    sig, name, size, home, before = sig[many], name[many], size[many], home[many], before[many]
     if not len(sig):
-        return pd.DataFrame({"grp": [], "class": [], "n": [], "home": [], "rank": []})
-    order = np.lexsort((home, name, sig))
-    sig, name, size, home = sig[order], name[order], size[order], home[order]
+        return pd.DataFrame({"grp": [], "class": [], "n": [], "home": [], "rank": [], "before": []})
+    order = np.lexsort((before, home, name, sig))
+    sig, name, size, home, before = sig[order], name[order], size[order], home[order], before[order]
     once = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]) | (home[1:] != home[:-1]))
-    sig, name, size, home = sig[once], name[once], size[once], home[once]
+    sig, name, size, home, before = sig[once], name[once], size[once], home[once], before[once]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     length = np.diff(np.append(start, len(sig)))
     # A group's name is a hash of its members, so equal groups of other signatures fall together.
     each = mix(name.view(np.uint64) + home * _SALT)
-    named = mix(np.add.reduceat(each, start)).view(np.int64)
-    _, first = np.unique(named, return_index=True)
-    keep = np.zeros(len(start), dtype=bool)
-    keep[first] = True
-    keep &= length > 1
-    rows = np.repeat(keep, length)
+    named = np.repeat(mix(np.add.reduceat(each, start)).view(np.int64), length)
+    rows = np.repeat(length > 1, length)
+    grp, name, size, home, before = named[rows], name[rows], size[rows], home[rows], before[rows]
+    order = np.lexsort((before, home, name, grp))
+    grp, name, size, home, before = grp[order], name[order], size[order], home[order], before[order]
+    keep = np.append(True, (grp[1:] != grp[:-1]) | (name[1:] != name[:-1]) | (home[1:] != home[:-1]))[: len(grp)]
     return pd.DataFrame(
         {
-            "grp": np.repeat(named, length)[rows],
-            "class": name[rows],
-            "n": size[rows],
-            "home": home[rows].astype(bool),
+            "grp": grp[keep],
+            "class": name[keep],
+            "n": size[keep],
+            "home": home[keep].astype(bool),
             "rank": np.int32(1),
+            "before": before[keep].astype(np.int32),
         }
     )
 
 
 def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
-    """Members of groups in which all linked sets meet: columns as in ``MEMBERS``."""
+    """Members of groups in which all linked sets meet: columns as in ``MEMBERS``, and their place.
+
+    ``place`` counts the members of a group from 1, the most central one first.
+    """
     buckets = max(1, min(size // BUCKET_BYTES, 20_000))
     hot_bits, bits = _bits(size, 6), _bits(size, 16)
     slots = min(MOST_SLOTS, max(15, (size // 8).bit_length() + 3))
@@ -472,7 +494,7 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
         for held in _buckets(listed()):
             yield _groups(held)
         for names in short:
-            yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True, "rank": 0})
+            yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True, "rank": 0, "before": 0})
 
     met = written(
         _chosen(texts, hot, hot_bits, sets, slots, buckets, bits)
@@ -482,10 +504,13 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
         "jaccard-groups",
     )
     short = written(met.where("n = 0").select("class").distinct(), "jaccard-short")
-    groups = met.where("n > 0").distinct()
+    central = (~F.col("home"), F.col("rank"), F.col("before"), F.xxhash64("class"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(*central))
+    groups = met.where("n > 0").groupBy("grp", "class", "n", "home", "rank").agg(F.min("before").alias("before"))
     if short.isEmpty():
-        return written(groups, "jaccard-members")
-    return written(groups.unionByName(_by_shingles(texts, short)), "jaccard-members")
+        return written(groups.withColumn("place", place), "jaccard-members")
+    both = groups.unionByName(_by_shingles(texts, short))
+    return written(both.withColumn("place", place), "jaccard-members")
 
 
 def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
@@ -516,11 +541,21 @@ def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
     counts = each.groupBy("grp").agg(F.count("*").alias("sets"))
     rarest = Window.partitionBy("class").orderBy("sets", "grp")
     # Sets link only if they share three quarters of either's shingles.
-    return (
+    ranked = written(
         each.join(counts, "grp")
         .withColumn("rank", F.row_number().over(rarest))
         .where((F.col("rank") <= F.floor(F.col("n") / 4) + 1) & (F.col("sets") > 1))
-        .select("grp", "class", "n", F.lit(True).alias("home"), F.col("rank").cast("int").alias("rank"))
+        .select("grp", "class", "n", F.col("rank").cast("int").alias("rank")),
+        "jaccard-ranked",
+    )
+    # A partner has the group's smallest size or more, and three quarters of the set's own.
+    least = ranked.groupBy("grp").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.ceil(F.col("n") * SIMILAR / OF))
+    shared = F.col("n") - F.col("rank") + 1
+    return (
+        ranked.join(least, "grp")
+        .where((SIMILAR + OF) * shared >= SIMILAR * (F.col("n") + partner))
+        .select("grp", "class", "n", F.lit(True).alias("home"), "rank", F.lit(0).alias("before"))
     )
 
 
@@ -619,31 +654,40 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, names: DataFrame) -> DataFrame:
-    """Members with their component so far, of groups with more than one component."""
+    """Members with their component so far, of groups with more than one component.
+
+    ``main`` is the component of the group's most central member.
+    """
     labelled = members.join(names.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "class"))
-    ends = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return labelled.join(ends.where("low <> high").select("grp"), "grp", "left_semi")
+    low, high = F.min("component").alias("low"), F.max("component").alias("high")
+    ends = labelled.groupBy("grp").agg(low, high, F.min_by("component", "place").alias("main"))
+    return labelled.join(ends.where("low <> high").select("grp", "main"), "grp")
 
 
 def _pairs(apart: DataFrame, pivots: int | None) -> DataFrame:
-    """Pairs (a, b) of members that are still apart: with some pivots per group, or all."""
+    """Pairs (a, b) of members that are still apart: with pivots up to this place, or all."""
+    columns = ("class", "n", "home", "rank", "before", "place", "component")
+    once = F.col("place") > F.col("_place")
     if pivots is None:
-        first = apart.select("grp", "class", "n", "home", "rank", "component")
+        # Of two that are apart one is outside the main component.
+        first = apart.where("component <> main")
+        once = once | (F.col("component") == F.col("main"))
     else:
-        member = F.struct("class", "n", "home", "rank", "component")
-        best = [F.min_by(member, F.xxhash64("class", F.lit(pivots + k))) for k in range(pivots)]
-        chosen = apart.groupBy("grp").agg(F.array_distinct(F.array(*best)).alias("p"))
-        first = chosen.select("grp", F.explode("p").alias("p")).select("grp", "p.*")
-    first = first.select("grp", *[F.col(c).alias(f"_{c}") for c in ("class", "n", "home", "rank", "component")])
+        first = apart.where(F.col("place") <= pivots)
+    first = first.select("grp", *[F.col(c).alias(f"_{c}") for c in columns])
     low, high = F.least("n", "_n"), F.greatest("n", "_n")
     # What two sets may share from the shingle of this group on, if they share none before it.
     shared = F.least(F.col("n") - F.col("rank"), F.col("_n") - F.col("_rank")) + 1
+    # As much at most is in both of two sets that differ in what comes before their signature.
+    twice = F.col("n") + F.col("_n") - F.greatest("before", "_before")
     fits = (
         ((SIMILAR + OF) * shared >= SIMILAR * (F.col("n") + F.col("_n")))
+        & ((SIMILAR + OF) * twice >= 2 * SIMILAR * (F.col("n") + F.col("_n")))
         & (F.col("component") != F.col("_component"))
         & (F.col("home") | F.col("_home"))
         & (OF * low >= SIMILAR * high)
+        & once
     )
     return (
         apart.join(first, "grp")
@@ -664,16 +708,19 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if wanted.isEmpty():
         return sets, None
     held = written(_texts_of(texts, wanted), "jaccard-candidates")
-    columns = ("grp", "class", "n", "home", "rank")
-    names, links, tested = None, None, None
+    columns = ("grp", "class", "n", "home", "rank", "before", "place")
+    names, links, tested, done = None, None, None, 0
     for pivots in [*PIVOTS, None]:
         if names is None:
             members = members.withColumn("component", F.col("class"))
         else:
-            members = written(_apart(members.select(*columns), names), "jaccard-apart")
+            # Pivots of earlier rounds have met all of their groups.
+            left = members.where(F.col("place") > done).select(*columns)
+            members = written(_apart(left, names), "jaccard-apart")
         if members.isEmpty():
             break
-        pairs = _pairs(members, pivots)
+        done += pivots or 0
+        pairs = _pairs(members, pivots and done)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")

@@ -170,6 +170,33 @@ def test_jaccard_does_not_pair_texts_for_a_common_passage(spark):
     assert groups(df) == brute_groups(rows)
 
 
+def test_jaccard_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Copies that link with their source but not with each other are not tried in all pairs."""
+    rng, made = random.Random(12), []
+    write = jaccard.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "jaccard-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "written", counted)
+    source = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+
+    def copy(edits):
+        words = list(source)
+        for at in rng.sample(range(5, 95), edits):
+            words[at] = f"w{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    rows = [(0, " ".join(source))]
+    rows += [(k, copy(2)) for k in range(1, 100)] + [(k, copy(4)) for k in range(100, 150)]
+    assert groups(documents(spark, rows).repartition(4)) == brute_groups(rows)
+    assert sum(made) <= 4 * len(rows)
+
+
 @pytest.mark.parametrize("slots", [15, 27])
 def test_jaccard_links_hold_when_the_bit_sets_are_full(spark, monkeypatch, slots):
     monkeypatch.setattr(jaccard, "MOST_SLOTS", slots)
