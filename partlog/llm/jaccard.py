@@ -15,10 +15,12 @@ the same order, as long as one of them has more than H to choose from (pigeonhol
 Allocation.  A first pass counts all signatures.  Those of more than ``HOT`` sets, such as a
 common passage makes, cost most and are never chosen; sets choose H + 1 of the others, the
 rarest first, as bounded bit sets of the repeated ones tell, then by smallest hash.  A signature
-that no other set has needs no indexing, but counts as chosen.  Sets with no more than H cheap segments index them all and are compared with
-each other once more by single shingles, the finest segments, rarest first.  In the smallest
-sizes, where one shingle may differ, one segment with its one-deletion neighbourhood does:
-the whole set, and the set without any one shingle.
+that no other set has needs no indexing, but counts as chosen.  Sets with no more than H cheap
+segments index them all and are compared with each other once more by single shingles, the
+finest segments.  These are counted in the same way first, so a set sends only the first quarter
+of its shingles, rarest first, without those of no other set.  In the smallest sizes, where one
+shingle may differ, one segment with its one-deletion neighbourhood does: the whole set, and the
+set without any one shingle.
 
 Verification.  Sets that share a signature form a group.  Pairs of one pivot of each group
 with the others are verified, then components are formed, and only pairs whose ends are
@@ -45,11 +47,12 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,7 @@ SIMILAR, OF = 75, 100
 HOT = 64
 MOST_HOT = 1_000_000
 RARE = 8  # signatures of more sets are chosen after all others
+STEPS = (1, 8, 64, 512)  # the same for shingles, of which those of more sets come later at each step
 MOST_SLOTS = 27  # bits of a signature that name its place in a bit set: 16 MB
 MOST_MARKS = 1 << 27  # bits that say which texts are needed: 16 MB
 CHUNK_BYTES = 4 << 20
@@ -266,23 +270,29 @@ def _bits(size: int, spare: int) -> int:
     return min(64, max(32, (size // 8).bit_length() + spare))
 
 
-def _hot_signatures(texts: DataFrame, buckets: int, bits: int, slots: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(hot ones, bit sets of those of several sets and of more than ``RARE``).
+def _signatures_of(s: np.ndarray) -> list[np.ndarray]:
+    return [sig for band, _, sig, _ in _index(s) if band >= 0]
 
-    Hot are the first ``bits`` of signatures of more than ``HOT`` sets, at most ``MOST_HOT``.
-    A bit set has a bit for the first ``slots`` bits of a signature, so one that is not in it has
-    no more sets than that; if it fills up, more signatures count as common, and nothing is lost.
+
+def _counted(
+    texts: DataFrame,
+    of: Callable[[np.ndarray], list[np.ndarray]],
+    steps: tuple[int, ...],
+    listed: int | None,
+    buckets: int,
+    bits: int,
+    slots: int,
+) -> DataFrame:
+    """How many sets have a hash that ``of`` makes of a set, by its first ``bits``.
+
+    Rows with a page are parts of bit sets, one for each step: a bit for the first ``slots`` bits
+    of a hash that more sets have.  The others are the hashes of more than ``listed`` sets.
     """
     shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
-            sigs = [
-                sig >> shift
-                for s in shingle_sets([r[-1] for r in part])
-                for band, _, sig, _ in _index(s)
-                if band >= 0
-            ]
+            sigs = [sig >> shift for s in shingle_sets([r[-1] for r in part]) for sig in of(s)]
             sig = np.sort(np.concatenate(sigs)) if sigs else np.zeros(0, np.uint64)
             rows = [(b, _press([sig[at]])) for b, at in _by_bucket(sig, buckets, bits)]
             yield pd.DataFrame(rows, columns=["bucket", "packed"])
@@ -293,9 +303,10 @@ def _hot_signatures(texts: DataFrame, buckets: int, bits: int, slots: int) -> tu
             sig.sort()
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             n = np.diff(np.append(start, len(sig)))
-            hot = n > HOT
-            yield pd.DataFrame({"sig": sig[start][hot].astype(np.int64), "n": n[hot], "page": -1, "bits": b""})
-            for level, least in enumerate((1, RARE)):
+            if listed is not None:
+                hot = n > listed
+                yield pd.DataFrame({"sig": sig[start][hot].astype(np.int64), "n": n[hot], "page": -1, "bits": b""})
+            for level, least in enumerate(steps):
                 at = sig[start][n > least] >> np.uint64(bits - slots)
                 pages = at >> np.uint64(15)
                 cuts = np.flatnonzero(np.append(True, pages[1:] != pages[:-1])) if len(at) else []
@@ -307,13 +318,31 @@ def _hot_signatures(texts: DataFrame, buckets: int, bits: int, slots: int) -> tu
                 yield pd.DataFrame(found, columns=["sig", "n", "page", "bits"])
 
     dealt = texts.mapInPandas(send, PACKED).repartition(buckets, "bucket")
-    counted = written(
+    return written(
         dealt.sortWithinPartitions("bucket").mapInPandas(count, "sig bigint, n bigint, page bigint, bits binary"),
         "jaccard-hot",
     )
-    sets = [np.zeros(1 << max(slots - 3, 12), dtype=np.uint8) for _ in range(2)]
+
+
+def _bit_sets(counted: DataFrame, steps: tuple[int, ...], slots: int) -> list[np.ndarray]:
+    """The bit sets of ``_counted``.
+
+    What is not in one is of no more sets than its step; if it fills up, more hashes count as
+    common, and nothing is lost.
+    """
+    sets = [np.zeros(1 << max(slots - 3, 12), dtype=np.uint8) for _ in steps]
     for row in counted.where("page >= 0").select("n", "page", "bits").toLocalIterator():  # bounded, as in ``_marks``
         sets[row["n"]][row["page"] * 4096 : row["page"] * 4096 + 4096] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return sets
+
+
+def _hot_signatures(texts: DataFrame, buckets: int, bits: int, slots: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hot ones, bit sets of those of several sets and of more than ``RARE``).
+
+    Hot are the first ``bits`` of signatures of more than ``HOT`` sets, at most ``MOST_HOT``.
+    """
+    counted = _counted(texts, _signatures_of, (1, RARE), HOT, buckets, bits, slots)
+    sets = _bit_sets(counted, (1, RARE), slots)
     counted = counted.where("page < 0")
     least = HOT  # raised until the list is bounded; sets then index costlier segments
     while counted.where(F.col("n") > least).count() > MOST_HOT:
@@ -336,13 +365,10 @@ def _rarest(sig: np.ndarray, number: int, slots: int, sets: list[np.ndarray]) ->
     alone = len(sig) - int(repeated.sum())
     number -= alone
     sig, at = sig[repeated], at[repeated]
-    common = _has(sets[1], at)
-    out = []
-    for level in (sig[~common], sig[common]):
-        if number > 0:
-            out.append(np.sort(level)[:number])
-            number -= len(level)
-    chosen = np.concatenate(out) if out else sig[:0]
+    level = np.zeros(len(sig), dtype=np.uint8)
+    for common in sets[1:]:
+        level += _has(common, at)
+    chosen = sig[np.lexsort((sig, level))[: max(0, number)]]
     return chosen, np.arange(alone, alone + len(chosen), dtype=np.uint32)
 
 
@@ -367,15 +393,13 @@ def _known(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == values
 
 
-def _chosen(
-    texts: DataFrame, hot: np.ndarray, hot_bits: int, sets: list[np.ndarray], slots: int, buckets: int, bits: int
-) -> DataFrame:
+def _chosen(texts: DataFrame, shared: Broadcast, hot_bits: int, slots: int, buckets: int, bits: int) -> DataFrame:
     """Chosen signatures, their first ``bits``, packed by bucket.
 
-    Sets with too few cheap ones are listed apart, in buckets from -1 down.
+    ``shared`` is what ``_hot_signatures`` gives.  Sets with too few cheap ones are listed apart,
+    in buckets from -1 down.
     """
     shift, rest = np.uint64(64 - hot_bits), np.uint64(64 - bits)
-    shared = texts.sparkSession.sparkContext.broadcast((hot, sets))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot, repeated = shared.value
@@ -479,7 +503,7 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
     buckets = max(1, min(size // BUCKET_BYTES, 20_000))
     hot_bits, bits = _bits(size, 6), _bits(size, 16)
     slots = min(MOST_SLOTS, max(15, (size // 8).bit_length() + 3))
-    hot, sets = _hot_signatures(texts, buckets, hot_bits, slots)
+    shared = texts.sparkSession.sparkContext.broadcast(_hot_signatures(texts, buckets, hot_bits, slots))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def listed() -> Iterator[pd.DataFrame]:
@@ -497,12 +521,13 @@ def candidate_groups(texts: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"grp": 0, "class": names, "n": 0, "home": True, "rank": 0, "before": 0})
 
     met = written(
-        _chosen(texts, hot, hot_bits, sets, slots, buckets, bits)
+        _chosen(texts, shared, hot_bits, slots, buckets, bits)
         .repartition(buckets + 1, "bucket")
         .sortWithinPartitions("bucket")
         .mapInPandas(meet, MEMBERS),
         "jaccard-groups",
     )
+    shared.destroy()
     short = written(met.where("n = 0").select("class").distinct(), "jaccard-short")
     central = (~F.col("home"), F.col("rank"), F.col("before"), F.xxhash64("class"))
     place = F.row_number().over(Window.partitionBy("grp").orderBy(*central))
@@ -518,43 +543,44 @@ def _by_shingles(texts: DataFrame, short: DataFrame) -> DataFrame:
 
     ``rank`` is the shingle's place among its set's, rarest first.  The first shingle that two
     sets share comes after all that they do not, so it bounds what they share: see ``_pairs``.
+    Any one order of all shingles will do for that; bit sets tell how rare they are.
     """
+    held = _texts_of(texts, short, "jaccard-short-texts")
+    size = 8 * (held.agg(F.sum("n")).head()[0] or 0)
+    buckets, bits = max(1, min(size // BUCKET_BYTES, 20_000)), _bits(size, 6)
+    slots = min(MOST_SLOTS - 1, max(15, (size // 8).bit_length() + 3))
+    held = held.select("text")
+    counted = _counted(held, lambda s: [s], STEPS, None, buckets, bits, slots)
+    shared = texts.sparkSession.sparkContext.broadcast(_bit_sets(counted, STEPS, slots))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _texts(batches, []):
-            sets = shingle_sets([r[-1] for r in part])
-            n = [len(s) for s in sets]
-            names = [set_name(s) for s in sets]
+            sets = [s for s in shingle_sets([r[-1] for r in part]) if len(s)]
+            if not sets:
+                continue
+            # Sets link only if they share three quarters of either's shingles.
+            chosen = [_rarest(s, len(s) // 4 + 1, slots, shared.value) for s in sets]
+            number = [len(c) for c, _ in chosen]
             yield pd.DataFrame(
                 {
-                    "class": np.repeat(np.array(names, dtype=np.int64), n),
-                    "n": np.repeat(np.array(n, dtype=np.int64), n),
-                    "grp": np.concatenate(sets).view(np.int64),
+                    "class": np.repeat(np.array([set_name(s) for s in sets], dtype=np.int64), number),
+                    "n": np.repeat(np.array([len(s) for s in sets], dtype=np.int64), number),
+                    "grp": np.concatenate([c for c, _ in chosen]).view(np.int64),
+                    "rank": np.concatenate([before for _, before in chosen]).astype(np.int32) + 1,
                 }
             )
 
-    # Written first: two Python steps in one task would hold twice the memory.
-    held = written(_texts_of(texts, short), "jaccard-short-texts").select("text")
-    each = written(
-        held.mapInPandas(explode, "class bigint, n bigint, grp bigint").distinct(), "jaccard-shingles"
-    )
-    counts = each.groupBy("grp").agg(F.count("*").alias("sets"))
-    rarest = Window.partitionBy("class").orderBy("sets", "grp")
-    # Sets link only if they share three quarters of either's shingles.
     ranked = written(
-        each.join(counts, "grp")
-        .withColumn("rank", F.row_number().over(rarest))
-        .where((F.col("rank") <= F.floor(F.col("n") / 4) + 1) & (F.col("sets") > 1))
-        .select("grp", "class", "n", F.col("rank").cast("int").alias("rank")),
-        "jaccard-ranked",
+        held.mapInPandas(explode, "class bigint, n bigint, grp bigint, rank int").distinct(), "jaccard-ranked"
     )
+    shared.destroy()
     # A partner has the group's smallest size or more, and three quarters of the set's own.
-    least = ranked.groupBy("grp").agg(F.min("n").alias("least"))
+    least = ranked.groupBy("grp").agg(F.min("n").alias("least"), F.count("*").alias("sets"))
     partner = F.greatest("least", F.ceil(F.col("n") * SIMILAR / OF))
-    shared = F.col("n") - F.col("rank") + 1
+    shared_most = F.col("n") - F.col("rank") + 1
     return (
-        ranked.join(least, "grp")
-        .where((SIMILAR + OF) * shared >= SIMILAR * (F.col("n") + partner))
+        ranked.join(least.where("sets > 1"), "grp")
+        .where((SIMILAR + OF) * shared_most >= SIMILAR * (F.col("n") + partner))
         .select("grp", "class", "n", F.lit(True).alias("home"), "rank", F.lit(0).alias("before"))
     )
 
@@ -583,8 +609,8 @@ def _marked(names: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return found
 
 
-def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """The given classes, and few others: class, n, bits, text.
+def _texts_of(texts: DataFrame, classes: DataFrame, called: str) -> DataFrame:
+    """The given classes, and few others, written: class, n, bits, text.
 
     A bounded bit set, sent to all tasks, tells which texts are needed, so none is shuffled.
     """
@@ -606,7 +632,10 @@ def _texts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
                 }
             )
 
-    return texts.mapInPandas(name, "class bigint, n bigint, bits binary, text string").where("n > 0")
+    kept = texts.mapInPandas(name, "class bigint, n bigint, bits binary, text string").where("n > 0")
+    out = written(kept, called)
+    shared.destroy()
+    return out
 
 
 def _needed(held: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -707,9 +736,9 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     wanted = written(members.select("class").distinct(), "jaccard-wanted")
     if wanted.isEmpty():
         return sets, None
-    held = written(_texts_of(texts, wanted), "jaccard-candidates")
+    held = _texts_of(texts, wanted, "jaccard-candidates")
     columns = ("grp", "class", "n", "home", "rank", "before", "place")
-    names, links, tested, done = None, None, None, 0
+    names, tested, done = None, None, 0
     for pivots in [*PIVOTS, None]:
         if names is None:
             members = members.withColumn("component", F.col("class"))
@@ -724,14 +753,29 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         likely = written(_likely(pairs, _needed(held, pairs)), "jaccard-likely")
         found = written(_verified(likely, _needed(held, likely)), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        names = components(links)
+        names = components(found) if names is None else _joined(names, found)
     return sets, names
 
 
+def _joined(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links`` that join components of ``names`` or new nodes."""
+    if links.isEmpty():
+        return names
+    of = lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    step = components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    further = step.select(F.col("node").alias("component"), F.col("component").alias("_further"))
+    moved = names.join(further, "component", "left").select(
+        "node", F.coalesce("_further", "component").alias("component")
+    )
+    return written(moved.unionByName(step.join(names.select("node"), "node", "left_anti")), "jaccard-names")
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc, text_key, n, class and component of each document."""
     sets, names = link_sets(docs)

@@ -197,6 +197,40 @@ def test_jaccard_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
     assert sum(made) <= 4 * len(rows)
 
 
+def test_jaccard_sends_a_quarter_of_the_shingles_of_common_sets(spark, monkeypatch):
+    """Copies whose segments are all common send their rarest shingles, not their whole sets."""
+    rng, sent = random.Random(21), []
+    write = jaccard.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("jaccard-shingles", "jaccard-ranked"):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "written", counted)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for first in (0, 100):
+        source = own(120)
+        for k in range(40):
+            words = list(source)
+            words[rng.randrange(5, 115)] = own(1)[0]
+            rows.append((first + k, " ".join(words)))
+    want = brute_groups(rows)
+    assert groups(documents(spark, rows).repartition(4)) == want
+    assert len(sent) == 1 and 0 < sent[0] <= sum(n // 4 + 1 for n, _ in want.values())
+
+
+def test_jaccard_components_are_joined_by_later_links(spark):
+    names = spark.createDataFrame([(3, 3), (4, 3), (7, 7), (8, 7)], "node bigint, component bigint")
+    found = lambda links: {tuple(r) for r in jaccard._joined(names, links).collect()}
+    links = spark.createDataFrame([(4, 8), (9, 11), (1, 8), (3, 4)], "a bigint, b bigint")
+    assert found(links) == {(1, 1), (3, 1), (4, 1), (7, 1), (8, 1), (9, 9), (11, 9)}
+    assert found(links.limit(0)) == {(3, 3), (4, 3), (7, 7), (8, 7)}
+
+
 @pytest.mark.parametrize("slots", [15, 27])
 def test_jaccard_links_hold_when_the_bit_sets_are_full(spark, monkeypatch, slots):
     monkeypatch.setattr(jaccard, "MOST_SLOTS", slots)
