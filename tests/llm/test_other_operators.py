@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +249,97 @@ def test_vectors_match_brute_force(spark, block):
     assert near_vectors.link_vectors(df.where("false")).collect() == []
 
 
+def test_rounds_of_small_blocks_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows, centres = [], {w: rng.normal(size=(4, w)) for w in (16, 24)}
+    for i in range(150):
+        w = 24 if i % 5 == 0 else 16
+        v = centres[w][rng.integers(4)] + rng.normal(size=w) * rng.choice([0.0, 0.3, 0.45])
+        rows.append((i, (v.astype(np.float32) if i % 2 else v).tolist()))
+    rows += [(150 + k, [10.0 ** (300 - k), 1.0]) for k in range(3)] + [(160, None), (161, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert -(-sum(len(v or []) == 16 for _, v in rows) // near_vectors.GROWN) > near_vectors.SENT
+    before = spark.conf.get(near_vectors.REMOVE_SHUFFLES)
+    found = near_vectors.link_vectors(df, block=1).collect()
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found)
+    assert got == brute_vectors(rows) and sum(r[1] for r in got) > 100
+    assert spark.conf.get(near_vectors.REMOVE_SHUFFLES) == before
+
+
+def test_each_pair_of_blocks_meets_once_in_all_rounds(spark):
+    rows = [(k, 1, 2, 9, [k + 1.5, 2.0**-60]) for k in range(200)]
+    df = spark.createDataFrame(rows, "class bigint, members bigint, width int, blocks int, v array<double>")
+    met, per_round = Counter(), []
+    for k in range(3):
+        sent = near_vectors._sent(df, 3, k).collect()
+        for r in sent:
+            assert r["at"] in (r["i"], r["j"]) and len(r["vectors"]) <= near_vectors.PIECE_BYTES
+            met.update((r["i"], r["j"], r["at"], c) for c in r["classes"])
+        per_round.append(sum(len(r["classes"]) for r in sent))
+    at = {c: b for _, _, b, c in met}
+    assert len(at) == 200 and set(met.values()) == {1} and sum(per_round) == 200 * 9
+    assert max(per_round) <= 200 * 4
+    assert {(i, j) for i, j, _, _ in met} == {(i, j) for i in range(9) for j in range(i, 9)}
+
+
+@pytest.mark.parametrize("width, noise", [(64, 0.33), (64, 0.05), (1100, 0.33)])
+def test_tiles_of_dense_groups_match_brute_force(width, noise):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=width) + noise * rng.normal(size=(2100, width))
+    u = v / np.sqrt((v * v).sum(1, keepdims=True))
+    ids, members = np.arange(2100) + 7, rng.integers(1, 4, 2100)
+    a, b = ((ids[of], members[of], near_vectors._Quantised(v[of])) for of in (slice(0, 1300), slice(1300, 2100)))
+    for x, y, same in ((a, b, False), (a, a, True)):
+        links = u[x[0] - 7] @ u[y[0] - 7].T >= 0.9
+        if same:
+            np.fill_diagonal(links, False)
+        found = near_vectors._tile(x, y, 0.9, same)
+        got = dict(zip(found["class"][found["linked"] > 0], found["linked"][found["linked"] > 0]))
+        want = dict(zip(x[0], links @ y[1])) | ({} if same else dict(zip(y[0], links.T @ x[1])))
+        assert got == {c: n for c, n in want.items() if n}
+        forest = found[found["linked"] == 0]
+        top = {c: c for c in [*x[0], *y[0]]}
+        for c, d in zip(forest["class"], forest["other"]):
+            assert links[c - x[0][0], d - y[0][0]]
+            while top[c] != c:
+                c = top[c]
+            while top[d] != d:
+                d = top[d]
+            assert c != d
+            top[c] = d
+        i, j = np.nonzero(links)
+        for c, d in zip(x[0][i[:5000]], y[0][j[:5000]]):
+            while top[c] != c:
+                c = top[c]
+            while top[d] != d:
+                d = top[d]
+            assert c == d
+
+
+LOW_MEMORY = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+sys.path.insert(0, sys.argv[1])
+from partlog.llm import near_vectors
+conf = {"spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "2"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+value = lambda k: F.pmod(F.xxhash64(F.col("id") % 8000, k), F.lit(2001)).cast("float") - 1000 + F.col("id") / 8000
+df = spark.range(0, 8192, 1, 4).select(
+    F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(1024)), value).alias("embedding"))
+found = near_vectors.link_vectors(df)
+print("FOUND", found.count(), found.where("n_links = 1").count(), found.where("kept").count())
+"""
+
+
+def test_vectors_that_fill_the_heap_are_linked():
+    # All blocks that one task sent were held in memory at once: 64 MB of vectors failed.
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 512m pyspark-shell"}
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", LOW_MEMORY, repo], env=env, capture_output=True, text=True, timeout=900)
+    assert "FOUND 8192 384 8000" in said.stdout, said.stderr[-2000:]
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(8)
     raw = [rng.normal(size=32).astype("<f8").tobytes() for _ in range(200)]
